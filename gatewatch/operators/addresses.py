@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ip import network_range, v4_number, v6_hex
+from ..functions.regex import let
 
 NETWORK_DDL = "cidr string, family int, lo string, hi string"
 
@@ -98,6 +99,39 @@ def drop_allow_listed(rows: DataFrame, networks: DataFrame, ip: str = "remote_ad
     return network_join(rows, networks, ip, "left_anti")
 
 
+LITERAL_LIMIT = 256
+
+
+def drop_configured(rows: DataFrame, entries: list[str], ip: str = "remote_addr", strict: bool = False,
+                    stop_at_bad: bool = False) -> DataFrame:
+    """F08 for a list that lives in the configuration: a plain predicate, no join and no shuffle.
+
+    Lists of more than ``LITERAL_LIMIT`` entries take the join instead.
+    """
+    if len(entries) > LITERAL_LIMIT:
+        return drop_allow_listed(rows, networks_frame(rows.sparkSession, entries, strict, stop_at_bad), ip)
+    four, six = [], []
+    for e in entries:
+        if not is_network(e, strict):
+            if stop_at_bad:
+                break
+            continue
+        fam, lo, hi = network_range(e, strict)
+        (four if fam == 4 else six).append((lo, hi))
+
+    def within(n, ranges):
+        out = F.lit(False)
+        for lo, hi in ranges:
+            out = out | n.between(F.lit(lo), F.lit(hi))
+        return F.coalesce(out, F.lit(False))
+
+    listed = let(v4_number(F.col(ip)), lambda n: within(n, four))
+    if six:
+        listed = listed | F.when(F.col(ip).contains(":"), let(v6_hex(F.col(ip)), lambda n: within(n, six))) \
+            .otherwise(F.lit(False))
+    return rows.where(~listed)
+
+
 def range_lookup(rows: DataFrame, ranges: DataFrame, ip: str, cols: list[str]) -> DataFrame:
     """Columns of the range an address falls in (ranges do not overlap), NULL when in none."""
     a = rows.select(ip).distinct().withColumn("_n", v4_number(F.col(ip))).withColumn(

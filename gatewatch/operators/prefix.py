@@ -12,11 +12,15 @@ is split in two levels:
 The groups that are sorted are one key's traffic of one slice, so a key that holds a third of all
 rows is spread over as many tasks as it has slices.  The result is exact: sums are over integers
 or decimals.
+
+Windows that are no longer than a slice need no opening balance (``windowed_totals``): a row is
+simply handed on to the next slice while it is still alive there, which takes one scan and one
+shuffle.  All-time totals use the two levels (``rolling_totals``).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +29,7 @@ SECOND = 1_000_000
 MINUTE = 60 * SECOND
 HOUR = 3600 * SECOND
 DEFAULT_SLICE = 10 * MINUTE
+_FIRST = -(1 << 62)  # sorts before every row of its time
 
 
 @dataclass
@@ -45,10 +50,14 @@ class Rolling:
 
 @dataclass
 class RollingDistinct:
-    """Number of distinct ``value`` (where not NULL) within the window; None = ever seen."""
+    """Number of distinct ``value`` (where not NULL) within the window; None = ever seen.
+
+    ``only`` maps further names to conditions on the value: distinct values that meet them.
+    """
     name: str
     value: Column
     window: int | None
+    only: dict[str, Column] = field(default_factory=dict)
 
 
 def slice_of(ts: Column, size: int) -> Column:
@@ -76,29 +85,96 @@ def split_running_totals(changes: DataFrame, keys: list[str], sums: list[str], s
         (F.sum(s).over(w) + F.coalesce(F.col(f"_b_{s}"), F.lit(0))).alias(s) for s in sums])
 
 
-def rolling_totals(rows: DataFrame, keys: list[str], ts: str, specs: list, tie: str | None = None,
+def windowed_totals(rows: DataFrame, keys: list[str], ts: str, specs: list,
+                    slice_us: int = 0) -> DataFrame:
+    """``rows`` plus one column per spec, for windows of finite length; rows of one time see each other.
+
+    A row is copied to the next slice when it is still inside a window there (without its payload).
+    Inside a (key, slice) group a repeated value ends the earlier sighting's turn, so the distinct
+    counts are sums of changes like the others, and every sum is one forward pass.
+    """
+    width = max(s.window for s in specs)
+    size = max(slice_us, width + 1)
+    plain = [s for s in specs if isinstance(s, Rolling)]
+    distinct = [s for s in specs if isinstance(s, RollingDistinct)]
+    types = {s.name: s.type for s in plain} | {
+        n: "bigint" for s in distinct for n in (s.name, *s.only)}
+    src = rows
+    for s in plain:
+        src = src.withColumn(f"_a_{s.name}", F.coalesce(s.amount.cast(s.type), F.lit(0).cast(s.type)))
+    for s in distinct:
+        src = src.withColumn(f"_v_{s.name}", s.value).withColumn(
+            f"_a_{s.name}", F.col(f"_v_{s.name}").isNotNull().cast("bigint"))
+        for n, cond in s.only.items():
+            src = src.withColumn(f"_a_{n}", F.coalesce((cond & F.col(f"_v_{s.name}").isNotNull())
+                                                       .cast("bigint"), F.lit(0).cast("bigint")))
+    own = slice_of(F.col(ts), size)
+    payload = [c for c in rows.columns if c not in keys and c != ts]
+    src = (src.withColumn("_own", own)
+           .withColumn("_slice", F.explode(F.when(F.col(ts) + width >= F.col("_own") + size, F.array(
+               F.col("_own"), F.col("_own") + size)).otherwise(F.array("_own"))))
+           .select(*keys, F.col(ts).alias("_t"), "_slice", (F.col("_slice") == F.col("_own")).alias("_home"),
+                   F.when(F.col("_slice") == F.col("_own"), F.struct(*payload)).alias("_row"),
+                   *[f"_a_{n}" for n in types], *[f"_v_{s.name}" for s in distinct])
+           .repartition(*keys, "_slice"))
+    part = [*keys, "_slice"]
+    for s in distinct:
+        nxt = F.lead("_t").over(Window.partitionBy(*part, f"_v_{s.name}").orderBy("_t"))
+        src = src.withColumn(f"_n_{s.name}", F.least(nxt, F.col("_t") + (s.window + 1)))
+    # leaving times: one per window length for the plain sums, one per distinct count
+    exits = {}
+    for s in plain:
+        exits.setdefault((s.window, s.strict), []).append(s.name)
+    turns = [(F.col("_t") + (w + (0 if strict else 1)), names) for (w, strict), names in exits.items()]
+    turns += [(F.col(f"_n_{s.name}"), [s.name, *s.only]) for s in distinct]
+    k = F.col("_k")
+    when, keep = F.when(k == 0, F.col("_t")), k == 0
+    for i, (t, names) in enumerate(turns, 1):
+        when = when.when(k == i, t)
+        moved = F.lit(False)
+        for n in names:
+            moved = moved | (F.col(f"_a_{n}") != 0)
+        keep = keep | ((k == i) & moved & (t < F.col("_slice") + size))
+    ev = src.withColumn("_k", F.explode(F.array(*[F.lit(i) for i in range(len(turns) + 1)]))).where(keep)
+    change = []
+    for n, dtype in types.items():
+        a = F.col(f"_a_{n}")
+        c = F.when(k == 0, a)
+        for i, (_, names) in enumerate(turns, 1):
+            if n in names:
+                c = c.when(k == i, -a)
+        change.append(F.coalesce(c, F.lit(0).cast(dtype)).alias(n))
+    ev = ev.select(*part, when.alias("_t"), ((k == 0) & F.col("_home")).alias("_home"),
+                   F.when(k == 0, F.col("_row")).alias("_row"), *change)
+    w = Window.partitionBy(*part).orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ev = ev.select(*keys, F.col("_t").alias(ts), "_home", "_row", *[F.sum(n).over(w).alias(n) for n in types])
+    return ev.where("_home").select(*keys, ts, "_row.*", *types)
+
+
+def rolling_totals(rows: DataFrame, keys: list[str], ts: str, specs: list, tie: str,
                    slice_us: int = DEFAULT_SLICE) -> DataFrame:
-    """``rows`` plus one column per spec.
+    """``rows`` plus one column per spec, all-time totals included, rows taken one by one in
+    (ts, tie) order.
 
-    ``tie`` orders rows of equal time one after the other; without it they see each other.
-    One shuffle of the rows by (key, slice); the distinct counts add a shuffle of pre-aggregated
-    (key, value, slice) spans.
+    The changes are read twice, once for the opening balances (narrow, pre-aggregated) and once for
+    the sums: give it a table or a checkpointed frame when the rows are costly to derive.
     """
     plain = [s for s in specs if isinstance(s, Rolling)]
     expiring = [s for s in plain if s.window is not None]
-    distinct = [s for s in specs if isinstance(s, RollingDistinct)]
+    ever = [s for s in specs if isinstance(s, RollingDistinct)]
+    if any(s.window is not None for s in ever):
+        raise ValueError("distinct counts of a finite window: use windowed_totals")
     names = [s.name for s in specs]
     src = rows
     for s in plain:
         src = src.withColumn(f"_a_{s.name}", F.coalesce(s.amount.cast(s.type), F.lit(0).cast(s.type)))
-    for s in distinct:
+    for s in ever:
         src = src.withColumn(f"_v_{s.name}", s.value)
 
     # arrivals (k = 0) and departures (k = 1..n); departures carry no payload
     k = F.col("_k")
     ev = src.withColumn("_k", F.explode(F.array(*[F.lit(i) for i in range(len(expiring) + 1)])))
-    t = F.when(k == 0, F.col(ts))
-    keep = k == 0
+    t, keep = F.when(k == 0, F.col(ts)), k == 0
     for i, s in enumerate(expiring, 1):
         t = t.when(k == i, s.gone(F.col(ts)))
         keep = keep | ((k == i) & (F.col(f"_a_{s.name}") != 0))
@@ -110,56 +186,27 @@ def rolling_totals(rows: DataFrame, keys: list[str], ts: str, specs: list, tie:
             c = c.when(k == expiring.index(s) + 1, -a)
         amounts.append(F.coalesce(c, F.lit(0).cast(s.type)).cast(s.type).alias(s.name))
     payload = [c for c in rows.columns if c not in keys]
-    tie_col = (F.when(k == 0, F.col(tie)).otherwise(F.lit(-(1 << 62))) if tie else F.lit(0)).cast("bigint")
     ev = ev.where(keep).select(
-        *keys, t.alias("_t"), tie_col.alias("_o"), F.when(k == 0, 1).otherwise(0).alias("_home"),
+        *keys, t.alias("_t"), F.when(k == 0, F.col(tie)).otherwise(F.lit(_FIRST)).cast("bigint").alias("_o"),
+        F.when(k == 0, 1).otherwise(0).alias("_home"),
         F.when(k == 0, F.struct(*payload)).alias("_row"), *amounts,
-        *[F.lit(0).cast("bigint").alias(s.name) for s in distinct])
-
-    for s in distinct:
-        for d in _distinct_changes(src, keys, ts, tie, s, slice_us):
-            ev = ev.unionByName(d.select(
-                *keys, "_t", "_o", F.lit(0).alias("_home"), F.lit(None).cast(
-                    ev.schema["_row"].dataType).alias("_row"),
-                *[(F.col("_d") if n == s.name else F.lit(0)).cast(ev.schema[n].dataType).alias(n)
-                  for n in names]))
-    out = split_running_totals(ev, keys, names, slice_us, ["_o", "_home"] if tie else None)
+        *[F.lit(0).cast("bigint").alias(s.name) for s in ever])
+    if ever:
+        # the first sighting of each value, all kinds of value in one pass
+        seen = (src.select(*keys, ts, tie, F.explode(F.array(*[F.struct(
+                    F.lit(s.name).alias("kind"), F.col(f"_v_{s.name}").cast("string").alias("v"))
+                    for s in ever])).alias("_s"))
+                .where("_s.v is not null").groupBy(*keys, "_s")
+                .agg(F.min(F.struct(F.col(ts).alias("t"), F.col(tie).cast("bigint").alias("o"))).alias("m")))
+        ev = ev.unionByName(seen.select(
+            *keys, F.col("m.t").alias("_t"), F.col("m.o").alias("_o"), F.lit(0).alias("_home"),
+            F.lit(None).cast(ev.schema["_row"].dataType).alias("_row"),
+            *[F.lit(0).cast(ev.schema[s.name].dataType).alias(s.name) for s in plain],
+            *[F.when(F.col("_s.kind") == s.name, 1).otherwise(0).cast("bigint").alias(s.name) for s in ever]))
+    out = split_running_totals(ev, keys, names, slice_us, ["_o", "_home"])
     return out.where("_home = 1").select(*keys, "_row.*", *names)
 
 
-def _distinct_changes(src, keys, ts, tie, spec: RollingDistinct, slice_us: int):
-    """``+1`` where a value enters the window, ``-1`` where its last sighting leaves it.
-
-    Sightings are first merged to one span per (key, value, slice); as a slice is not longer than
-    the window the value is present from the span's first sighting to its last plus the window.
-    """
-    v = f"_v_{spec.name}"
-    seen = src.where(F.col(v).isNotNull())
-    o = F.col(tie).cast("bigint") if tie else F.lit(0).cast("bigint")
-    if spec.window is None:
-        first = seen.groupBy(*keys, v).agg(F.min(F.struct(F.col(ts).alias("t"), o.alias("o"))).alias("m"))
-        yield first.select(*keys, F.col("m.t").alias("_t"), F.col("m.o").alias("_o"),
-                           F.lit(1).alias("_d"))
-        return
-    size = min(slice_us, spec.window)
-    spans = seen.groupBy(*keys, v, slice_of(F.col(ts), size).alias("_s")).agg(
-        F.min(F.struct(F.col(ts).alias("t"), o.alias("o"))).alias("a"), F.max(ts).alias("b"))
-    nxt = F.lead("a").over(Window.partitionBy(*keys, v).orderBy("_s"))
-    spans = spans.withColumn("_n", nxt).withColumn("_gone", F.col("b") + (spec.window + 1))
-    # a value that is seen again before it would leave keeps counting: both changes cancel out
-    back = F.col("_n.t") <= F.col("_gone")
-    w = Window.partitionBy(*keys, v).orderBy("_s")
-    spans = spans.withColumn("_stay", F.coalesce(back, F.lit(False)))
-    spans = spans.withColumn("_cont", F.coalesce(F.lag("_stay").over(w), F.lit(False)))
-    change = F.array_compact(F.array(
-        F.when(~F.col("_cont"), F.struct(F.col("a.t").alias("_t"), F.col("a.o").alias("_o"),
-                                         F.lit(1).alias("_d"))),
-        F.when(~F.col("_stay"), F.struct(F.col("_gone").alias("_t"),
-                                         F.lit(-(1 << 62)).cast("bigint").alias("_o"),
-                                         F.lit(-1).alias("_d")))))
-    yield spans.select(*keys, F.explode(change).alias("_c")).select(*keys, "_c.*")
-
-
 def previous_time(rows: DataFrame, keys: list[str], ts: str, tie: str, out: str = "prev_ts",
                   slice_us: int = DEFAULT_SLICE) -> DataFrame:
     """Time of the key's preceding row, split like the totals: last time of the earlier slices,

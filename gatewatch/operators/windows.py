@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import patterns as P
-from .prefix import (HOUR, MINUTE, SECOND, Rolling, RollingDistinct, previous_time, rolling_totals)
+from .prefix import (HOUR, MINUTE, SECOND, Rolling, RollingDistinct, previous_time, rolling_totals,
+                     windowed_totals)
 
 IP, TS, TIE = "remote_addr", "ts_us", "event_id"
 
@@ -20,12 +21,11 @@ def rate_counts(rows: DataFrame, window_minutes: int | None = None, **kw) -> Dat
     """W01-W05 in one go: n404, n_1min, n_5min, n_uris, n_sensitive, each including its own row."""
     w = (window_minutes or R.BAN_RULES["time_window_minutes"]) * MINUTE
     uri = F.coalesce(F.col("request_uri"), F.lit(""))
-    return rolling_totals(rows, [IP], TS, [
+    return windowed_totals(rows, [IP], TS, [
         Rolling("n404", F.when(F.col("status") == 404, 1), w),
         Rolling("n_1min", F.lit(1), MINUTE),
         Rolling("n_5min", F.lit(1), 5 * MINUTE),
-        RollingDistinct("n_uris", uri, 10 * MINUTE),
-        RollingDistinct("n_sensitive", F.when(P.is_sensitive(uri), uri), 10 * MINUTE)], **kw)
+        RollingDistinct("n_uris", uri, 10 * MINUTE, {"n_sensitive": P.is_sensitive(uri)})], **kw)
 
 
 def rate_labels(rules: dict | None = None) -> dict[str, Column]:
@@ -192,7 +192,7 @@ def hour_features(rows: DataFrame, **kw) -> DataFrame:
     hour = F.hour(t)
     dec = "decimal(30,12)"
     secs = F.when(F.col("request_time") != 0, F.col("request_time"))
-    out = rolling_totals(rows, [IP], TS, [
+    out = windowed_totals(rows, [IP], TS, [
         Rolling("_n", F.lit(1), HOUR),
         Rolling("_err", F.when(F.coalesce(F.col("status"), F.lit(200)) >= 400, 1), HOUR),
         Rolling("_rt", secs, HOUR, type=dec), Rolling("_rn", F.when(secs.isNotNull(), 1), HOUR),

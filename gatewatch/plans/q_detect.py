@@ -10,6 +10,7 @@ from ..functions import patterns as PT
 from ..operators import addresses as AD
 from ..operators import behaviour as BE
 from ..operators import windows as W
+from ..session import cut_lineage
 from . import oracle_views as O
 from .registry import query
 
@@ -22,11 +23,11 @@ def allow_networks(d):
 
 
 def monitored(d):
-    return AD.drop_allow_listed(d.access_log, allow_networks(d))
+    return AD.drop_configured(d.access_log, R.DEFAULT_ALLOW_IPS + R.DEFAULT_ALLOW_NETWORKS)
 
 
 def detected(d):
-    return W.detect(monitored(d), slice_us=SLICE)
+    return W.detect(monitored(d))
 
 
 def bans_by_ip(d):
@@ -34,7 +35,7 @@ def bans_by_ip(d):
 
 
 def behaviour(d, bans=True):
-    rows = detected(d)
+    rows = cut_lineage(detected(d))  # read twice below
     return W.running_behaviour(rows, c("attack_label"), IP.geo_struct(c("remote_addr"))["risk_level"],
                                bans_by_ip(d) if bans else None, slice_us=SLICE)
 
@@ -102,10 +103,11 @@ def f06(d):
     return rows.select("doc_id", PT.payload_analysis(c("u"))["payload_score"].alias("payload_score"))
 
 
-_GAPS = """gaps AS (SELECT *, count(gap) OVER w AS n_gaps, avg(gap) OVER w AS mean_gap, stddev_samp(gap) OVER w AS stdev_gap FROM (
-  SELECT *, (ts_us - lag(ts_us) OVER (PARTITION BY remote_addr ORDER BY ts_us, event_id)) / 1000000.0 AS gap FROM detected) g
-  WINDOW w AS (PARTITION BY remote_addr ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
-_GAP_SQL = _GAPS.split("AS (", 1)[1][:-1]
+_GAP_SQL = """SELECT *, CASE WHEN n_gaps > 0 THEN gs / n_gaps / 1000000 END AS mean_gap,
+  CASE WHEN n_gaps > 1 THEN sqrt(greatest((gq - gs * gs / n_gaps) / (n_gaps - 1), 0)) / 1000000 END AS stdev_gap
+  FROM (SELECT *, count(gap) OVER w AS n_gaps, CAST(sum(gap) OVER w AS DOUBLE) AS gs, CAST(sum(CAST(gap AS HUGEINT) * gap) OVER w AS DOUBLE) AS gq FROM (
+  SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY remote_addr ORDER BY ts_us, event_id) AS gap FROM detected) g
+  WINDOW w AS (PARTITION BY remote_addr ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) h"""
 
 
 @query("f07_advanced_verdict", f"""
@@ -169,7 +171,7 @@ def j17(d):
 # -- rolling rules --------------------------------------------------------------------
 def _rated(d):
     rows = monitored(d)
-    out = W.rate_counts(rows, slice_us=SLICE)
+    out = W.rate_counts(rows)
     for n, e in W.rate_labels().items():
         out = out.withColumn(n, e)
     return out
@@ -245,7 +247,7 @@ _HC = ["behavior_request_rate", "behavior_error_rate", "behavior_unique_paths",
 
 @query("w11_ml_hour_window", f"SELECT event_id, {', '.join(_HC)} FROM ({HOUR_SQL}) t")
 def w11(d):
-    h = W.hour_features(d.access_log, slice_us=SLICE)
+    h = W.hour_features(d.access_log)
     return h.select("event_id", *[F.round(x, 6).alias(x) if "time" in x else x for x in _HC])
 
 
