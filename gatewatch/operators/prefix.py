@@ -256,21 +256,21 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probs: dict[st
     for i, (name, p) in enumerate(probs.items()):
         lo = F.col("_min") if p - slack <= 0 else F.when(few, F.col("_min")).otherwise(F.col("_e")[2 * i])
         hi = F.col("_max") if p + slack >= 1 else F.when(few, F.col("_max")).otherwise(F.col("_e")[2 * i + 1])
-        per.append(F.struct(F.lit(name).alias("name"), lo.alias("lo"), hi.alias("hi"),
+        per.append(F.struct(F.lit(name).alias("_p"), lo.alias("lo"), hi.alias("hi"),
                             (F.lit(p) * (F.col("_n") - 1)).alias("pos")))
     wanted = sk.select(*ks, F.array(*per).alias("_q"))
     j = base.join(wanted, ks)
     # values below a bracket only need counting; inside it equal values collapse to one row
     q = j.select(*ks, "_v", F.explode("_q").alias("q")).where("_v <= q.hi")
     inside = F.col("_v") >= F.col("q.lo")
-    g = (q.groupBy(*ks, F.col("q.name").alias("name"), F.col("q.pos").alias("pos"),
+    g = (q.groupBy(*ks, F.col("q._p").alias("_p"), F.col("q.pos").alias("pos"),
                    F.when(inside, F.col("_v")).alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    cum = F.sum("c").over(Window.partitionBy(*ks, "name").orderBy(F.col("v").asc_nulls_first())
+    cum = F.sum("c").over(Window.partitionBy(*ks, "_p").orderBy(F.col("v").asc_nulls_first())
                           .rowsBetween(Window.unboundedPreceding, 0))
     g = g.withColumn("last", cum - 1).withColumn("first", F.col("last") - F.col("c") + 1)
     at = lambda r: F.max(F.when((F.col("first") <= r) & (F.col("last") >= r), F.col("v")))
     lo_r, hi_r = F.floor("pos"), F.ceil("pos")
-    vals = g.groupBy(*ks, "name", "pos").agg(at(lo_r).alias("a"), at(hi_r).alias("b"))
+    vals = g.groupBy(*ks, "_p", "pos").agg(at(lo_r).alias("a"), at(hi_r).alias("b"))
     val = F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))
-    out = vals.groupBy(*ks).agg(*[F.max(F.when(F.col("name") == n, val)).alias(n) for n in probs])
+    out = vals.groupBy(*ks).agg(*[F.max(F.when(F.col("_p") == n, val)).alias(n) for n in probs])
     return out if keys else out.drop("_all")

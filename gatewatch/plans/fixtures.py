@@ -129,7 +129,7 @@ def system_log(d):
     return f"""
 SELECT event_id, CASE
   WHEN event_id % 10 < 3 THEN concat({ts}, ' - ', node_id, ' - WARNING - [ip_banned] IP ', {ip}, ' has been banned for 60 minutes: ', {reason})
-  WHEN event_id % 10 = 3 THEN concat({ts}, ' - ', node_id, ' - INFO - [ip_unbanned] IP ', {ip}, ' has been unbanned')
+  WHEN event_id % 10 = 3 AND user_id % 2 = 0 THEN concat({ts}, ' - ', node_id, ' - INFO - [ip_unbanned] IP ', {ip}, ' has been unbanned')
   WHEN event_id % 10 < 6 THEN concat({ts}, ' - ', node_id, ' - ', {level}, ' - [attack_detected] Attack detected from IP ', {ip}, ': ', {kind})
   WHEN event_id % 10 = 6 THEN concat('{{"timestamp": "', {d.iso_time.format('ts_us')}, 'Z", "event_type": "ip_banned", "level": "WARNING", ',
        '"ip": ', {q}, {ip}, {q}, ', "message": "ban_reason: ', {kind}, ' seen"}}')
