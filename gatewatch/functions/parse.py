@@ -6,10 +6,12 @@ test frame all use the same expressions and stay inside generated code.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .regex import java_pattern, named_groups
+from .regex import java_pattern, match_groups, named_groups
 
 _HEAD = r'(\S+) - (\S+) \[([^\]]+)\] "([^"]+)" (\d+) (\d+)'
 _QUOTED = r' "([^"]+)" "([^"]+)"'
@@ -31,13 +33,18 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def _matched(df: DataFrame, line: str, pattern: str, n: int) -> DataFrame:
+    """Lines that start with the pattern, as ``_t`` (stripped text) and ``_g`` (its groups)."""
+    java = java_pattern("^" + pattern)
+    d = df.withColumn("_t", strip(F.col(line))).where(F.col("_t").rlike(java))
+    return d.withColumn("_g", match_groups(F.col("_t"), pattern, n))
+
+
 def extract_groups(df: DataFrame, line: str, pattern: str, names: dict[str, int],
                    keep: list[str] = ()) -> DataFrame:
     """Keep lines whose start matches; one column per wanted group.  ``pattern`` has no ``^``."""
-    java = java_pattern("^" + pattern)
-    text = strip(F.col(line))
-    return (df.where(text.rlike(java))
-              .select(*keep, *[F.regexp_extract(text, java, i).alias(n) for n, i in names.items()]))
+    d = _matched(df, line, pattern, re.compile(pattern).groups)
+    return d.select(*keep, *[F.col("_g")[i - 1].alias(n) for n, i in names.items()])
 
 
 def parse_access(df: DataFrame, fmt: str = "combined", line: str = "value",
@@ -145,16 +152,15 @@ def parse_combined_entry(df: DataFrame, source: str, line: str = "value", keep=(
 
 
 def _clf(df, source, line, keep, pattern, combined):
-    java = java_pattern("^" + pattern)
-    text = strip(F.col(line))
-    g = lambda i: F.regexp_extract(text, java, i)
+    g = lambda i: F.col("_g")[i - 1]
     extra = {}
     if combined:
         extra = {"user_agent": g(9), "extra_fields": F.create_map(F.lit("referer"), g(8))}
-    return _entry(df.where(text.rlike(java)), source, keep,
+    d = _matched(df, line, pattern, 9 if combined else 7)
+    return _entry(d, source, keep,
                   timestamp=F.coalesce(F.try_to_timestamp(g(2), F.lit("d/MMM/yyyy:HH:mm:ss Z")),
                                        F.try_to_timestamp(g(2), F.lit("d/MMM/yyyy:HH:mm:ss XXX"))),
-                  message=text, ip_address=g(1), request_method=g(3), request_url=g(4),
+                  message=F.col("_t"), ip_address=g(1), request_method=g(3), request_url=g(4),
                   response_status=g(6).try_cast("bigint"),
                   response_size=F.nullif(g(7), F.lit("-")).try_cast("bigint"), **extra)
 
@@ -165,9 +171,9 @@ _KNOWN_KEYS = ["timestamp", "time", "@timestamp", "level", "message", "ip", "rem
 
 def parse_json_entry(df: DataFrame, source: str, line: str = "value", keep=()) -> DataFrame:
     """JSON lines; the first *present* alias wins even when it is null; bad JSON is dropped."""
-    text = strip(F.col(line))
-    d = df.withColumn("_m", F.from_json(text, "map<string,string>")).where(
-        F.col("_m").isNotNull() & text.startswith("{"))
+    text = F.col("_t")
+    d = df.withColumn("_t", strip(F.col(line))).where(text.startswith("{"))
+    d = d.withColumn("_m", F.from_json(text, "map<string,string>")).where("_m is not null")
     m = F.col("_m")
 
     def pick(default, *keys):
@@ -193,13 +199,12 @@ def parse_custom_entry(df: DataFrame, source: str, pattern: str, line: str = "va
                        as_of: Column | None = None, keep=()) -> DataFrame:
     """A configured pattern with named groups; all groups also become extra fields."""
     positional, names = named_groups(pattern)
-    java = java_pattern("^" + positional)
-    text = strip(F.col(line))
-    got = {n: F.regexp_extract(text, java, i) for n, i in names.items()}
+    d = _matched(df, line, positional, re.compile(positional).groups)
+    got = {n: F.col("_g")[i - 1] for n, i in names.items()}
     null = F.lit(None).cast("string")
-    return _entry(df.where(text.rlike(java)), source, keep,
+    return _entry(d, source, keep,
                   timestamp=as_of if as_of is not None else F.lit(None).cast("timestamp"),
-                  message=text, ip_address=got.get("ip", null),
+                  message=F.col("_t"), ip_address=got.get("ip", null),
                   user_agent=got.get("user_agent", null), request_method=got.get("method", null),
                   request_url=got.get("url", null),
                   response_status=got.get("status", null).try_cast("bigint"),

@@ -53,6 +53,21 @@ def named_groups(pattern: str) -> tuple[str, dict[str, int]]:
     return _NAMED.sub("(", pattern), dict(compiled.groupindex)
 
 
+_SEP = "\x1f"
+
+
+def match_groups(text: Column, pattern: str, n: int) -> Column:
+    """The ``n`` groups of a prefix match as an array; only meaningful where the text matches.
+
+    One pass of the pattern fetches all groups: the match is rewritten to the groups joined by a
+    separator.  Texts that hold the separator themselves are taken group by group.
+    """
+    java = java_pattern("^" + pattern)
+    joined = F.regexp_replace(text, java + r"(?s:.*)\z", _SEP.join(f"${i}" for i in range(1, n + 1)))
+    return (F.when(text.contains(_SEP), F.array(*[F.regexp_extract(text, java, i) for i in range(1, n + 1)]))
+             .otherwise(F.split(joined, _SEP)))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from .parse import strip
 from .patterns import lookup
-from .regex import any_word, java_pattern
+from .regex import any_word, java_pattern, let
 
 _ISO_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
 _SLASH_LINE = r"^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2})"
@@ -32,11 +32,9 @@ def parse_system_log(df: DataFrame, as_of: Column, line: str = "value", keep=())
     A line that opens with a bracketed time is never readable, and a line without a bracketed
     type that says "unbanned" is typed as a ban: both are rules of the format, kept on purpose.
     """
-    t = strip(F.col(line))
-    low = F.lower(t)
-    m = F.when(t.startswith("{") & t.endswith("}"), F.from_json(t, "map<string,string>"))
-    df = df.where(t != "").withColumn("_m", m)
-    m = F.col("_m")
+    t, low, m = F.col("_t"), F.col("_low"), F.col("_m")
+    df = df.withColumn("_t", strip(F.col(line))).where(t != "").withColumn("_low", F.lower(t)).withColumn(
+        "_m", F.when(t.startswith("{") & t.endswith("}"), F.from_json(t, "map<string,string>")))
     is_json = m.isNotNull()
     raw = m["timestamp"]
     json_ts = F.coalesce(
@@ -79,20 +77,22 @@ def _classes(text: Column, classes, default: str) -> Column:
 
 def ban_reason(message: Column) -> Column:
     """An explicit reason of more than two characters, else a keyword class."""
-    msg = strip(message)
-    found = []
-    for p in R.BAN_REASON_PATTERNS:
+    def explicit(msg, p):
         got = strip(F.regexp_extract(msg, java_pattern(p, True), 1))
-        found.append(F.when(F.length(got) > 2, got))
-    blank = F.coalesce(msg, F.lit("")) == ""
-    return F.when(blank, "Unknown").otherwise(
-        F.coalesce(*found, _classes(F.lower(msg), R.BAN_REASON_CLASSES, "Unknown")))
+        return let(got, lambda g: F.when(F.length(g) > 2, g))
+
+    def pick(msg):
+        found = [explicit(msg, p) for p in R.BAN_REASON_PATTERNS]
+        return F.when(msg == "", "Unknown").otherwise(F.coalesce(
+            *found, let(F.lower(msg), lambda low: _classes(low, R.BAN_REASON_CLASSES, "Unknown"))))
+
+    return let(F.coalesce(strip(message), F.lit("")), pick)
 
 
 def attack_type_label(message: Column) -> Column:
     msg = F.coalesce(message, F.lit(""))
     return F.when(strip(msg) == "", "Other").otherwise(
-        _classes(F.lower(msg), R.ATTACK_TYPE_CLASSES, "Other"))
+        let(F.lower(msg), lambda low: _classes(low, R.ATTACK_TYPE_CLASSES, "Other")))
 
 
 def attack_severity(message: Column, level: Column) -> Column:

@@ -189,9 +189,9 @@ def smoothed_threshold(rows: DataFrame, key: str, ts: str, tie: str, value: str,
     src = src.withColumn("_i", F.sum(F.col("_on").cast("int")).over(pos))
     n = F.max("_i").over(Window.partitionBy(*part))
     keep = 1.0 - rate
-    blocks = (src.withColumn("_w", F.when("_on", rate * F.pow(F.lit(keep), n - F.col("_i")) * F.col("_m")))
+    blocks = (src.withColumn("_w", F.when(F.col("_on"), rate * F.pow(F.lit(keep), n - F.col("_i")) * F.col("_m")))
               .groupBy(*part).agg(F.max("_i").alias("n"), F.coalesce(F.sum("_w"), F.lit(0.0)).alias("b"),
-                                  F.max_by("_sd", F.when("_on", F.col("_i"))).alias("sd"))
+                                  F.max_by("_sd", F.when(F.col("_on"), F.col("_i"))).alias("sd"))
               .join(initial, key))
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -186,3 +186,46 @@ SEVERITY = case([
     (contains_any("lower(message)", R.SEVERITY_MEDIUM_WORDS),
      f"CASE WHEN {_BASE} = 'low' THEN 'medium' ELSE {_BASE} END"),
     (contains_any("lower(message)", R.SEVERITY_LOW_WORDS), "'low'")], _BASE)
+
+
+def _chain(name: str, rows: str, keys: str, gap: str, cols: str) -> dict[str, str]:
+    """Recursive form of the greedy filters: first row, then the first row that is old enough."""
+    on = " AND ".join(f"r.{k} = s.{k}" for k in keys.split(", "))
+    sel = ", ".join(f"r.{x}" for x in cols.split(", "))
+    # one row per key and time: the first by id
+    base = f"SELECT * FROM ({rows}) q QUALIFY row_number() OVER (PARTITION BY {keys}, ts_us ORDER BY event_id) = 1"
+    return {f"{name}_rows": base, f"{name}_chain": f"""
+SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ts_us) AS rn FROM {name}_rows) f WHERE rn = 1
+UNION ALL
+SELECT {cols} FROM (SELECT {sel}, row_number() OVER (PARTITION BY {', '.join('r.' + k for k in keys.split(', '))} ORDER BY r.ts_us) AS rn
+  FROM {name}_chain s JOIN {name}_rows r ON {on} AND r.ts_us >= s.ts_us + {gap}) n WHERE rn = 1"""}
+
+
+_ROUTES = " UNION ALL ".join(f"SELECT '{k}' AS level, '{ch}' AS channel" for k, v in R.NOTIFICATION_ROUTES.items() for ch in v)
+ORACLE_VIEWS |= _chain("st01", f"""SELECT concat('attack_', split_part(label, ':', 1), '_', remote_addr) AS key, ts_us, event_id
+  FROM (SELECT *, {PATTERN_LABEL} AS label FROM access_log) a WHERE label IS NOT NULL""", "key", "60000000", "key, ts_us, event_id")
+ORACLE_VIEWS |= _chain("st02", "SELECT ip, ts_us, event_id, duration_s FROM ban_records", "ip", "s.duration_s * 1000000",
+                       "ip, ts_us, event_id, duration_s")
+ORACLE_VIEWS |= _chain("st04", f"SELECT channel, level, ts_us, event_id FROM notifications JOIN ({_ROUTES}) r USING (level)",
+                       "channel, level", "60000000", "channel, level, ts_us, event_id")
+ORACLE_VIEWS |= _chain("st04b", "SELECT level, source, ts_us, event_id FROM notifications", "level, source", "60000000",
+                       "level, source, ts_us, event_id")
+ORACLE_VIEWS |= {
+    "st03_rows": """
+SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts_us, event_id) AS rn, avg(CASE WHEN NOT is_anomaly THEN value END) OVER w AS m,
+  stddev_pop(CASE WHEN NOT is_anomaly THEN value END) OVER w AS sd, CASE name WHEN 'view' THEN 20.0 WHEN 'error' THEN 50.0 ELSE 30.0 END AS initial
+FROM metrics WINDOW w AS (PARTITION BY name ORDER BY ts_us, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)""",
+    "st03_fold": """
+SELECT name, rn, event_id, value, CAST(initial AS DOUBLE) AS baseline, CAST(initial AS DOUBLE) AS threshold FROM st03_rows WHERE rn = 1
+UNION ALL
+SELECT r.name, r.rn, r.event_id, r.value, CASE WHEN r.rn >= 10 AND r.m IS NOT NULL THEN s.baseline * 0.95 + r.m * 0.05 ELSE s.baseline END,
+  CASE WHEN r.rn >= 10 AND r.m IS NOT NULL THEN s.baseline * 0.95 + r.m * 0.05 + r.sd * 0.1 ELSE s.threshold END
+FROM st03_fold s JOIN st03_rows r ON r.name = s.name AND r.rn = s.rn + 1""",
+    "st05_rows": "SELECT remote_addr, event_id, ts_us, row_number() OVER (PARTITION BY remote_addr ORDER BY ts_us, event_id) AS rn FROM access_log",
+    "st05_fold": """
+SELECT remote_addr, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, false AS allowed, CAST([] AS BIGINT[]) AS ring FROM access_log GROUP BY 1
+UNION ALL
+SELECT remote_addr, rn, event_id, len(live) < 20, CASE WHEN len(live) < 20 THEN list_append(live, ts_us) ELSE live END FROM (
+ SELECT r.remote_addr, r.rn, r.event_id, r.ts_us, list_filter(s.ring, lambda x: x > r.ts_us - 10000000) AS live
+ FROM st05_fold s JOIN st05_rows r ON r.remote_addr = s.remote_addr AND r.rn = s.rn + 1) t""",
+}

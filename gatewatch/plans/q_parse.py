@@ -175,8 +175,8 @@ def p12(d):
 
 
 def sys_events(d):
-    return TX.parse_system_log(d.system_log, F.timestamp_micros(F.lit(AS_OF_US)), keep=["event_id"]).withColumn(
-        "ts_us", us("timestamp"))
+    e = TX.parse_system_log(d.system_log, F.timestamp_micros(F.lit(AS_OF_US)), keep=["event_id"])
+    return e.withColumn("ts_us", us("timestamp"))
 
 
 @query("p13_parse_system_log", """
