@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .regex import java_pattern, match_groups, named_groups
+from .regex import java_pattern, match_groups, named_groups, settle
 
 _HEAD = r'(\S+) - (\S+) \[([^\]]+)\] "([^"]+)" (\d+) (\d+)'
 _QUOTED = r' "([^"]+)" "([^"]+)"'
@@ -28,9 +28,14 @@ FORMATS = {
 }
 
 
+# every character Python's str.strip() removes
+WHITESPACE = "".join(chr(i) for r in (range(9, 14), range(28, 33), (0x85, 0xA0, 0x1680), range(0x2000, 0x200B),
+                                      (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)) for i in r)
+
+
 def strip(c: Column) -> Column:
     """Trim all whitespace, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def _matched(df: DataFrame, line: str, pattern: str, n: int) -> DataFrame:
@@ -44,6 +49,7 @@ def extract_groups(df: DataFrame, line: str, pattern: str, names: dict[str, int]
                    keep: list[str] = ()) -> DataFrame:
     """Keep lines whose start matches; one column per wanted group.  ``pattern`` has no ``^``."""
     d = _matched(df, line, pattern, re.compile(pattern).groups)
+    d = settle(d, list(keep), {"_g": F.col("_g")})
     return d.select(*keep, *[F.col("_g")[i - 1].alias(n) for n, i in names.items()])
 
 
@@ -93,26 +99,24 @@ def log_timestamp(c: Column) -> Column:
 
 def split_request(df: DataFrame, request: str = "request") -> DataFrame:
     """Method, uri and protocol; what follows the second blank is protocol, raw blanks included."""
-    parts = F.split(F.col(request), " ", 3)
-    piece = lambda i: F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit(""))
-    df = (df.withColumn("request_method", piece(1))
-            .withColumn("request_uri", piece(2))
-            .withColumn("request_protocol", piece(3)))
+    piece = lambda i: F.coalesce(F.try_element_at("_p", F.lit(i)), F.lit(""))
+    df = df.withColumn("_p", F.split(F.col(request), " ", 3)).withColumns(
+        {"request_method": piece(1), "request_uri": piece(2), "request_protocol": piece(3)}).drop("_p")
     return split_uri(df)
 
 
 def uri_parts(uri: Column) -> dict[str, Column]:
-    """path / query / fragment of a URI reference (RFC 3986 split, parameters cut off the path)."""
-    rest = F.regexp_replace(uri, r"^[a-zA-Z][a-zA-Z0-9+.\-]*:(?=//|[^0-9]|$)", "")
-    rest = F.when(uri.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://"),
-                  F.regexp_replace(uri, r"^[a-zA-Z][a-zA-Z0-9+.\-]*:", "")).otherwise(uri)
-    rest = F.regexp_replace(rest, r"^//[^/?#]*", "")
-    path = F.regexp_extract(rest, r"^([^?#]*)", 1)
+    """path / query / fragment of a URI reference; parameters are cut off the last path segment."""
+    plain = uri.startswith("/") & ~uri.startswith("//")
+    scheme = F.when(uri.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), F.regexp_replace(uri, "^[^:]*:", "")).otherwise(uri)
+    rest = F.when(plain, uri).otherwise(F.regexp_replace(scheme, r"^//[^/?#]*", ""))
+    after = lambda t, ch: F.when(t.contains(ch), F.substr(t, F.locate(ch, t) + F.lit(1))).otherwise("")
+    head = F.substring_index(rest, "#", 1)
+    path = F.substring_index(head, "?", 1)
     return {
-        # ``;params`` of the last segment are a field of their own
-        "request_path": F.regexp_replace(path, r";[^/]*$", ""),
-        "request_query": F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1),
-        "request_fragment": F.regexp_extract(rest, r"#(.*)$", 1),
+        "request_path": F.when(path.contains(";"), F.regexp_replace(path, r";[^/]*$", "")).otherwise(path),
+        "request_query": after(head, "?"),
+        "request_fragment": after(rest, "#"),
     }
 
 

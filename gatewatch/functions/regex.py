@@ -68,6 +68,16 @@ def match_groups(text: Column, pattern: str, n: int) -> Column:
              .otherwise(F.split(joined, _SEP)))
 
 
+def settle(df, keep: list[str], cols: dict[str, Column]):
+    """Columns worked out once per row, whatever later filters and projections do with them.
+
+    Catalyst moves filters below projections by repeating the projected expression; behind a
+    one-row generator they stay above it.
+    """
+    row = F.struct(*[c.alias(n) for n, c in cols.items()])
+    return df.select(*keep, F.inline(F.array(row)).alias(*cols))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

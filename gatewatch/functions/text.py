@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from .parse import strip
 from .patterns import lookup
-from .regex import any_word, java_pattern, let
+from .regex import any_word, java_pattern, let, settle
 
 _ISO_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
 _SLASH_LINE = r"^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2})"
@@ -21,8 +21,8 @@ _MESSAGE = r'"message":\s*"([^"]+)"'
 
 
 def _first_group(text: Column, pattern: str) -> Column:
-    java = java_pattern(pattern)
-    return F.when(text.rlike(java), F.regexp_extract(text, java, 1))
+    """First match, NULL when there is none (the group itself cannot match nothing)."""
+    return F.nullif(F.regexp_extract(text, java_pattern(pattern), 1), F.lit(""))
 
 
 def parse_system_log(df: DataFrame, as_of: Column, line: str = "value", keep=()) -> DataFrame:
@@ -54,16 +54,13 @@ def parse_system_log(df: DataFrame, as_of: Column, line: str = "value", keep=())
     some = lambda k: F.nullif(m[k], F.lit(""))
     # a key that is present with null stays null, a missing key takes the default
     pick = lambda k, d: F.when(F.map_contains_key(m, k), m[k]).otherwise(d)
-    out = df.select(
-        *keep,
-        F.when(is_json, json_ts).otherwise(plain_ts).alias("timestamp"),
-        F.when(is_json, pick("event_type", F.lit("unknown"))).otherwise(etype).alias("event_type"),
-        F.when(is_json, pick("level", F.lit("INFO"))).otherwise(level).alias("level"),
-        F.when(is_json, F.coalesce(some("ip"), m["ip_address"])).otherwise(ip).alias("ip_address"),
-        F.when(is_json, pick("message", t)).otherwise(
-            F.coalesce(_first_group(t, _MESSAGE), t)).alias("message"),
-        t.alias("raw_line"), is_json.alias("structured"),
-        m.alias("data"))
+    out = settle(df, list(keep), {
+        "timestamp": F.when(is_json, json_ts).otherwise(plain_ts),
+        "event_type": F.when(is_json, pick("event_type", F.lit("unknown"))).otherwise(etype),
+        "level": F.when(is_json, pick("level", F.lit("INFO"))).otherwise(level),
+        "ip_address": F.when(is_json, F.coalesce(some("ip"), m["ip_address"])).otherwise(ip),
+        "message": F.when(is_json, pick("message", t)).otherwise(F.coalesce(_first_group(t, _MESSAGE), t)),
+        "raw_line": t, "structured": is_json, "data": m})
     return out.where(F.col("timestamp").isNotNull())
 
 
