@@ -10,13 +10,16 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import CountVectorizer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, Normalizer, StandardScaler,
+                                StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import features as FE
+from .prefix import attach_row, exact_quantiles
 from .windows import hour_features
 
 BEHAVIOUR = ["behavior_request_rate", "behavior_error_rate", "behavior_unique_paths",
@@ -55,36 +58,28 @@ def all_features(rows: DataFrame, keep=("event_id",)) -> DataFrame:
 def char_ngrams(text, lo: int = 1, hi: int = 3):
     """Lower-cased character n-grams in text order, repeated blanks taken as one."""
     t = F.regexp_replace(F.lower(text), r"\s\s+", " ")
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))),
-                         lambda i, n=n: F.substr(t, i, F.lit(n))) for n in range(lo, hi + 1)]
-    grams = [F.when(F.length(t) >= n, g).otherwise(F.array().cast("array<string>"))
-             for n, g in zip(range(lo, hi + 1), grams)]
-    return F.concat(*grams)
 
+    def grams(n):
+        at = F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1)))
+        return F.when(F.length(t) >= n, F.transform(at, lambda i: F.substr(t, i, F.lit(n)))) \
+                .otherwise(F.array().cast("array<string>"))
 
-def char_tfidf(docs: DataFrame, text: str, max_features: int = 1000) -> tuple[DataFrame, list[str]]:
-    """(docs with ``tfidf`` vector, vocabulary).
+    return F.concat(*[grams(n) for n in range(lo, hi + 1)])
 
-    The vocabulary is the most frequent n-grams of the corpus; weights are
-    ``tf * (ln((1 + n) / (1 + df)) + 1)``, then unit length.
+
+def char_tfidf(docs: DataFrame, text: str, max_features: int = 1000, out: str = "tfidf"):
+    """(docs with a sparse unit-length vector, vocabulary).
+
+    The vocabulary is the ``max_features`` most frequent n-grams of the corpus; a term weighs
+    ``tf * (ln((1 + n) / (1 + df)) + 1)``, one more than MLlib's inverse document frequency.
     """
     g = docs.withColumn("_grams", char_ngrams(F.col(text)))
     cv = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=max_features).fit(g)
     counted = cv.transform(g)
-    names = cv.vocabulary
-    arr = vector_to_array("_tf")
-    # document frequencies of at most ``max_features`` terms: one small vector
-    pos = counted.select(F.posexplode(arr).alias("term", "tf")).where("tf > 0")
-    df = pos.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    idf = (df.crossJoin(F.broadcast(n)).withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-           .agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("_idf")))
-    w = F.transform(arr, lambda x, i: F.when(x > 0, x * F.coalesce(F.col("_idf")[i], F.lit(0.0))).otherwise(0.0))
-    out = counted.withColumn("_k", F.lit(1)).join(idf.withColumn("_k", F.lit(1)), "_k").withColumn("_w", w)
-    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, x: a + x * x))
-    unit = F.transform("_w", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(0.0))
-    return (out.withColumn("_norm", norm).withColumn("tfidf", unit)
-            .drop("_grams", "_tf", "_k", "_idf", "_w", "_norm")), names
+    idf = IDF(inputCol="_tf", outputCol="_unused").fit(counted)
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="_tf", outputCol="_w")
+    unit = Normalizer(p=2.0, inputCol="_w", outputCol=out)
+    return unit.transform(scale.transform(counted)).drop("_grams", "_tf", "_w"), cv.vocabulary
 
 
 # -- preparation ---------------------------------------------------------------------
@@ -95,10 +90,9 @@ def standardise(rows: DataFrame, cols: list[str], out: str = "scaled") -> DataFr
     """
     a = VectorAssembler(inputCols=cols, outputCol="_raw", handleInvalid="keep").transform(rows)
     m = StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True).fit(a)
-    n = rows.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1))
-    s = m.transform(a).withColumn("_k", F.lit(1)).join(n, "_k")
+    s = attach_row(m.transform(a), rows.agg(F.count(F.lit(1)).alias("_n")))
     f = F.sqrt(F.col("_n") / (F.col("_n") - 1))
-    return s.withColumn(out, F.transform(vector_to_array("_std"), lambda x: x * f)).drop("_raw", "_std", "_k", "_n")
+    return s.withColumn(out, F.transform(vector_to_array("_std"), lambda x: x * f)).drop("_raw", "_std", "_n")
 
 
 def encode_labels(rows: DataFrame, label: str, out: str = "label_index"):
@@ -204,13 +198,18 @@ def grow_forest(rows: DataFrame, vector: str, tie: str, trees: int = 100, sample
     are thinned to an expected few samples' worth before the ranking, so each tree's task ranks a
     bounded number of rows however large the input is, and a tree is grown from ``sample`` rows.
     """
-    n = rows.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1))
-    draw = rows.select(F.col(tie).alias("_id"), F.col(vector).alias("_x"), F.lit(1).alias("_k")).join(n, "_k")
+    draw = attach_row(rows.select(F.col(tie).alias("_id"), F.col(vector).alias("_x")),
+                      rows.agg(F.count(F.lit(1)).alias("_n")))
+    share = lambda *h: F.pmod(F.xxhash64(*h), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # chance that keeps about 4 * sample rows per tree; all rows when there are fewer
-    keep = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("_n"))
-    picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: (
-        F.pmod(F.xxhash64(F.col("_id"), t, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.col("_keep"))
-    draw = draw.withColumn("_keep", keep).select("_id", "_x", F.explode(picks).alias("tree"))
+    draw = draw.withColumn("_keep", F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("_n")))
+    # with few rows every tree draws on its own; with many a kept row serves one tree
+    each = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
+                    lambda t: share(F.col("_id"), t, F.lit(seed)) < F.col("_keep"))
+    single = F.array(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(trees)).cast("int"))
+    many = F.col("_keep") * trees < 1
+    draw = (draw.where(~many | (share(F.col("_id"), F.lit(seed)) < F.col("_keep") * trees))
+            .select("_id", "_x", F.explode(F.when(many, single).otherwise(each)).alias("tree")))
     w = Window.partitionBy("tree").orderBy(F.xxhash64("_id", "tree", F.lit(seed)), "_id")
     chosen = draw.withColumn("_r", F.row_number().over(w)).where(f"_r <= {sample}")
 
@@ -264,11 +263,9 @@ def score_forest(rows: DataFrame, vector: str, forest: pd.DataFrame, sample: int
 def flag_anomalies(scored: DataFrame, contamination: float = 0.1, score: str = "anomaly_score") -> DataFrame:
     """Adds ``decision`` (negative for anomalies) and ``is_anomaly``; the cut is the score that the
     wanted share of the training rows exceeds."""
-    from .prefix import exact_quantiles
-    cut = exact_quantiles(scored, [], score, {"_cut": 1.0 - contamination}).withColumn("_k", F.lit(1))
-    s = scored.withColumn("_k", F.lit(1)).join(cut, "_k")
+    s = attach_row(scored, exact_quantiles(scored, [], score, {"_cut": 1.0 - contamination}))
     return (s.withColumn("decision", F.col("_cut") - F.col(score))
-            .withColumn("is_anomaly", F.col("decision") < 0).drop("_k", "_cut"))
+            .withColumn("is_anomaly", F.col("decision") < 0).drop("_cut"))
 
 
 def anomaly_training_report(flagged: DataFrame) -> DataFrame:
@@ -294,8 +291,7 @@ def ensemble_vote(predictions: DataFrame, weights: DataFrame, key: str) -> DataF
     ``weights``: model_name, weight (validation accuracy, 1 where there is none); models with weight 0
     take no part.
     """
-    total = weights.agg(F.sum("weight").alias("_t")).withColumn("_k", F.lit(1))
-    w = (weights.withColumn("_k", F.lit(1)).join(total, "_k")
+    w = (attach_row(weights, weights.agg(F.sum("weight").alias("_t")))
          .select("model_name", (F.col("weight") / F.col("_t")).alias("w")).where("w > 0"))
     p = predictions.join(w, "model_name")
     votes = p.groupBy(key).agg(

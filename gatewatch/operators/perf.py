@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from .prefix import SECOND, exact_quantiles
+from .prefix import SECOND, attach_row, exact_quantiles
 
 
 def metric_summary(samples: DataFrame, as_of_us: int, window_s: int = 300) -> DataFrame:
@@ -106,7 +106,7 @@ def event_type_counts(events: DataFrame, too_many: int = 1000, keep: int = 500)
     first (rank limit), so no task sorts all types.
     """
     n = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    total = n.agg(F.count(F.lit(1)).alias("_types")).withColumn("_k", F.lit(1))
+    total = n.agg(F.count(F.lit(1)).alias("_types"))
     top = n.orderBy(F.desc("n"), "event_type").limit(keep).select("event_type", F.lit(True).alias("_top"))
-    return (n.withColumn("_k", F.lit(1)).join(total, "_k").join(top, "event_type", "left")
+    return (attach_row(n, total).join(top, "event_type", "left")
             .where((F.col("_types") <= too_many) | F.col("_top")).select("event_type", "n"))

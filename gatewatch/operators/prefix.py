@@ -60,6 +60,15 @@ class RollingDistinct:
     only: dict[str, Column] = field(default_factory=dict)
 
 
+def attach_row(rows: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Columns of a one-row frame (a global aggregate) on every row.
+
+    One row is the size bound that makes the explicit broadcast safe.
+    """
+    k = F.lit(1)
+    return rows.withColumn("_k", k).join(F.broadcast(one_row.withColumn("_k", k)), "_k").drop("_k")
+
+
 def slice_of(ts: Column, size: int) -> Column:
     """Start of the slice a time falls in (integer arithmetic, negative times included)."""
     return ts - F.pmod(ts, F.lit(size))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from .prefix import attach_row
 
 
 def role_permissions(role: Column) -> Column:
@@ -43,9 +44,8 @@ def manageable_counts(users: DataFrame) -> DataFrame:
     and no (manager, target) pair is built.
     """
     per = users.groupBy("tenant_id").agg(F.count_if(F.col("role") != "super_admin").alias("_own"))
-    total = users.agg(F.count(F.lit(1)).alias("_all")).withColumn("_k", F.lit(1))
-    m = users.where(F.col("role").isin("super_admin", "tenant_admin")).withColumn("_k", F.lit(1))
-    return (m.join(per, "tenant_id").join(total, "_k")
+    m = users.where(F.col("role").isin("super_admin", "tenant_admin"))
+    return (attach_row(m.join(per, "tenant_id"), users.agg(F.count(F.lit(1)).alias("_all")))
             .withColumn("manageable", F.when(F.col("role") == "super_admin", F.col("_all")).otherwise(F.col("_own")))
             .select("user_id", "tenant_id", "role", "manageable"))
 

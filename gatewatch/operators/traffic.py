@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from .prefix import attach_row
 
 
 def traffic_summary(rows: DataFrame, suspicious: Column) -> DataFrame:
@@ -55,6 +56,5 @@ def attacks_by_dimension(attacks: DataFrame, as_of_us: int, period: str, group_b
 def platform_totals(requests: DataFrame, attacks: Column, bans: DataFrame) -> DataFrame:
     """AG34: one row of totals; each side is aggregated to one row before they meet."""
     r = requests.agg(F.count(F.lit(1)).alias("total_requests"), F.count_if(attacks).alias("total_attacks"),
-                     F.countDistinct("node_id").alias("active_nodes"), F.lit(1).alias("_k"))
-    b = bans.agg(F.countDistinct("ip").alias("banned_ips"), F.lit(1).alias("_k"))
-    return r.join(b, "_k").drop("_k")
+                     F.countDistinct("node_id").alias("active_nodes"))
+    return attach_row(r, bans.agg(F.countDistinct("ip").alias("banned_ips")))

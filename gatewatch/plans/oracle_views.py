@@ -229,3 +229,6 @@ SELECT remote_addr, rn, event_id, len(live) < 20, CASE WHEN len(live) < 20 THEN
  SELECT r.remote_addr, r.rn, r.event_id, r.ts_us, list_filter(s.ring, lambda x: x > r.ts_us - 10000000) AS live
  FROM st05_fold s JOIN st05_rows r ON r.remote_addr = s.remote_addr AND r.rn = s.rn + 1) t""",
 }
+ORACLE_VIEWS["grams"] = " UNION ALL ".join(
+    f"SELECT event_id, substr(lower(request_uri), i, {n}) AS g FROM (SELECT event_id, request_uri, unnest(generate_series(1, length(request_uri) - {n - 1})) AS i FROM access_log) u"
+    for n in (1, 2, 3))

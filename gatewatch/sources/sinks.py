@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import parse as P
+from ..operators.prefix import attach_row
 
 
 def access_log_rows(rows: DataFrame, processed_us=None) -> DataFrame:
@@ -114,9 +115,8 @@ def export_performance(metrics: DataFrame, spans: DataFrame, start_us=None, end_
     """(metrics, spans, one row of counts)."""
     m = in_range(metrics, start_us, end_us)
     s = in_range(spans.where("duration is not null"), start_us, end_us, "start_us")
-    k = F.lit(1).alias("_k")
-    counts = (m.agg(F.count(F.lit(1)).alias("metrics_count"), k)
-              .join(s.agg(F.count(F.lit(1)).alias("spans_count"), k), "_k").drop("_k"))
+    counts = attach_row(m.agg(F.count(F.lit(1)).alias("metrics_count")),
+                        s.agg(F.count(F.lit(1)).alias("spans_count")))
     return m, s, counts
 
 
