@@ -28,19 +28,36 @@ COUNTS = ("remote_addr string, event_id bigint, ts_us bigint, request_uri string
           "pattern_label string, n404 bigint, n_1min bigint, n_5min bigint, n_uris bigint, n_sensitive bigint")
 
 
+def _distinct_in_windows(codes, sens, lo, hi):
+    """Distinct codes (and sensitive ones) of the windows [lo, hi), both ends moving forward only."""
+    held: dict = {}
+    uris, sensitive = np.empty(len(lo), np.int64), np.empty(len(lo), np.int64)
+    a = b = n_sens = 0
+    for i, (x, y) in enumerate(zip(lo, hi)):
+        for j in range(b, y):
+            c = codes[j]
+            held[c] = held.get(c, 0) + 1
+            n_sens += held[c] == 1 and sens[j]
+        b = max(b, y)
+        for j in range(a, x):
+            c = codes[j]
+            held[c] -= 1
+            if not held[c]:
+                del held[c]
+                n_sens -= sens[j]
+        a = max(a, x)
+        uris[i], sensitive[i] = len(held), n_sens
+    return uris, sensitive
+
+
 def _count_rows(t, codes, f404, sens, new, w404):
-    """Rolling counts of the rows ``new`` inside a time-sorted history."""
+    """Rolling counts of the rows ``new`` inside a time-sorted history, one forward pass."""
     hi = np.searchsorted(t, t[new], side="right")
     lo = lambda w: np.searchsorted(t, t[new] - w, side="left")
     c404 = np.concatenate([[0], np.cumsum(f404)])
-    out = {"n404": c404[hi] - c404[lo(w404)], "n_1min": hi - lo(MINUTE), "n_5min": hi - lo(5 * MINUTE)}
-    lo10 = lo(10 * MINUTE)
-    uris, sensitive = [], []
-    for a, b in zip(lo10, hi):
-        u, first = np.unique(codes[a:b], return_index=True)
-        uris.append(len(u))
-        sensitive.append(int(sens[a:b][first].sum()))
-    return out | {"n_uris": np.array(uris), "n_sensitive": np.array(sensitive)}
+    uris, sensitive = _distinct_in_windows(codes.tolist(), sens.tolist(), lo(10 * MINUTE), hi)
+    return {"n404": c404[hi] - c404[lo(w404)], "n_1min": hi - lo(MINUTE), "n_5min": hi - lo(5 * MINUTE),
+            "n_uris": uris, "n_sensitive": sensitive}
 
 
 def rolling_counts(requests: DataFrame, watermark: str = "1 minute",
@@ -79,7 +96,8 @@ def rolling_counts(requests: DataFrame, watermark: str = "1 minute",
             for n, v in counts.items():
                 out[n] = v.astype(np.int64)
             yield out
-        live = t >= max(mark, int(t.max()) - keep_us if mark == 0 and len(t) else mark) - keep_us
+        # a row at the watermark may still come and looks back one window
+        live = t >= mark - keep_us
         state.update((t[live].tolist(), f[live].tolist(), u[live].tolist(), s[live].tolist()))
         last = int(t.max()) if len(t) else mark
         state.setTimeoutTimestamp(max((last + keep_us) // 1000, state.getCurrentWatermarkMs() + 1))
