@@ -19,95 +19,160 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import slice_of
+from .prefix import DEFAULT_SLICE, Rolling, previous_time, rolling_totals, row_numbers, slice_of
 
 _NEVER = -(1 << 62)
+SEGMENT_LIMIT = 6 * 3600 * 1_000_000  # a key's traffic of six hours is the largest group
 
 
-def _next_kept(ts: np.ndarray, gap: np.ndarray) -> np.ndarray:
-    """Index of the first row that may follow each row (len(ts) when there is none)."""
-    return np.searchsorted(ts, ts + gap, side="left")
-
-
-def _last_kept(ts: np.ndarray, gap: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    nxt = _next_kept(ts, gap)
-    cur = starts.copy()
-    live = nxt[cur] < len(ts)
-    while live.any():
-        cur[live] = nxt[cur[live]]
-        live = nxt[cur] < len(ts)
-    return cur
+class _Groups:
+    """Rows of several groups, each in time order, as flat arrays.
 
+    ``jump[i]`` is the first row of the same group that may follow row ``i`` (``n`` if there is none).
+    All groups are searched at once by shifting each one's times into its own range.
+    """
 
-def _first_per_time(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["_t", "_o"], kind="stable").drop_duplicates("_t")
+    def __init__(self, t: np.ndarray, gap: np.ndarray, first: np.ndarray):
+        self.t, self.n = t, len(t)
+        self.gid = np.cumsum(first)
+        self.base = t.min()
+        self.span = int(t.max() - self.base) + 2
+        self.pos = self.gid * self.span + (t - self.base)
+        self.starts = np.flatnonzero(np.append(True, self.gid[1:] != self.gid[:-1]))
+        self.end = np.append(self.starts[1:], self.n)[self.gid - self.gid[0]]
+        reach = np.minimum(t - self.base + gap, self.span - 1)
+        nxt = np.searchsorted(self.pos, self.gid * self.span + reach)
+        # a gap that leads past the last time of the group ends its chain
+        self.jump = np.where((nxt < self.end) & (t - self.base + gap < self.span), nxt, self.n)
+
+    def at_or_after(self, times: np.ndarray) -> np.ndarray:
+        """Per group: its first row that is not earlier than the group's time, ``n`` if there is none."""
+        rel = np.clip(times - self.base, 0, self.span - 1)
+        i = np.searchsorted(self.pos, self.gid[self.starts] * self.span + rel)
+        return np.where((i < self.end[self.starts]) & (times - self.base < self.span), i, self.n)
+
+    def last_kept(self) -> np.ndarray:
+        """Where the chain from each row ends, by pointer doubling."""
+        f = np.where(self.jump < self.n, self.jump, np.arange(self.n))
+        while True:
+            g = f[f]
+            if np.array_equal(g, f):
+                return f
+            f = g
+
+    def walk(self, start: np.ndarray) -> np.ndarray:
+        """Mask of the rows on the chains that begin at ``start``, all groups in step."""
+        kept, cur = np.zeros(self.n, bool), start[start < self.n]
+        while len(cur):
+            kept[cur] = True
+            cur = self.jump[cur]
+            cur = cur[cur < self.n]
+        return kept
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Regroups Arrow batches so that no group is torn; column ``_first`` marks where groups begin."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        begins = np.flatnonzero(b["_first"].to_numpy())
+        if not len(begins):
+            held.append(b)
+            continue
+        if held or begins[0] > 0:
+            held.append(b.iloc[:begins[0]])
+            yield pd.concat(held, ignore_index=True)
+        if begins[-1] > begins[0]:
+            yield b.iloc[begins[0]:begins[-1]].reset_index(drop=True)
+        held = [b.iloc[begins[-1]:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _in_order(df: DataFrame, part: list[str]) -> DataFrame:
+    """Rows of each group next to each other in time order, group starts flagged.  The ranking and
+    the final sort need the same order, so the data is sorted once."""
+    w = Window.partitionBy(*part).orderBy("_t")
+    return df.withColumn("_first", F.row_number().over(w) == 1).sortWithinPartitions(*part, "_t")
 
 
 def greedy_keep(rows: DataFrame, keys: list[str], ts: str, tie: str, gap_us, max_gap_us: int,
                 segment_us: int | None = None) -> DataFrame:
-    """Rows kept by the filter: (keys, ts, tie, gap).
+    """Rows kept by the filter: (keys, ts, tie, gap_us).
 
     ``gap_us`` is a column (µs a kept row blocks the key for) or a number, at most ``max_gap_us``;
-    a row exactly ``gap`` after the last kept one is kept again.
+    a row exactly ``gap`` after the last kept one is kept again.  Keys must not be NULL.
     """
-    segment_us = segment_us or 16 * max_gap_us
+    segment_us = segment_us or min(16 * max_gap_us, SEGMENT_LIMIT)
     gap = F.lit(gap_us) if isinstance(gap_us, int) else gap_us
     src = rows.select(*keys, F.col(ts).cast("bigint").alias("_t"), F.col(tie).cast("bigint").alias("_o"),
                       gap.cast("bigint").alias("_g"))
-    # rows of one time can keep only one of them: thin out before anything is grouped in Python
+    # rows of one time can keep only one of them; thinned out before anything reaches Python
     src = src.groupBy(*keys, "_t").agg(F.min(F.struct("_o", "_g")).alias("_m")).select(
         *keys, "_t", "_m._o", "_m._g").withColumn("_seg", slice_of(F.col("_t"), segment_us))
     types = dict(src.dtypes)
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    part = [*keys, "_seg"]
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _whole_groups(batches):
+            g = _Groups(b["_t"].to_numpy(), b["_g"].to_numpy(), b["_first"].to_numpy())
+            seg = b["_seg"].to_numpy()
+            last = g.last_kept()
+            # candidates: rows a ban from before the segment can reach, and the first row behind them
+            near = g.t < seg + max_gap_us
+            near |= np.append(True, near[:-1]) | b["_first"].to_numpy()
+            # of neighbouring candidates with the same end only the latest is written
+            same = np.append((last[1:] == last[:-1]) & near[1:] & (g.gid[1:] == g.gid[:-1]), False)
+            pick = np.flatnonzero(near & ~same)
+            out = b.iloc[pick][[*keys, "_seg"]].copy()
+            out["_hi"] = g.t[pick]
+            out["_free"] = g.t[last[pick]] + b["_g"].to_numpy()[last[pick]]
+            yield out
 
-    def ranges(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _first_per_time(pdf)
-        t, g = pdf["_t"].to_numpy(), pdf["_g"].to_numpy()
-        seg = pdf["_seg"].iloc[0]
-        n = min(len(t), int(np.searchsorted(t, seg + max_gap_us, side="left")) + 1)
-        starts = np.arange(n)
-        end = _last_kept(t, g, starts)
-        cut = np.flatnonzero(np.append(True, end[1:] != end[:-1]))
-        last = np.append(cut[1:] - 1, n - 1)
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(cut) for k in keys})
-        out["_seg"], out["_hi"] = seg, t[last]
-        out["_free"] = t[end[cut]] + g[end[cut]]
-        return out
-
-    table = src.groupBy(*keys, "_seg").applyInPandas(
+    table = _in_order(src.repartition(*part), part).mapInPandas(
         ranges, f"{key_ddl}, _seg bigint, _hi bigint, _free bigint")
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, free, done = None, _NEVER, None
+    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free, done = _NEVER, None
         for b in batches:
-            picked = []
-            cols = [b[k] for k in keys]
-            for i, (seg, hi, nf) in enumerate(zip(b["_seg"], b["_hi"], b["_free"])):
-                k = tuple(c.iat[i] for c in cols)
-                if k != key:
-                    key, free, done = k, _NEVER, None
+            hit, start = [], []
+            for i, (new, seg, hi, nf) in enumerate(zip(
+                    b["_first"].tolist(), b["_seg"].tolist(), b["_t"].tolist(), b["_free"].tolist())):
+                if new:
+                    free, done = _NEVER, None
                 if seg != done and hi >= free:
-                    picked.append((*k, seg, free))
+                    hit.append(i)
+                    start.append(free)
                     free, done = nf, seg
-            yield pd.DataFrame(picked, columns=[*keys, "_seg", "_from"])
-
-    entry = (table.repartition(*keys).sortWithinPartitions(*keys, "_seg", "_hi")
-             .mapInPandas(walk, f"{key_ddl}, _seg bigint, _from bigint"))
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _first_per_time(pdf)
-        t, g = pdf["_t"].to_numpy(), pdf["_g"].to_numpy()
-        nxt = _next_kept(t, g)
-        i, kept = int(np.searchsorted(t, pdf["_from"].iloc[0], side="left")), []
-        while i < len(t):
-            kept.append(i)
-            i = int(nxt[i])
-        return pdf.iloc[kept][[*keys, "_t", "_o", "_g"]]
-
-    out = src.join(entry, [*keys, "_seg"]).groupBy(*keys, "_seg").applyInPandas(
+            out = b.iloc[hit][[*keys, "_seg"]].copy()
+            out["_from"] = start
+            yield out
+
+    entry = _in_order(table.withColumnRenamed("_hi", "_t").repartition(*keys), keys).mapInPandas(
+        enter, f"{key_ddl}, _seg bigint, _from bigint")
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free = _NEVER
+        for b in batches:
+            if not len(b):
+                continue
+            g = _Groups(b["_t"].to_numpy(), b["_g"].to_numpy(), b["_first"].to_numpy())
+            begin = b["_from"].to_numpy()[g.starts].copy()
+            if not b["_first"].iloc[0]:  # a group that goes on from the batch before
+                begin[0] = free
+            kept = g.walk(g.at_or_after(begin))
+            tail = np.flatnonzero(kept[g.starts[-1]:])
+            if len(tail):
+                i = g.starts[-1] + tail[-1]
+                free = int(g.t[i] + b["_g"].iloc[i])
+            else:
+                free = int(begin[-1])
+            yield b[kept][[*keys, "_t", "_o", "_g"]]
+
+    out = _in_order(src.join(entry, part), part).mapInPandas(
         replay, f"{key_ddl}, _t bigint, _o bigint, _g bigint")
     return out.select(*keys, F.col("_t").alias(ts), F.col("_o").alias(tie), F.col("_g").alias("gap_us"))
 
@@ -120,7 +185,6 @@ def sliding_limit(rows: DataFrame, keys: list[str], ts: str, tie: str, max_reque
     the group.  Idle gaps of a full window reset the state, so a key is cut there into sessions
     that run in parallel.
     """
-    from .prefix import Rolling, previous_time, rolling_totals
     src = rows.select(*keys, F.col(ts).alias("_t"), F.col(tie).alias("_o"))
     src = previous_time(src, keys, "_t", "_o", "_p", slice_us=max(window_us, 60_000_000))
     fresh = F.when(F.col("_p").isNull() | (F.col("_t") - F.col("_p") >= window_us), 1).otherwise(0)
@@ -131,29 +195,29 @@ def sliding_limit(rows: DataFrame, keys: list[str], ts: str, tie: str, max_reque
     part = [*keys, "_session"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ring, pos, used = None, np.full(max_requests, _NEVER), 0, 0
+        ring, pos, used = [0] * max_requests, 0, 0
         for b in batches:
-            allowed, left = np.zeros(len(b), bool), np.zeros(len(b), np.int64)
-            cols = [b[k] for k in part]
-            times = b["_t"].to_numpy()
-            for i, t in enumerate(times):
-                k = tuple(c.iat[i] for c in cols)
-                if k != key:
-                    key, ring, pos, used = k, np.full(max_requests, _NEVER), 0, 0
+            allowed, left = [], []
+            for new, t in zip(b["_first"].tolist(), b["_t"].tolist()):
+                if new:
+                    pos = used = 0
                 # the ring holds allowed times in order, so the oldest ones leave first
                 while used and ring[(pos - used) % max_requests] <= t - window_us:
                     used -= 1
-                if used < max_requests:
+                ok = used < max_requests
+                if ok:
                     ring[pos % max_requests] = t
                     pos, used = pos + 1, used + 1
-                    allowed[i] = True
-                left[i] = max_requests - used
+                allowed.append(ok)
+                left.append(max_requests - used)
             out = b[[*keys, "_t", "_o"]].copy()
             out["allowed"], out["remaining"] = allowed, left
             yield out
 
-    out = (src.repartition(*part).sortWithinPartitions(*part, "_t", "_o")
-           .mapInPandas(scan, f"{key_ddl}, _t bigint, _o bigint, allowed boolean, remaining bigint"))
+    w = Window.partitionBy(*part).orderBy("_t", "_o")
+    flagged = (src.repartition(*part).withColumn("_first", F.row_number().over(w) == 1)
+               .sortWithinPartitions(*part, "_t", "_o"))
+    out = flagged.mapInPandas(scan, f"{key_ddl}, _t bigint, _o bigint, allowed boolean, remaining bigint")
     return out.withColumnsRenamed({"_t": ts, "_o": tie})
 
 
@@ -168,9 +232,6 @@ def smoothed_threshold(rows: DataFrame, key: str, ts: str, tie: str, value: str,
     frame, and the smoothing is linear, so a block is ``b_out = A * b_in + B``.
     ``initial`` has (key, initial).
     """
-    from pyspark.sql import Window
-
-    from .prefix import DEFAULT_SLICE, row_numbers
     src = row_numbers(rows.select(key, ts, tie, value, anomaly), [key], ts, tie, "_rn",
                       slice_us or DEFAULT_SLICE)
     src = src.withColumn("_blk", F.expr(f"(_rn - 1) div {block}"))
