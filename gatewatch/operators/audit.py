@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ip as IP
 from ..functions import patterns as P
+from ..functions.regex import settle
 from .addresses import flag_listed
 
 
@@ -19,7 +20,8 @@ def security_events(raw: DataFrame, malicious: DataFrame) -> DataFrame:
     """
     c = F.col
     e = flag_listed(raw, malicious, "source_ip", "is_malicious")
-    e = e.withColumn("threat_indicators", P.threat_indicators(c("request_path"), c("request_body")))
+    # matched once; five of the columns below depend on it
+    e = settle(e, e.columns, {"threat_indicators": P.threat_indicators(c("request_path"), c("request_body"))})
     e = (e.withColumn("event_type", P.event_type(c("threat_indicators"), c("given_type"), c("response_status")))
           .withColumn("security_level", P.security_level(c("threat_indicators"), c("response_status"))))
     e = (e.withColumn("compliance_tags", P.compliance_tags(c("event_type")))

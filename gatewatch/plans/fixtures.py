@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.regex import settle
 from ..session import pin_utc
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -286,4 +288,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in TABLES:
         if re.search(rf"\bgw_{t}\b", sql):
             table(spark, sf_dir, t).createOrReplaceTempView(f"gw_{t}")
-    return spark.sql(sql)
+    out = spark.sql(sql)
+    # a log view stands for a table of lines: make each line once, however often it is read
+    return settle(out, ["event_id"], {"value": F.col("value")}) if out.columns == ["event_id", "value"] else out
