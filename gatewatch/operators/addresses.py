@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ip import network_range, v4_number, v6_hex
+from ..functions.ip import V4_PATTERN, network_range, v4_number, v6_hex
 from ..functions.regex import let
 
 NETWORK_DDL = "cidr string, family int, lo string, hi string"
@@ -110,22 +112,32 @@ def drop_configured(rows: DataFrame, entries: list[str], ip: str = "remote_addr"
     """
     if len(entries) > LITERAL_LIMIT:
         return drop_allow_listed(rows, networks_frame(rows.sparkSession, entries, strict, stop_at_bad), ip)
-    four, six = [], []
+    text, ranges, six = F.lit(False), [], []
     for e in entries:
         if not is_network(e, strict):
             if stop_at_bad:
                 break
             continue
-        fam, lo, hi = network_range(e, strict)
-        (four if fam == 4 else six).append((lo, hi))
-
-    def within(n, ranges):
+        net = ipaddress.ip_network(e, strict=False)
+        octets = str(net.network_address).split(".")
+        if net.version == 6:
+            six.append(network_range(e)[1:])
+        elif net.prefixlen == 32:
+            text = text | (F.col(ip) == str(net.network_address))
+        elif net.prefixlen in (8, 16, 24):  # whole octets: a text prefix says it all
+            text = text | F.col(ip).startswith(".".join(octets[:net.prefixlen // 8]) + ".")
+        else:
+            ranges.append(network_range(e)[1:])
+
+    def within(n, spans):
         out = F.lit(False)
-        for lo, hi in ranges:
+        for lo, hi in spans:
             out = out | n.between(F.lit(lo), F.lit(hi))
         return F.coalesce(out, F.lit(False))
 
-    listed = let(v4_number(F.col(ip)), lambda n: within(n, four))
+    listed = F.coalesce(text & F.col(ip).rlike(V4_PATTERN), F.lit(False))
+    if ranges:
+        listed = listed | let(v4_number(F.col(ip)), lambda n: within(n, ranges))
     if six:
         listed = listed | F.when(F.col(ip).contains(":"), let(v6_hex(F.col(ip)), lambda n: within(n, six))) \
             .otherwise(F.lit(False))

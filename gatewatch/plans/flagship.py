@@ -25,7 +25,9 @@ def requests_from_lines(lines: DataFrame) -> DataFrame:
 def verdicts(lines: DataFrame) -> DataFrame:
     """Lines to requests with their verdict: one scan, one shuffle on (address, time slice)."""
     rows = drop_configured(requests_from_lines(lines), R.DEFAULT_ALLOW_IPS + R.DEFAULT_ALLOW_NETWORKS)
-    return detect(rows)
+    # only what the rules read goes through the shuffle
+    return detect(rows.select("event_id", "remote_addr", "ts_us", "request_method", "request_uri", "status",
+                              "http_user_agent", "http_referer"))
 
 
 def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
