@@ -165,7 +165,8 @@ def event_checksum(id_: Column, etype: Column, ts: Column, ip: Column, descripti
     """sha256 over the sorted-key JSON of the five identifying fields."""
     quoted = lambda c: let(_json_text(c), lambda j: F.when(
         j.rlike(r"^\p{ASCII}*$"), j).otherwise(
-            F.array_join(F.transform(F.split(j, ""), _escape), "")))
+            F.array_join(F.transform(F.sequence(F.lit(1), F.length(j)),
+                                     lambda i: _escape(F.substr(j, i, F.lit(1)))), "")))
     doc = F.concat(F.lit('{"description": '), quoted(description), F.lit(', "event_type": '),
                    quoted(etype), F.lit(', "id": '), quoted(id_), F.lit(', "source_ip": '),
                    quoted(ip), F.lit(', "timestamp": "'), iso_text(ts), F.lit('"}'))
@@ -175,7 +176,7 @@ def event_checksum(id_: Column, etype: Column, ts: Column, ip: Column, descripti
 def _escape(ch: Column) -> Column:
     """One character as JSON escapes unless ASCII; UTF-16 units, so pairs for the upper planes."""
     units = F.hex(F.encode(ch, "UTF-16BE"))
-    esc = F.lower(F.regexp_replace(units, "(.{4})", r"\\\\u$1"))
+    esc = F.lower(F.regexp_replace(units, "(.{4})", r"\\u$1"))
     return F.when(ch.rlike(r"^\p{ASCII}*$"), ch).otherwise(esc)
 
 
