@@ -1,0 +1 @@
+"""Web-log security analytics on Spark."""
