@@ -221,6 +221,27 @@ def sliding_limit(rows: DataFrame, keys: list[str], ts: str, tie: str, max_reque
     return out.withColumnsRenamed({"_t": ts, "_o": tie})
 
 
+def baseline_statistics(rows: DataFrame, key: str, ts: str, tie: str, value: str, anomaly: str,
+                        block: int = 50_000, slice_us: int | None = None) -> DataFrame:
+    """Mean ``_m`` and deviation ``_sd`` of the normal values among the last 50 samples, and
+    whether they count (``_on``: 10th sample or later, a normal value in reach).
+
+    A series is cut into numbered blocks (``_rn``, ``_blk``); the last 49 samples are handed to the
+    next block for its frame.
+    """
+    src = row_numbers(rows.select(key, ts, tie, value, anomaly), [key], ts, tie, "_rn",
+                      slice_us or DEFAULT_SLICE)
+    src = src.withColumn("_home", F.expr(f"(_rn - 1) div {block}"))
+    hand_on = F.when((F.col("_rn") - 1) % block >= block - 49,
+                     F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array("_home"))
+    src = src.withColumn("_blk", F.explode(hand_on))
+    frame = Window.partitionBy(key, "_blk").orderBy("_rn").rowsBetween(-49, 0)
+    normal = F.when(~F.col(anomaly), F.col(value))
+    src = (src.withColumn("_m", F.avg(normal).over(frame)).withColumn("_sd", F.stddev_pop(normal).over(frame))
+           .where(F.col("_home") == F.col("_blk")).drop("_home"))
+    return src.withColumn("_on", (F.col("_rn") >= 10) & F.col("_m").isNotNull())
+
+
 def smoothed_threshold(rows: DataFrame, key: str, ts: str, tie: str, value: str, anomaly: str,
                        initial: DataFrame, sensitivity: float = 0.1, rate: float = 0.05,
                        block: int = 50_000, slice_us: int | None = None) -> DataFrame:
@@ -228,23 +249,11 @@ def smoothed_threshold(rows: DataFrame, key: str, ts: str, tie: str, value: str,
 
     From a series' 10th sample on, the mean and deviation of the normal values among its last 50
     pull the baseline by ``rate``; before, and while no normal value is in reach, it stays.
-    A series is cut into numbered blocks: the last 49 samples are handed to the next block for the
-    frame, and the smoothing is linear, so a block is ``b_out = A * b_in + B``.
+    The smoothing is linear, so a block of samples is ``b_out = A * b_in + B`` and blocks compose.
     ``initial`` has (key, initial).
     """
-    src = row_numbers(rows.select(key, ts, tie, value, anomaly), [key], ts, tie, "_rn",
-                      slice_us or DEFAULT_SLICE)
-    src = src.withColumn("_blk", F.expr(f"(_rn - 1) div {block}"))
-    hand_on = F.when((F.col("_rn") - 1) % block >= block - 49,
-                     F.array(F.col("_blk"), F.col("_blk") + 1)).otherwise(F.array("_blk"))
-    src = src.withColumn("_home", F.col("_blk")).withColumn("_blk", F.explode(hand_on))
+    src = baseline_statistics(rows, key, ts, tie, value, anomaly, block, slice_us)
     part = [key, "_blk"]
-    frame = Window.partitionBy(*part).orderBy("_rn").rowsBetween(-49, 0)
-    normal = F.when(~F.col(anomaly), F.col(value))
-    src = (src.withColumn("_m", F.avg(normal).over(frame))
-              .withColumn("_sd", F.stddev_pop(normal).over(frame))
-              .where(F.col("_home") == F.col("_blk")).drop("_home"))
-    src = src.withColumn("_on", (F.col("_rn") >= 10) & F.col("_m").isNotNull())
     # position among the samples that move the baseline, counted inside the block
     pos = Window.partitionBy(*part).orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
     src = src.withColumn("_i", F.sum(F.col("_on").cast("int")).over(pos))

@@ -91,7 +91,7 @@ def standardise(rows: DataFrame, cols: list[str], out: str = "scaled") -> DataFr
     a = VectorAssembler(inputCols=cols, outputCol="_raw", handleInvalid="keep").transform(rows)
     m = StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True).fit(a)
     s = attach_row(m.transform(a), rows.agg(F.count(F.lit(1)).alias("_n")))
-    f = F.sqrt(F.col("_n") / (F.col("_n") - 1))
+    f = F.when(F.col("_n") > 1, F.sqrt(F.try_divide(F.col("_n"), F.col("_n") - 1))).otherwise(1.0)
     return s.withColumn(out, F.transform(vector_to_array("_std"), lambda x: x * f)).drop("_raw", "_std", "_n")
 
 

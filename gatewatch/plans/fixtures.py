@@ -281,13 +281,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view as a DataFrame over the tables of ``sf_dir``."""
+def view(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """A derived view as a DataFrame over the tables of ``sf_dir``, or a stream over their files."""
     pin_utc(spark)
     sql = with_views(f"SELECT * FROM {name}", SparkText)
     for t in TABLES:
         if re.search(rf"\bgw_{t}\b", sql):
-            table(spark, sf_dir, t).createOrReplaceTempView(f"gw_{t}")
+            df = table(spark, sf_dir, t)
+            if stream:
+                df = spark.readStream.schema(df.schema).option("pathGlobFilter", f"{t}.parquet").parquet(sf_dir)
+            df.createOrReplaceTempView(f"gw_{t}")
     out = spark.sql(sql)
     # a log view stands for a table of lines: make each line once, however often it is read
     return settle(out, ["event_id"], {"value": F.col("value")}) if out.columns == ["event_id", "value"] else out

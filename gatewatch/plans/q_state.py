@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from .. import rules as R
+
 from ..functions import parse as PA
 from ..functions import patterns as PT
 from ..operators import alerts as AL
@@ -15,6 +19,10 @@ from ..operators import state as ST
 from ..operators import tenancy as TE
 from ..sources import logs as LO
 from ..sources import sinks as SI
+from ..session import shared_folder
+from ..streaming import jobs
+from ..streaming.detect import detection_stream
+from . import fixtures as fx
 from .q_detect import allow_networks, decided, ip_state
 from .q_reports import END, sec_events
 from .registry import query
@@ -45,6 +53,22 @@ def st03(d):
     return t.select("event_id", F.round("baseline", 6).alias("baseline"), F.round("threshold", 6).alias("threshold"), "exceeded")
 
 
+@query("w13_baseline_stats", "SELECT event_id, round(m, 6) AS mean, round(sd, 6) AS deviation FROM st03_rows WHERE rn >= 10 AND m IS NOT NULL")
+def w13(d):
+    b = GA.baseline_statistics(d.metrics, "name", "ts_us", "event_id", "value", "is_anomaly", 1000, 60_000_000)
+    return b.where("_on").select("event_id", F.round("_m", 6).alias("mean"), F.round("_sd", 6).alias("deviation"))
+
+
+@query("st12_detection_stream", "SELECT event_id, attack_label AS reason FROM detected WHERE attack_label IS NOT NULL")
+def st12(d):
+    """The stream itself, drained: checkpoint and result table live in the shared folder."""
+    rows = fx.view(d.spark, d.sf_dir, "access_log", stream=True)
+    folder = f"{shared_folder(d.spark)}/detection-{uuid.uuid4().hex}"
+    out = detection_stream(rows, R.DEFAULT_ALLOW_IPS + R.DEFAULT_ALLOW_NETWORKS)
+    jobs.start(out, f"{folder}/state", jobs.table_sink(f"{folder}/verdicts"), every=None).awaitTermination()
+    return d.spark.read.parquet(f"{folder}/verdicts").select("event_id", "reason")
+
+
 def _sent(d):
     return NO.rate_limited(NO.route_notifications(d.notifications, ["email", "dingtalk", "wechat"]))
 

@@ -32,14 +32,19 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see: ``spark.checkpoint.dir`` of the session, a temporary one where
+    that is unset (single-machine tests)."""
+    sc = spark.sparkContext
+    found = sc._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gatewatch-ckpt-")
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder so a lost executor costs no recompute.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; one is made only where none is set
-    (single-machine tests).
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", "") or ""
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="gatewatch-ckpt-"))
+    """Materialise ``df`` in the shared folder, so a lost executor costs no recompute."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
