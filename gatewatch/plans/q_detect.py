@@ -340,7 +340,7 @@ LEFT JOIN (SELECT ip AS remote_addr, count(*) AS bans FROM ban_records GROUP BY
 LEFT JOIN (SELECT remote_addr, string_agg(concat(status, '=', n), ',' ORDER BY status) AS codes FROM (SELECT remote_addr, status, count(*) AS n FROM access_log GROUP BY ALL) x GROUP BY 1) st USING (remote_addr)""")
 def ag08(d):
     rows = d.access_log.withColumn("attack_label", PT.first_attack_match())
-    r = BE.ip_report(ip_state(d), rows, d.ban_records.withColumnRenamed("ip", "remote_addr"))
+    r = BE.ip_report(ip_state(d), rows)
     codes = F.array_join(F.transform(F.array_sort(F.map_entries("status_codes")), lambda e: F.concat(
         e["key"].cast("string"), F.lit("="), e["value"].cast("string"))), ",")
     return r.select("remote_addr", F.array_join("top_paths", "|").alias("paths"),
@@ -348,6 +348,11 @@ def ag08(d):
                     codes.alias("codes"))
 
 
+@query("ag08_ban_history", "SELECT event_id, ts_us, reason, duration_s FROM ban_records WHERE ip = '45.33.0.1'")
+def ag08b(d):
+    return BE.ban_history(d.ban_records.withColumnRenamed("ip", "remote_addr"), "45.33.0.1").drop("remote_addr")
+
+
 @query("tk03_top_risky_ips", f"""
 SELECT remote_addr, round(risk_score, 6) AS risk_score, attack_count, request_count FROM ip_state WHERE NOT {_LISTED} AND risk_score > 0
 ORDER BY ip_state.risk_score DESC, remote_addr LIMIT 10""")

@@ -25,14 +25,14 @@ def _chars(col, chars):
 
 
 def _flag(cond):
-    return f"CASE WHEN {cond} THEN 1.0 ELSE 0.0 END"
+    return f"CAST(CASE WHEN {cond} THEN 1 ELSE 0 END AS DOUBLE)"
 
 
 _T = "make_timestamp(ts_us)"
 _BASIC = dict(zip(FE.BASIC, [
     "CAST(length(request_uri) AS DOUBLE)", _chars("request_uri", "&"), _chars("request_uri", R.FEATURE_SPECIALS),
     _chars("request_uri", "%"), _chars("request_uri", "."), _chars("request_uri", "/"), _chars("request_uri", "?"),
-    "0.0", "0.0", "0.0", *[_flag(f"request_method = '{v}'") for v in ("GET", "POST", "PUT", "DELETE")],
+    *["CAST(0 AS DOUBLE)"] * 3, *[_flag(f"request_method = '{v}'") for v in ("GET", "POST", "PUT", "DELETE")],
     _flag("request_method NOT IN ('GET','POST','PUT','DELETE')"), "CAST(length(http_user_agent) AS DOUBLE)",
     _flag(O.contains_any("lower(http_user_agent)", R.FEATURE_BOT_WORDS)), _flag("http_user_agent = ''"),
     f"CAST(hour({_T}) AS DOUBLE)", f"CAST(isodow({_T}) - 1 AS DOUBLE)", _flag(f"isodow({_T}) >= 6"),
@@ -62,7 +62,7 @@ def _alt(words):
 _ATT = {}
 for _k, _ws in R.FEATURE_KEYWORDS:
     _ATT[f"{_k}_keyword_count"] = _alt(_ws)
-    _ATT[f"{_k}_detected"] = f"CASE WHEN {_alt(_ws)} > 0 THEN 1.0 ELSE 0.0 END"
+    _ATT[f"{_k}_detected"] = _flag(f"{_alt(_ws)} > 0")
 _ATT |= {
     "sql_quotes": _chars("t", "'\""), "sql_comments": f"{_count('--')} + {_count('/*')}", "sql_semicolons": _chars("t", ";"),
     "sql_unions": _count("union"), "xss_script_tags": _count("<script"),
@@ -153,8 +153,8 @@ def _votes(d):
 
 @query("m09_ensemble_vote", """
 SELECT event_id, (CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE 0 END + CASE WHEN event_id % 2 = 0 THEN 0.3 ELSE 0 END + CASE WHEN event_id % 5 = 0 THEN 0.2 ELSE 0 END) > 0.5 AS is_attack,
- CASE WHEN event_id % 3 = 0 THEN 'sql_injection' WHEN event_id % 2 = 0 THEN 'xss' WHEN event_id % 5 = 0 THEN 'anomaly' END AS attack_type, round(0.81, 6) AS confidence,
- round(0.5 * CASE WHEN event_id % 3 = 0 THEN 0.9 ELSE 0.1 END + 0.3 * CASE WHEN event_id % 2 = 0 THEN 0.8 ELSE 0.2 END + 0.2 * CASE WHEN event_id % 5 = 0 THEN 0.6 ELSE 0.4 END, 6) AS p_attack FROM access_log""")
+ CASE WHEN event_id % 3 = 0 THEN 'sql_injection' WHEN event_id % 2 = 0 THEN 'xss' WHEN event_id % 5 = 0 THEN 'anomaly' END AS attack_type, CAST(0.81 AS DOUBLE) AS confidence,
+ CAST(round(0.5 * CASE WHEN event_id % 3 = 0 THEN 0.9 ELSE 0.1 END + 0.3 * CASE WHEN event_id % 2 = 0 THEN 0.8 ELSE 0.2 END + 0.2 * CASE WHEN event_id % 5 = 0 THEN 0.6 ELSE 0.4 END, 6) AS DOUBLE) AS p_attack FROM access_log""")
 def m09(d):
     w = d.spark.sql("SELECT * FROM VALUES ('a', 1.0D), ('b', 0.6D), ('z', 0.4D), ('off', 0.0D) AS t(model_name, weight)")
     v = M.ensemble_vote(_votes(d), w, "event_id")

@@ -107,7 +107,7 @@ def p07(d):
 @query("p08_coerce_fields", """
 SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE status END AS status,
   CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'bob' END AS remote_user,
-  CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE 0.5 END AS request_time FROM access_log""")
+  CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE CAST(0.5 AS DOUBLE) END AS request_time FROM access_log""")
 def p08(d):
     e = F.col("event_id")
     raw = d.access_log.select(
