@@ -103,13 +103,17 @@ def is_sensitive(uri: Column) -> Column:
 def threat_indicators(path: Column, body: Column) -> Column:
     """Types whose patterns occur in ``path + ' ' + body``."""
     text = F.concat(F.coalesce(path, F.lit("")), F.lit(" "), F.coalesce(body, F.lit("")))
-    cells = []
-    for kind, pats in R.THREAT_PATTERNS:
-        hit = search(text, pats[0], True)
-        for p in pats[1:]:
-            hit = hit | search(text, p, True)
-        cells.append(F.when(hit, F.lit(kind)))
-    return F.array_compact(F.array(*cells))
+
+    def found(t: Column) -> Column:
+        cells = []
+        for kind, pats in R.THREAT_PATTERNS:
+            hit = search(t, pats[0], True)
+            for p in pats[1:]:
+                hit = hit | search(t, p, True)
+            cells.append(F.when(hit, F.lit(kind)))
+        return F.array_compact(F.array(*cells))
+
+    return let(text, found)
 
 
 def event_type(indicators: Column, given: Column, status: Column) -> Column:
