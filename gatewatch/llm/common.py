@@ -43,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def saved(df: DataFrame, keep_order: bool = False) -> DataFrame:
+def saved(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder, so that it is computed once and a lost executor costs
     nothing.  The table goes when the session's JVM ends."""
     spark = df.sparkSession
@@ -55,6 +55,14 @@ def saved(df: DataFrame, keep_order: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores added until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash; forgets all words when it holds ``most`` of them."""
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import query, saved, table
+from .common import free_name, query, saved, table
 
 BASE, PRIME = 1_000_003, 2_147_483_647
 
@@ -59,27 +59,28 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int =
     marks = (found.join(groups.select("h", "first"), "h")
              .withColumn("is_first", place == F.col("first")).distinct())
     by_doc = marks.groupBy("k", "th").agg(F.collect_list(F.struct("start", "n", "h", "is_first")).alias("marks"))
-    rows = docs.withColumn("th_", F.xxhash64(text))
+    th, k_, rh, drop_, gone_ = (free_name(docs, x) for x in ("th_", "k_", "rh_", "drop_", "gone_"))
+    rows = docs.withColumn(th, F.xxhash64(text))
 
     def beside(right: DataFrame, how: str) -> DataFrame:
-        r = right.withColumnsRenamed({"k": "k_", "th": "rh_"})
-        return rows.join(r, F.col(key).eqNullSafe(F.col("k_")) & (F.col("th_") == F.col("rh_")), how)
+        r = right.withColumnsRenamed({"k": k_, "th": rh})
+        return rows.join(r, F.col(key).eqNullSafe(F.col(k_)) & (F.col(th) == F.col(rh)), how)
 
-    texts = (beside(by_doc, "inner").select("k_", "rh_", F.split(text, "\n").alias("lines"), F.explode("marks").alias("m"))
-             .select(F.col("k_").alias("k"), F.col("rh_").alias("th"), "m.*",
+    texts = (beside(by_doc, "inner").select(k_, rh, F.split(text, "\n").alias("lines"), F.explode("marks").alias("m"))
+             .select(F.col(k_).alias("k"), F.col(rh).alias("th"), "m.*",
                      F.array_join(F.slice("lines", F.col("m.start") + 1, F.col("m.n")), "\n").alias("chunk")))
     texts = saved(texts)
     first = texts.filter("is_first").select("h", F.col("chunk").alias("first_chunk")).distinct()
     equal = texts.filter("not is_first").join(first, "h").filter("chunk = first_chunk")
     drop = equal.select("k", "th", "start", "n").distinct().groupBy("k", "th").agg(
-        F.array_sort(F.collect_list(F.struct("start", "n"))).alias("drop_"))
+        F.array_sort(F.collect_list(F.struct("start", "n"))).alias(drop_))
     out = beside(drop, "left")
-    gone = F.flatten(F.transform("drop_", lambda p: F.sequence(p["start"], p["start"] + p["n"] - 1)))
-    left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone_"), i))
-    out = out.withColumn("gone_", gone).withColumns({
-        text: F.when(F.col("gone_").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")),
-        "removed_chunks": F.coalesce(F.size("drop_"), F.lit(0)).cast("long"),
-        "removed_lines": F.coalesce(F.size("gone_"), F.lit(0)).cast("long")})
+    gone = F.flatten(F.transform(drop_, lambda p: F.sequence(p["start"], p["start"] + p["n"] - 1)))
+    left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col(gone_), i))
+    out = out.withColumn(gone_, gone).withColumns({
+        text: F.when(F.col(gone_).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")),
+        "removed_chunks": F.coalesce(F.size(drop_), F.lit(0)).cast("long"),
+        "removed_lines": F.coalesce(F.size(gone_), F.lit(0)).cast("long")})
     return out.select(*docs.columns, "removed_chunks", "removed_lines")
 
 
