@@ -48,8 +48,8 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds - x, -60, 60)))
 
 
-def fit_ordinal(rows: list[list[tuple[int, float]]], grade: np.ndarray, n_terms: int, l2: float = 1e-3,
-                steps: int = 500, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[list[tuple[int, float]]], grade: np.ndarray, n_terms: int, l2: float = 2e-5,
+                steps: int = 1000, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by full-batch Adam on the cumulative-link likelihood."""
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.array([j for r in rows for j, _ in r], int)
