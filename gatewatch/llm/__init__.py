@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .common import ORACLES, QUERIES
 
-for _m in ("licenses", "line_dedup", "toxicity", "quality", "sharding"):
+for _m in ("licenses", "line_dedup", "decontaminate", "toxicity", "packing", "quality", "sharding"):
     import_module(f"{__name__}.{_m}")
 
 __all__ = ["ORACLES", "QUERIES"]
