@@ -188,7 +188,7 @@ def pack(docs: DataFrame, path: str, length: int = 1024, ranges: int | None = No
                                              ["k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     kind = dict(docs.dtypes)[key]
-    ordered = (tokens.withColumn("range", in_range("curve")).repartition(ranges, "range")
+    ordered = (tokens.withColumn("range", in_range("curve")).repartition("range")
                .sortWithinPartitions("range", "curve", "k", "n", "ids"))
     out = ordered.mapInArrow(lay, f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("k", key)
