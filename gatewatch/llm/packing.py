@@ -42,23 +42,37 @@ class Pieces(dict):
         return v
 
 
+def byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
+    """Token bytes of a byte-level vocabulary, which writes bytes that do not print as characters from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(c): c for c in prints}
+    byte.update({chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in set(prints))})
+    return {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if all(c in byte for c in t)}
+
+
 class Encoder:
-    """Ids of the byte-level BPE in ``path``, as 16-bit bytes.
+    """Ids of the byte-level BPE that ``path`` describes for the tokenizers library, as 16-bit bytes.
 
-    The vocabulary never joins text across a space before a word, so a text with single spaces and line breaks
-    only is encoded word by word, with a cache; any other text goes to the tokenizer as a whole.
+    tiktoken merges the same vocabulary by the same ranks, several times faster; tests hold its ids against those of
+    tokenizers.  The vocabulary never joins text across a space before a word, so a text with single spaces and line
+    breaks only is encoded word by word, with a cache; any other text is encoded as a whole.
     """
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = Pieces(lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids)
+        t = Tokenizer.from_file(path)
+        self.special = {a.content: i for i, a in t.get_added_tokens_decoder().items()}
+        ranks = {k: v for k, v in byte_ranks(t.get_vocab(with_added_tokens=False)).items() if v not in self.special.values()}
+        self.bpe = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+        self.pieces = Pieces(self.bpe.encode_ordinary)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _ODD_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+            return np.array(self.bpe.encode(text, allowed_special="all"), "<u2").tobytes()
         first, *rest = text.replace("\n", " \n").split(" ")
         get = self.pieces.__getitem__
         return get(first) + b"".join([get(w if w[0] == "\n" else " " + w) for w in rest])
