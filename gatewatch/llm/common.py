@@ -66,7 +66,7 @@ def free_name(df: DataFrame, base: str) -> str:
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash; forgets all words when it holds ``most`` of them."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 
