@@ -40,7 +40,7 @@ def strip(c: Column) -> Column:
 
 def _matched(df: DataFrame, line: str, pattern: str, n: int) -> DataFrame:
     """Lines that start with the pattern, as ``_t`` (stripped text) and ``_g`` (its groups)."""
-    java = java_pattern("^" + pattern)
+    java = java_pattern(f"^(?:{pattern})")
     d = df.withColumn("_t", strip(F.col(line))).where(F.col("_t").rlike(java))
     return d.withColumn("_g", match_groups(F.col("_t"), pattern, n))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from .regex import any_word, count_chars, is_valid, java_pattern, let, search
+from .regex import any_word, can_combine, count_chars, is_valid, java_pattern, let, search
 
 _FIELDS = [("URI", "request_uri"), ("User-Agent", "http_user_agent"), ("Referer", "http_referer")]
 _HIT = "array<struct<attack_type:string,field:string,pattern:string>>"
@@ -17,9 +17,13 @@ def _text(c: str) -> Column:
 
 
 def _maybe(patterns: list[str]) -> Column:
-    """One pass over the joined fields: false means that no single pattern can match any field."""
-    joined = F.concat_ws("\n", *[_text(c) for _, c in _FIELDS])
-    return joined.rlike(java_pattern("|".join(f"(?:{p})" for p in patterns), True))
+    """One combined match per field: false means that no single pattern matches any field.  Patterns must not name
+    groups or refer to them, as combining shifts group numbers."""
+    both = java_pattern("|".join(f"(?:{p})" for p in patterns), True)
+    out = F.lit(False)
+    for _, c in _FIELDS:
+        out = out | _text(c).rlike(both)
+    return out
 
 
 def suspicious_hits() -> Column:
@@ -66,6 +70,8 @@ def first_attack_match(attack_rules=None) -> Column:
                     | search(_text("http_referer"), p, True), F.lit(f"{k}:{p}")) for k, p in rules]
     if not whens:
         return F.lit(None).cast("string")
+    if not all(can_combine(p) for _, p in rules):
+        return F.coalesce(*whens)
     return F.when(_maybe([p for _, p in rules]), F.coalesce(*whens))
 
 

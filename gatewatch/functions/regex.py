@@ -4,22 +4,40 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _NAMED = re.compile(r"\(\?P<([A-Za-z_]\w*)>")
+_BACK = re.compile(r"\(\?P=([A-Za-z_]\w*)\)")
 
 
 def java_pattern(pattern: str, ignore_case: bool = False) -> str:
-    """Same matches in Java: Unicode classes, only ``\\n`` ends a line."""
+    """Same matches in Java: Unicode classes, only ``\\n`` ends a line; named groups become numbered ones."""
+    if "(?P" in pattern:
+        numbers = re.compile(pattern).groupindex
+        pattern = _BACK.sub(lambda m: f"\\{numbers[m[1]]}(?:)", _NAMED.sub("(", pattern))
+    pattern = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", pattern)
     return f"(?{'iu' if ignore_case else ''}dU)" + pattern.replace("${", r"$\{")
 
 
+def can_combine(pattern: str) -> bool:
+    """Whether the pattern keeps its meaning as one branch of an alternation."""
+    return not re.search(r"\\[1-9]|\(\?P|\(\?[aiLmsux-]+\)|\(\?\(", pattern)
+
+
 def is_valid(pattern: str) -> bool:
+    """Whether Python and, where a session runs, Java take the pattern."""
     try:
         re.compile(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return False
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return True
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(java_pattern(pattern, True))
         return True
-    except re.error:
+    except Exception:  # PatternSyntaxException by way of Py4J
         return False
 
 
@@ -62,7 +80,7 @@ def match_groups(text: Column, pattern: str, n: int) -> Column:
     One pass of the pattern fetches all groups: the match is rewritten to the groups joined by a
     separator.  Texts that hold the separator themselves are taken group by group.
     """
-    java = java_pattern("^" + pattern)
+    java = java_pattern(f"^(?:{pattern})")
     joined = F.regexp_replace(text, java + r"(?s:.*)\z", _SEP.join(f"${i}" for i in range(1, n + 1)))
     return (F.when(text.contains(_SEP), F.array(*[F.regexp_extract(text, java, i) for i in range(1, n + 1)]))
              .otherwise(F.split(joined, _SEP)))

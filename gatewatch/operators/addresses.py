@@ -7,8 +7,8 @@ import ipaddress
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ip import V4_PATTERN, network_range, v4_number, v6_hex
-from ..functions.regex import let
+from ..functions.ip import network_range, v4_number, v6_hex
+from .prefix import attach_row
 
 NETWORK_DDL = "cidr string, family int, lo string, hi string"
 
@@ -48,11 +48,24 @@ def networks_from_text(df: DataFrame, cidr: str = "cidr") -> DataFrame:
                     (lo + size - 1).cast("string").alias("hi")))
 
 
+_LEFT, _RIGHT = "shiftright(lo + shiftleft(1L, k) - 1, k)", "shiftright(hi + 1, k)"
+
+
 def _blocks(ranges: DataFrame) -> DataFrame:
-    """One row per /16 an IPv4 range touches (at most 65,536), so that it can be an equi join."""
-    lo, hi = F.col("lo").cast("bigint"), F.col("hi").cast("bigint")
-    return (ranges.where("family = 4").withColumn("lo", lo).withColumn("hi", hi)
-            .withColumn("_blk", F.explode(F.sequence(F.shiftright(lo, 16), F.shiftright(hi, 16)))))
+    """The aligned blocks of 2^_lev IPv4 addresses that make up each range, at most two of a size: (_lev, _blk) is an
+    equi key."""
+    cell = "named_struct('lev', k, 'blk', {}, 'ok', " + f"{_LEFT} < {_RIGHT} and " + "{} % 2 = 1)"
+    cells = f"array({cell.format(_LEFT, _LEFT)}, {cell.format(_RIGHT + ' - 1', _RIGHT)})"
+    blocks = F.expr(f"filter(flatten(transform(sequence(0, 32), k -> {cells})), x -> x.ok)")
+    r = ranges.where("family = 4").withColumns({"lo": F.col("lo").cast("bigint"), "hi": F.col("hi").cast("bigint")})
+    return (r.withColumn("_b", F.explode(blocks)).withColumns({"_lev": F.col("_b.lev"), "_blk": F.col("_b.blk")}).drop("_b"))
+
+
+def _at_levels(addresses: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Addresses (number ``_n``) once per block size that occurs, as (_lev, _blk)."""
+    levels = blocks.agg(F.collect_set("_lev").alias("_levels"))  # one row of at most 33 numbers
+    return (attach_row(addresses, levels).withColumn("_lev", F.explode("_levels")).drop("_levels")
+            .withColumn("_blk", F.expr("shiftright(_n, _lev)")))
 
 
 def _is_v6(col: str) -> Column:
@@ -72,11 +85,9 @@ def network_join(rows: DataFrame, networks: DataFrame, ip: str, how: str) -> Dat
 def listed_addresses(rows: DataFrame, networks: DataFrame, ip: str) -> DataFrame:
     """Distinct addresses of ``rows`` that fall in a network."""
     a = rows.select(ip).distinct()
-    four = a.withColumn("_n", v4_number(F.col(ip))).where("_n is not null").withColumn(
-        "_blk", F.shiftright("_n", 16))
-    n4 = _blocks(networks.select("family", "lo", "hi"))
-    hit4 = four.join(n4, (four["_blk"] == n4["_blk"]) & four["_n"].between(n4["lo"], n4["hi"]),
-                     "left_semi").select(ip)
+    n4 = _blocks(networks.select("family", "lo", "hi")).select("_lev", "_blk")
+    four = _at_levels(a.withColumn("_n", v4_number(F.col(ip))).where("_n is not null"), n4)
+    hit4 = four.join(n4, ["_lev", "_blk"], "left_semi").select(ip)
     six = a.where(_is_v6(ip)).withColumn("_h", v6_hex(F.col(ip))).where("_h is not null")
     n6 = _v6_networks(networks)
     # the prefix lengths a v6 list may use are few, so each address is offered at each length
@@ -101,56 +112,41 @@ def drop_allow_listed(rows: DataFrame, networks: DataFrame, ip: str = "remote_ad
     return network_join(rows, networks, ip, "left_anti")
 
 
-LITERAL_LIMIT = 256
-
-
 def drop_configured(rows: DataFrame, entries: list[str], ip: str = "remote_addr", strict: bool = False,
                     stop_at_bad: bool = False) -> DataFrame:
-    """F08 for a list that lives in the configuration: a plain predicate, no join and no shuffle.
-
-    Lists of more than ``LITERAL_LIMIT`` entries take the join instead.
-    """
-    if len(entries) > LITERAL_LIMIT:
-        return drop_allow_listed(rows, networks_frame(rows.sparkSession, entries, strict, stop_at_bad), ip)
-    text, ranges, six = F.lit(False), [], []
+    """F08 for a list that lives in the configuration, of any length, for tables and streams: one anti join with a
+    static table per prefix length that occurs (at most 33 for IPv4; hexadecimal digits for IPv6)."""
+    four: dict[int, set] = {}
+    six: dict[int, set] = {}
     for e in entries:
         if not is_network(e, strict):
             if stop_at_bad:
                 break
             continue
         net = ipaddress.ip_network(e, strict=False)
-        octets = str(net.network_address).split(".")
-        if net.version == 6:
-            six.append(network_range(e)[1:])
-        elif net.prefixlen == 32:
-            text = text | (F.col(ip) == str(net.network_address))
-        elif net.prefixlen in (8, 16, 24):  # whole octets: a text prefix says it all
-            text = text | F.col(ip).startswith(".".join(octets[:net.prefixlen // 8]) + ".")
+        first = int(net.network_address)
+        if net.version == 4:
+            four.setdefault(net.prefixlen, set()).add(first >> (32 - net.prefixlen))
         else:
-            ranges.append(network_range(e)[1:])
-
-    def within(n, spans):
-        out = F.lit(False)
-        for lo, hi in spans:
-            out = out | n.between(F.lit(lo), F.lit(hi))
-        return F.coalesce(out, F.lit(False))
-
-    listed = F.coalesce(text & F.col(ip).rlike(V4_PATTERN), F.lit(False))
-    if ranges:
-        listed = listed | let(v4_number(F.col(ip)), lambda n: within(n, ranges))
-    if six:
-        listed = listed | F.when(F.col(ip).contains(":"), let(v6_hex(F.col(ip)), lambda n: within(n, six))) \
-            .otherwise(F.lit(False))
-    return rows.where(~listed)
+            digits = -(-net.prefixlen // 4)
+            base = first >> (128 - 4 * digits)
+            for i in range(1 << (4 * digits - net.prefixlen)):
+                six.setdefault(digits, set()).add(f"{base + i:0{digits}x}" if digits else "")
+    spark = rows.sparkSession
+    for bits, keys in sorted(four.items()):
+        static = spark.createDataFrame([(k,) for k in sorted(keys)], "_net bigint")
+        rows = rows.join(static, F.shiftright(v4_number(F.col(ip)), 32 - bits) == F.col("_net"), "left_anti")
+    for digits, keys in sorted(six.items()):
+        static = spark.createDataFrame([(k,) for k in sorted(keys)], "_net string")
+        rows = rows.join(static, F.when(_is_v6(ip), F.left(v6_hex(F.col(ip)), F.lit(digits))) == F.col("_net"), "left_anti")
+    return rows
 
 
 def range_lookup(rows: DataFrame, ranges: DataFrame, ip: str, cols: list[str]) -> DataFrame:
     """Columns of the range an address falls in (ranges do not overlap), NULL when in none."""
-    a = rows.select(ip).distinct().withColumn("_n", v4_number(F.col(ip))).withColumn(
-        "_blk", F.shiftright("_n", 16))
     r = _blocks(ranges)
-    found = (a.join(r, (a["_blk"] == r["_blk"]) & a["_n"].between(r["lo"], r["hi"]))
-             .select(a[ip], *[r[c] for c in cols]))
+    a = rows.select(ip).distinct().withColumn("_n", v4_number(F.col(ip))).where("_n is not null")
+    found = _at_levels(a, r).join(r, ["_lev", "_blk"]).select(ip, *cols)
     return rows.join(found, ip, "left")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +22,13 @@ def ban_records(verdicts: DataFrame, duration_s: int = 3600) -> DataFrame:
                            F.lit("pending").alias("status"))
 
 
-def ban_intervals(triggers: DataFrame, max_duration_s: int = 30 * 86400, segment_us: int | None = None) -> DataFrame:
-    """ST02: the first trigger bans until it expires, later ones do nothing until then."""
+def ban_intervals(triggers: DataFrame, max_duration_s: int | None = None, segment_us: int | None = None) -> DataFrame:
+    """ST02: the first trigger bans until it expires, later ones do nothing until then.
+
+    Without ``max_duration_s`` the longest duration is looked up in ``triggers``; longer ones than a given bound are an error.
+    """
     kept = greedy_keep(triggers, ["ip"], "ts_us", "event_id", F.col("duration_s") * SECOND,
-                       max_duration_s * SECOND, segment_us)
+                       None if max_duration_s is None else max_duration_s * SECOND, segment_us)
     return kept.select("ip", F.col("ts_us").alias("start_us"), (F.col("ts_us") + F.col("gap_us")).alias("end_us"),
                        "event_id")
 
@@ -157,11 +162,13 @@ def daily_ban_alarm(events: DataFrame, as_of_us: int, limit: int = 100) -> DataF
     return events.agg(n.alias("bans_today")).withColumn("alarm", F.col("bans_today") > limit)
 
 
-def escalating_bans(intervals: DataFrame, base_s: int, factor: int, max_s: int) -> DataFrame:
+def escalating_bans(intervals: DataFrame, base_s: int, factor: float, max_s: int) -> DataFrame:
     """Declared policy: the n-th ban of an address lasts ``base * factor^(n-1)``, capped."""
     from .prefix import row_numbers
     n = row_numbers(intervals, ["ip"], "start_us", "event_id", "n", slice_us=86_400_000_000)
-    grown = F.lit(float(base_s)) * F.pow(F.lit(float(factor)), F.least(F.col("n") - 1, F.lit(40)))
+    # past this exponent the cap holds; a larger one would only overflow
+    enough = math.ceil(math.log(max(max_s / base_s, 1)) / math.log(factor)) + 1 if factor > 1 else 0
+    grown = F.lit(float(base_s)) * F.pow(F.lit(float(factor)), F.least(F.col("n") - 1, F.lit(enough)))
     return n.withColumn("ban_seconds", F.least(grown, F.lit(float(max_s))).cast("bigint"))
 
 

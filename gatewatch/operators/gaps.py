@@ -98,15 +98,20 @@ def _in_order(df: DataFrame, part: list[str]) -> DataFrame:
     return df.withColumn("_first", F.row_number().over(w) == 1).sortWithinPartitions(*part, "_t")
 
 
-def greedy_keep(rows: DataFrame, keys: list[str], ts: str, tie: str, gap_us, max_gap_us: int,
+def greedy_keep(rows: DataFrame, keys: list[str], ts: str, tie: str, gap_us, max_gap_us: int | None = None,
                 segment_us: int | None = None) -> DataFrame:
     """Rows kept by the filter: (keys, ts, tie, gap_us).
 
-    ``gap_us`` is a column (µs a kept row blocks the key for) or a number, at most ``max_gap_us``;
-    a row exactly ``gap`` after the last kept one is kept again.  Keys must not be NULL.
+    ``gap_us`` is a column (µs a kept row blocks the key for) or a number, at most ``max_gap_us``, which is looked
+    up in ``rows`` unless given; a row with a longer gap is an error, never a wrong answer.
+    A row exactly ``gap`` after the last kept one is kept again.  Keys must not be NULL.
     """
-    segment_us = segment_us or min(16 * max_gap_us, SEGMENT_LIMIT)
     gap = F.lit(gap_us) if isinstance(gap_us, int) else gap_us
+    if max_gap_us is None:
+        max_gap_us = gap_us if isinstance(gap_us, int) else rows.agg(F.max(gap)).first()[0] or 1
+    elif not isinstance(gap_us, int):
+        gap = F.when(gap > max_gap_us, F.raise_error(F.lit("a gap is longer than max_gap_us"))).otherwise(gap)
+    segment_us = segment_us or max(1, min(16 * max_gap_us, SEGMENT_LIMIT))
     src = rows.select(*keys, F.col(ts).cast("bigint").alias("_t"), F.col(tie).cast("bigint").alias("_o"),
                       gap.cast("bigint").alias("_g"))
     # rows of one time can keep only one of them; thinned out before anything reaches Python

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from .prefix import SECOND, attach_row, exact_quantiles
+from .prefix import SECOND, exact_quantiles
 
 
 def metric_summary(samples: DataFrame, as_of_us: int, window_s: int = 300) -> DataFrame:
@@ -29,8 +29,10 @@ def endpoint_summary(requests: DataFrame) -> DataFrame:
             .withColumn("endpoint", F.concat_ws(":", *keys)))
 
 
-def resource_average(samples: DataFrame, last: int = 100) -> DataFrame:
-    """AG13: mean of each resource's last samples (ranked with a per-task cut, so no list builds up)."""
+def resource_average(samples: DataFrame, last: int | None = 100) -> DataFrame:
+    """AG13: mean of each resource's last samples (ranked with a per-task cut, so no list builds up); of all for None."""
+    if last is None:
+        return samples.groupBy("name").agg(F.avg("value").alias("average"))
     w = Window.partitionBy("name").orderBy(F.desc("ts_us"), F.desc("event_id"))
     return (samples.withColumn("_r", F.row_number().over(w)).where(f"_r <= {last}")
             .groupBy("name").agg(F.avg("value").alias("average")))
@@ -99,14 +101,6 @@ def source_statistics(reads: DataFrame) -> DataFrame:
         F.count_if(~ok).alias("error_count"), F.bool_or(ok).alias("connected"))
 
 
-def event_type_counts(events: DataFrame, too_many: int = 1000, keep: int = 500) -> DataFrame:
-    """AG29: counts per type; when there are more than ``too_many`` types only the top ``keep`` stay.
-
-    The number of types is a one-row aggregate joined on a constant; the ranking is taken per task
-    first (rank limit), so no task sorts all types.
-    """
-    n = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    total = n.agg(F.count(F.lit(1)).alias("_types"))
-    top = n.orderBy(F.desc("n"), "event_type").limit(keep).select("event_type", F.lit(True).alias("_top"))
-    return (attach_row(n, total).join(top, "event_type", "left")
-            .where((F.col("_types") <= too_many) | F.col("_top")).select("event_type", "n"))
+def event_type_counts(events: DataFrame) -> DataFrame:
+    """AG29: counts of all types."""
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

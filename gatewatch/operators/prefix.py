@@ -69,6 +69,15 @@ def attach_row(rows: DataFrame, one_row: DataFrame) -> DataFrame:
     return rows.withColumn("_k", k).join(F.broadcast(one_row.withColumn("_k", k)), "_k").drop("_k")
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """An equi join in which NULL keys equal each other; the keys of ``left`` stay."""
+    r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def slice_of(ts: Column, size: int) -> Column:
     """Start of the slice a time falls in (integer arithmetic, negative times included)."""
     return ts - F.pmod(ts, F.lit(size))
@@ -88,7 +97,7 @@ def split_running_totals(changes: DataFrame, keys: list[str], sums: list[str], s
                .select(*part, *[F.sum(s).over(before).alias(f"_b_{s}") for s in sums]))
     w = Window.partitionBy(*part).orderBy("_t", *(order or []))
     w = (w.rowsBetween if order else w.rangeBetween)(Window.unboundedPreceding, Window.currentRow)
-    joined = changes.join(opening, part, "left")
+    joined = join_keys(changes, opening, part)
     keep = [c for c in changes.columns if c not in sums]
     return joined.select(*keep, *[
         (F.sum(s).over(w) + F.coalesce(F.col(f"_b_{s}"), F.lit(0))).alias(s) for s in sums])

@@ -6,12 +6,14 @@ time) and the request columns.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import patterns as P
-from .prefix import (HOUR, MINUTE, SECOND, Rolling, RollingDistinct, previous_time, rolling_totals,
+from .prefix import (HOUR, MINUTE, SECOND, Rolling, RollingDistinct, join_keys, previous_time, rolling_totals,
                      windowed_totals)
 
 IP, TS, TIE = "remote_addr", "ts_us", "event_id"
@@ -114,13 +116,11 @@ def running_behaviour(rows: DataFrame, attack: Column, risk_level: Column, bans:
     else:
         both = with_ban_rows(rows, bans)
         ban = F.col("_is_ban")
-        for s in specs:
-            if isinstance(s, Rolling):
-                s.amount = F.when(~ban, s.amount)
+        specs = [replace(s, amount=F.when(~ban, s.amount)) if isinstance(s, Rolling) else s for s in specs]
         out = rolling_totals(both, [IP], TS, [*specs, Rolling("ban_count", F.when(ban, 1), None)],
                              tie="_ord", **kw).where(~ban).drop("_is_ban", "_ord")
     first = rows.groupBy(IP).agg(F.min(TS).alias("first_seen_us"))
-    return out.join(first, IP).withColumn("risk_score", risk_score())
+    return join_keys(out, first, [IP]).withColumn("risk_score", risk_score())
 
 
 def with_ban_rows(rows: DataFrame, bans: DataFrame) -> DataFrame:

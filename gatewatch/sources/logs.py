@@ -71,18 +71,19 @@ def parse_entries(lines: DataFrame, fmt: str, source: str, custom_pattern: str |
 
 def read_log_file(spark: SparkSession, path: str, fmt: str, source: str, since: Column | None = None,
                   limit: int | None = None, custom_pattern: str | None = None) -> DataFrame:
-    """The limit counts lines and is applied before ``since``."""
+    """A limit counts lines, in order of file and place, and is applied before ``since``."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    if limit:
-        lines = lines.limit(limit)
+    if limit is not None:
+        lines = (lines.withColumn("_f", F.col("_metadata.file_path")).withColumn("_at", F.monotonically_increasing_id())
+                 .orderBy("_f", "_at").limit(limit).drop("_f", "_at"))
     return parse_entries(lines, fmt, source, custom_pattern, since)
 
 
 def read_entry_list(entries: DataFrame, since: Column | None = None, limit: int | None = None,
                     line: str = "value", position: str = "position") -> DataFrame:
-    """JSON entries of a list whose head is the newest; the *last* ``limit or 100`` positions,
-    that is the oldest entries, are read, then filtered by time."""
-    tail = entries.orderBy(F.desc(position)).limit(limit or 100)
+    """JSON entries of a list whose head is the newest; all of them, or the *last*
+    ``limit`` positions, that is the oldest entries, are read, then filtered by time."""
+    tail = entries if limit is None else entries.orderBy(F.desc(position)).limit(limit)
     e = tail.select(position, F.from_json(line, ENTRY, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("_e"))
     e = e.where("_e.timestamp is not null").select(position, "_e.*")
     return e if since is None else e.where(F.col("timestamp") >= since)
