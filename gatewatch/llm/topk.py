@@ -29,6 +29,8 @@ class Index:
 
     def __init__(self, v: np.ndarray):
         self.v = v
+        if not v.shape[1]:
+            return  # vectors without components: all scores are 0
         self.low, self.high = v.min(0), v.max(0)
         self.step = (self.high - self.low + 1) / LEVELS
         rise = np.argsort(v, 0, kind="stable").T.copy()
