@@ -78,13 +78,21 @@ def behaviour_summary(state: DataFrame, rows: DataFrame, last: int = 5) -> DataF
     return out.withColumn("recent_attacks", F.coalesce("recent_attacks", empty))
 
 
-def ip_report(state: DataFrame, rows: DataFrame) -> DataFrame:
-    """AG08: summary plus status map, up to 10 agents and 20 paths.  Bans are counted here and listed
-    by ``ban_history``, as an address may have any number of them."""
+def ip_report(state: DataFrame, rows: DataFrame, agents: int = 10, paths: int = 20) -> DataFrame:
+    """AG08: summary plus status map and the first ``agents`` and ``paths`` in text order.  All agents and
+    paths are listed by ``address_values`` and bans by ``ban_history``: an address may have any number."""
     return (behaviour_summary(state, rows)
             .join(count_map(rows, [IP_COL], "status", "status_codes"), IP_COL, "left")
-            .join(first_values(rows, [IP_COL], "http_user_agent", 10, "user_agents"), IP_COL, "left")
-            .join(first_values(rows, [IP_COL], "request_uri", 20, "top_paths"), IP_COL, "left"))
+            .join(first_values(rows, [IP_COL], "http_user_agent", agents, "user_agents"), IP_COL, "left")
+            .join(first_values(rows, [IP_COL], "request_uri", paths, "top_paths"), IP_COL, "left"))
+
+
+def address_values(rows: DataFrame) -> DataFrame:
+    """AG08: every agent and path of every address with its count, one row each."""
+    cell = lambda d, c: F.when(F.col(c) != "", F.struct(F.lit(d).alias("dimension"), F.col(c).alias("value")))
+    cells = F.array_compact(F.array(cell("agent", "http_user_agent"), cell("path", "request_uri")))
+    return (rows.select(IP_COL, F.explode(cells).alias("_d")).groupBy(IP_COL, "_d")
+            .agg(F.count(F.lit(1)).alias("n")).select(IP_COL, "_d.*", "n"))
 
 
 def ban_history(bans: DataFrame, address: str) -> DataFrame:

@@ -203,13 +203,9 @@ def grow_forest(rows: DataFrame, vector: str, tie: str, trees: int = 100, sample
     share = lambda *h: F.pmod(F.xxhash64(*h), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # chance that keeps about 4 * sample rows per tree; all rows when there are fewer
     draw = draw.withColumn("_keep", F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("_n")))
-    # with few rows every tree draws on its own; with many a kept row serves one tree
-    each = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                    lambda t: share(F.col("_id"), t, F.lit(seed)) < F.col("_keep"))
-    single = F.array(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(trees)).cast("int"))
-    many = F.col("_keep") * trees < 1
-    draw = (draw.where(~many | (share(F.col("_id"), F.lit(seed)) < F.col("_keep") * trees))
-            .select("_id", "_x", F.explode(F.when(many, single).otherwise(each)).alias("tree")))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
+                     lambda t: share(F.col("_id"), t, F.lit(seed)) < F.col("_keep"))
+    draw = draw.select("_id", "_x", F.explode(drawn).alias("tree"))
     w = Window.partitionBy("tree").orderBy(F.xxhash64("_id", "tree", F.lit(seed)), "_id")
     chosen = draw.withColumn("_r", F.row_number().over(w)).where(f"_r <= {sample}")
 

@@ -348,6 +348,13 @@ def ag08(d):
                     codes.alias("codes"))
 
 
+@query("ag08_address_values", """
+SELECT remote_addr, 'agent' AS dimension, http_user_agent AS value, count(*) AS n FROM access_log WHERE http_user_agent <> '' GROUP BY ALL
+UNION ALL SELECT remote_addr, 'path', request_uri, count(*) FROM access_log WHERE request_uri <> '' GROUP BY ALL""")
+def ag08c(d):
+    return BE.address_values(d.access_log)
+
+
 @query("ag08_ban_history", "SELECT event_id, ts_us, reason, duration_s FROM ban_records WHERE ip = '45.33.0.1'")
 def ag08b(d):
     return BE.ban_history(d.ban_records.withColumnRenamed("ip", "remote_addr"), "45.33.0.1").drop("remote_addr")

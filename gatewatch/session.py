@@ -33,13 +33,17 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir`` of the session, a temporary one where
-    that is unset (single-machine tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir`` of the session.  Where that is unset, a
+    local master gets a temporary one and a cluster an error."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gatewatch-ckpt-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="gatewatch-ckpt-")
     sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
