@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS, components, mixed, query, saved, table, words_of
+from .common import WORDS, components, free_name, mixed, query, saved, table, words_of
 
 _STEP = 0x9E3779B97F4A7C15
 LEAF, FAN = 4, 4
@@ -176,8 +176,8 @@ def tree_links(ids: list[int], sets: list[np.ndarray], num: int, den: int, sides
     return out
 
 
-def sized(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """``(r, k, n, u)`` per row: row number, key, set size, class (null for the empty set)."""
+def sized(docs: DataFrame, k: int) -> DataFrame:
+    """``(r, k, n, u)`` per row of ``(r, k, t)``: row number, key, set size, class (null for the empty set)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, u = [], []
@@ -187,12 +187,10 @@ def sized(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
                 u.append(digest(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column("r"), b.column("k"), pa.array(n, pa.int64()), pa.array(u, pa.int64())], ["r", "k", "n", "u"])
 
-    kind = dict(docs.dtypes)[key]
-    return (docs.select(F.monotonically_increasing_id().alias("r"), F.col(key).alias("k"), F.col(text).alias("t"))
-            .mapInArrow(run, f"r long, k {kind}, n long, u long"))
+    return docs.select("r", "k", "t").mapInArrow(run, f"r long, k {dict(docs.dtypes)['k']}, n long, u long")
 
 
-def meetings(docs: DataFrame, k: int, num: int, den: int, text: str) -> DataFrame:
+def meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Distinct ``(c, u)``: class ``u`` shares a key with centre ``c``, the key's smallest class."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -226,16 +224,16 @@ def meetings(docs: DataFrame, k: int, num: int, den: int, text: str) -> DataFram
             pairs = np.unique(np.stack([centre[pick], u[pick]], 1), axis=0) if pick.any() else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["c", "u"])
 
-    routed = docs.select(F.col(text).alias("t")).mapInArrow(keys, "key long, u long")
+    routed = docs.select("t").mapInArrow(keys, "key long, u long")
     return (routed.repartition("key").sortWithinPartitions("key", "u").mapInArrow(centres, "c long, u long").distinct())
 
 
-def class_links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int, block_shingles: int, text: str) -> DataFrame:
+def class_links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int, block_shingles: int) -> DataFrame:
     """``(a, b)``: links that connect the same classes as all links do."""
-    meet = saved(meetings(docs, k, num, den, text))
+    meet = saved(meetings(docs, k, num, den))
     classes = rows.filter("n > 0").groupBy("u").agg(F.min("r").alias("r"), F.max("n").alias("n"))
     need = meet.select("u").union(meet.select("c")).distinct().join(classes, "u")
-    texts = saved(docs.select(F.monotonically_increasing_id().alias("r"), F.col(text).alias("t")).join(need, "r").select("u", "n", "t"))
+    texts = saved(docs.select("r", "t").join(need, "r").select("u", "n", "t"))
     sizes = texts.select("u", "n")
     members = meet.join(sizes, "u")
     groups = (members.groupBy("c").agg(F.sum("n").alias("all"))
@@ -275,32 +273,40 @@ def class_links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int, bl
     return saved(first.unionByName(second))
 
 
+def linked(docs: DataFrame, shingle: int, num: int, den: int, block_shingles: int) -> DataFrame:
+    """``(r, k, n, component, keep)`` per row of ``(r, k, t)``, a saved table: every step reads it and joins by ``r``."""
+    rows = saved(sized(docs, shingle))
+    label = components(class_links(docs, rows, shingle, num, den, block_shingles)).withColumnRenamed("id", "u")
+    named = rows.join(label, "u", "left").withColumn("l", F.coalesce("component", "u"))
+    ends = named.filter(F.col("l").isNotNull()).groupBy("l").agg(
+        F.min("k").alias("least"), F.min(F.struct(F.col("k").isNull().alias("z"), "k", "r")).alias("first"))
+    out = named.join(ends, "l", "left")
+    return out.select("r", "k", "n", F.when(F.col("l").isNull(), F.col("k")).otherwise(F.col("least")).alias("component"),
+                      (F.col("l").isNull() | (F.col("r") == F.col("first.r"))).alias("keep"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, block_shingles: int = 500_000,
                     key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(r, key, n_shingles, component_id, keep)`` per row of ``docs``.
 
     ``component_id`` is the smallest key reachable by links, the row's own included; ``keep`` holds for one row of
     each component, that with the smallest key (null keys last), then row number.  Null and empty texts have no shingles, link
-    with nothing and are kept.  Rows may share a key.  ``r`` numbers the rows of ``docs`` as
-    ``monotonically_increasing_id`` does, so ``docs`` must be a table that is read alike every time.
+    with nothing and are kept.  Rows may share a key.  Rows are numbered once, as they are read and saved: ``r``
+    tells the result's rows apart and numbers no other scan of ``docs``.
     """
-    rows = saved(sized(docs, shingle, key, text))
-    label = components(class_links(docs, rows, shingle, num, den, block_shingles, text)).withColumnRenamed("id", "u")
-    named = rows.join(label, "u", "left").withColumn("l", F.coalesce("component", "u"))
-    ends = named.filter(F.col("l").isNotNull()).groupBy("l").agg(
-        F.min("k").alias("least"), F.min(F.struct(F.col("k").isNull().alias("z"), "k", "r")).alias("first"))
-    out = named.join(ends, "l", "left")
-    return out.select("r", F.col("k").alias(key), F.col("n").alias("n_shingles"),
-                      F.when(F.col("l").isNull(), F.col("k")).otherwise(F.col("least")).alias("component_id"),
-                      (F.col("l").isNull() | (F.col("r") == F.col("first.r"))).alias("keep"))
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("r"), F.col(key).alias("k"), F.col(text).alias("t")))
+    return linked(rows, shingle, num, den, block_shingles).select(
+        "r", F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "keep")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, block_shingles: int = 500_000,
+                key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` without those that repeat another's text nearly, in the columns of ``docs``."""
-    from .common import free_name
-    gone = saved(near_duplicates(docs, key=key, text=text, **how).filter("not keep").select("r"))
     r = free_name(docs, "r_")
-    return docs.withColumn(r, F.monotonically_increasing_id()).join(gone.withColumnRenamed("r", r), r, "left_anti").drop(r)
+    rows = saved(docs.withColumn(r, F.monotonically_increasing_id()))
+    found = linked(rows.select(F.col(r).alias("r"), F.col(key).alias("k"), F.col(text).alias("t")), shingle, num, den, block_shingles)
+    gone = saved(found.filter("not keep").select(F.col("r").alias(r)))
+    return rows.join(gone, r, "left_anti").drop(r)
 
 
 @query("op8_jaccard_join")

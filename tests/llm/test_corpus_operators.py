@@ -94,6 +94,33 @@ def test_jaccard_odd_rows(odd):
     assert jaccard.one_of_each(odd.limit(0)).count() == 0
 
 
+def test_near_copies_when_scans_split_otherwise(spark, make, tmp_path, monkeypatch):
+    """The table's scans are split in another way after every step, as when executors come and go."""
+    docs = near_copies(11, 150)
+    for i in range(6):
+        make(*docs[i::6][:5 + 4 * i]).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+    table = spark.read.parquet(*(f"{tmp_path}/{i}" for i in range(6)))
+    want = brute_components([(r["doc_id"], r["text"]) for r in table.collect()], 3, 90, 100)
+    cost, step = "spark.sql.files.openCostInBytes", iter(range(10**6))
+    before, save = spark.conf.get(cost), jaccard.saved
+
+    def resplit(df):
+        out = save(df)
+        spark.conf.set(cost, ("128m", "0")[next(step) % 2])
+        return out
+
+    monkeypatch.setattr(jaccard, "saved", resplit)
+    try:
+        spark.conf.set(cost, "0")
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(table, 3, 90, 100).collect()}
+        spark.conf.set(cost, "0")
+        kept = sorted(r["doc_id"] for r in jaccard.one_of_each(table, shingle=3, num=90).collect())
+    finally:
+        spark.conf.set(cost, before)
+    assert got == want
+    assert kept == sorted({c for _, c in want.values()})
+
+
 # packing
 
 def brute_ids(text):
