@@ -3,9 +3,11 @@
 Text becomes a template: numbers, names (capitalised words inside a sentence) and units (after a number) turn
 into typed slots, everything else into lower-cased words without punctuation.  Windows of ``width`` template
 tokens with at least ``plain`` words are hashed and joined between documents and benchmark items.  A matched
-window counts only if its slot values agree with the pair's one mapping from benchmark values to document values,
-so a question with other numbers still matches while an accidental template does not.  A document is
-contaminated by an item when the windows that count make up ``coverage`` of the item's windows.
+window counts only if its slot values agree with one mapping from benchmark values to document values, so a
+question with other numbers still matches while an accidental template does not.  Each occurrence of an item in a
+document has a mapping of its own: matched windows are grouped by the distance of their places in document and
+item, exactly, in ranges of half an item (for inserted tokens) and over the whole document, and the best group
+counts.  A document is contaminated by an item when the windows that count make up ``coverage`` of the item's windows.
 
 A bitmap of fixed size, whatever the size of the benchmark, tells documents which windows may match; the join
 decides.  A fuller bitmap lets more rows into the join and loses none.
@@ -86,7 +88,7 @@ def windows(text: str | None, width: int, plain: int) -> tuple[np.ndarray, list[
 def found(key: str, width: int, plain: int, bitmap=None):
     """A ``mapInArrow`` function: rows ``(key columns, h, place, slots)`` for windows that ``bitmap`` lets through.
 
-    Equal windows with equal slot values appear once per text.
+    Windows appear at every place.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value if bitmap is not None else None
@@ -98,13 +100,10 @@ def found(key: str, width: int, plain: int, bitmap=None):
                 if bits is not None and len(h):
                     i = h >> np.uint64(64 - BITS)
                     ok &= ((bits[i >> np.uint64(6)] >> (i & np.uint64(63))) & np.uint64(1)).astype(bool)
-                seen = set()
                 w = min(width, len(at))
                 for p in np.flatnonzero(ok).tolist():
                     s = [SLOT[int(slot[q])] + words[at[q]].strip(".,;:!?\"'()[]{}|*").lower() for q in range(p, p + w) if slot[q]]
-                    if (k := (int(h[p]), *s)) not in seen:
-                        seen.add(k)
-                        rows.append(r), hs.append(h[p]), places.append(p), slots.append(s)
+                    rows.append(r), hs.append(h[p]), places.append(p), slots.append(s)
             keys = [b.column(i).take(pa.array(rows, pa.int64())) for i in range(b.num_columns) if b.schema.names[i] != "t"]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(np.array(hs, np.uint64).view(np.int64), pa.int64()), pa.array(places, pa.int32()),
                                               pa.array(slots, pa.list_(pa.string()))],
@@ -131,21 +130,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, plain: i
     bitmap = docs.sparkSession.sparkContext.broadcast(bits)
     seen = (docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
             .mapInArrow(found("k", width, plain, bitmap), f"k {kind[1]}, th long, h long, place int, slots array<string>"))
-    n = items.select("item", "h").distinct().groupBy("item").agg(F.count("*").alias("windows"))
-    pairs = saved(seen.drop("place").distinct().join(items.groupBy("item", "h", "slots").agg(F.min("place").alias("at"))
-                                    .withColumnRenamed("slots", "want"), "h")
-                  .filter(F.size("slots") == F.size("want")))
-    same = pairs.filter("slots = want").select("k", "th", "item", "h")
-    # a mapping per (document, item): each benchmark value takes the document value it meets most often
-    moved = pairs.withColumn("z", F.explode(F.arrays_zip("want", "slots"))).select("k", "th", "item", "z.*")
-    votes = moved.groupBy("k", "th", "item", "want", "slots").agg(F.count("*").alias("n"))
-    best = votes.groupBy("k", "th", "item", "want").agg(F.max(F.struct("n", F.col("slots").alias("v"))).alias("m"))
-    maps = best.groupBy("k", "th", "item").agg(F.map_from_entries(F.collect_list(F.struct("want", F.col("m.v").alias("v")))).alias("m"))
-    one = [F.col(f"p.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("k", "th", "item")]
-    fits = (pairs.filter("slots <> want").alias("p").join(maps.alias("m"), one)
+    n = items.groupBy("item").agg(F.countDistinct("h").alias("windows"), F.greatest(F.lit(2), F.floor((F.max("place") + width) / 2)).cast("int").alias("near"))
+    wanted = (items.groupBy("item", "h", F.col("slots").alias("want")).agg(F.min("place").alias("at")).join(n.select("item", "near"), "item"))
+    pairs = saved(seen.distinct().join(wanted, "h").filter(F.size("slots") == F.size("want")))
+    hits = ("k", "th", "item", "h")
+    same = pairs.filter("slots = want").select(*hits).distinct()
+    # groups (kind, number) of windows that may be one occurrence, each with a mapping of its own
+    by = F.col("place") - F.col("at")
+    group = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), number.cast("long").alias("no")) for kind, number in enumerate(
+        (F.lit(0), by, F.floor(by / F.col("near")), F.floor((by + F.floor(F.col("near") / 2)) / F.col("near")))))))
+    other = pairs.filter(F.size("want") > 0).withColumn("g", group).select(*hits, "g", "want", "slots").distinct()
+    # each benchmark value takes the document value it meets most often
+    votes = (other.withColumn("z", F.explode(F.arrays_zip("want", "slots"))).groupBy("k", "th", "item", "g", "z.want", "z.slots").agg(F.count("*").alias("n")))
+    best = votes.groupBy("k", "th", "item", "g", "want").agg(F.max(F.struct("n", F.col("slots").alias("v"))).alias("m"))
+    maps = best.groupBy("k", "th", "item", "g").agg(F.map_from_entries(F.collect_list(F.struct("want", F.col("m.v").alias("v")))).alias("m"))
+    one = [F.col(f"p.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("k", "th", "item", "g")]
+    fits = (other.filter("slots <> want").alias("p").join(maps.alias("m"), one)
             .filter(F.forall(F.arrays_zip("want", "slots"), lambda z: F.element_at("m.m", z["want"]) == z["slots"]))
-            .select("p.k", "p.th", "p.item", "p.h"))
-    covered = same.unionByName(fits).distinct().groupBy("k", "th", "item").agg(F.count("*").alias("covered"))
+            .select("p.k", "p.th", "p.item", "p.g", "p.h").distinct())
+    moved = fits.alias("f").join(same.alias("s"), [F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in hits], "left_anti")
+    most = (moved.groupBy("k", "th", "item", "g").agg(F.count("*").alias("c")).groupBy("k", "th", "item").agg(F.max("c").alias("c")))
+    covered = (same.groupBy("k", "th", "item").agg(F.count("*").alias("c")).unionByName(most)
+               .groupBy("k", "th", "item").agg(F.sum("c").alias("covered")))
     return covered.join(n, "item").filter(F.col("covered") >= coverage * F.col("windows")).select("k", "th", "item", "covered", "windows")
 
 

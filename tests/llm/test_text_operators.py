@@ -114,6 +114,20 @@ def test_decontamination_finds_copies_and_other_parameters(spark, make):
     assert bad_ids(spark, docs) == {(1, 0), (2, 0), (4, 1), (None, 1)}
 
 
+def test_variants_of_one_item_in_one_document(spark):
+    def variant(*v):
+        t = ITEMS[0][1]
+        for a, b in zip(("Boston", "60", "3 hours", "Alice"), v):
+            t = t.replace(a, b)
+        return t
+
+    two = [variant("Austin", "85", "7 hours", "Bob"), variant("Zurich", "40", "2 hours", "Carl")]
+    five = [*two, *(variant(c, str(i + 70), f"{i + 11} hours", d) for i, (c, d) in enumerate((("Oslo", "Dora"), ("Rome", "Ed"), ("Kyiv", "Flo"))))]
+    longer = [variant("Santa Clara", "85", "7 hours", "Bob"), variant("New York", "40", "2 hours", "Carl")]
+    docs = [(1, two[0]), (2, two[1]), (3, ". ".join(two)), (4, ". ".join(five)), (5, ". some plain words stand here. ".join(five)), (6, ". ".join(longer))]
+    assert bad_ids(spark, spark.createDataFrame(docs, "doc_id long, text string")) == {(d, 0) for d, _ in docs}
+
+
 def test_slots_must_be_consistent(spark):
     item = "first 10 then some plain words here again 10 and then more plain words come with 10 at the very end"
     same, mixed_ = item.replace("10", "44"), item.replace("10", "1", 1).replace("again 10", "again 2").replace("with 10", "with 3")
