@@ -58,56 +58,75 @@ class Codes(dict):
 CODES = Codes()
 
 
-def windows(text: str | None, width: int, plain: int) -> tuple[np.ndarray, list[int], list[str], np.ndarray]:
-    """Window hashes, the places of the tokens kept, the words, and the slot kind of every kept token.
-
-    A text of fewer tokens than ``width`` is one window; without tokens there is none.
-    """
-    words = (text or "").split()
-    codes = np.fromiter(map(CODES.__getitem__, words), np.uint64, len(words))
-    kind = (codes & np.uint64(7)).astype(np.int8)
-    opens = np.ones(len(words), bool)
-    opens[1:] = (codes[:-1] & np.uint64(END)) > 0
-    at = np.flatnonzero(kind != NONE)
-    kind, code, opens = kind[at], codes[at] & ~np.uint64(15), opens[at]
-    after_number = np.zeros(len(at), bool)
-    after_number[1:] = kind[:-1] == NUM
-    slot = np.where((kind == NUM) | ((kind == CAP) & ~opens) | ((kind == UNIT) & after_number), kind, WORD)
-    code = np.where(slot == WORD, code, slot.astype(np.uint64))
-    n = len(at) - width + 1
-    if n <= 0:
-        width, n = len(at), 1 if len(at) else 0
-    h, words_in = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-    for j in range(width):
-        h += mixed(code[j:j + n] + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64))
-        words_in += slot[j:j + n] == WORD
-    h[words_in < min(plain, width)] = 0
-    return h, at, words, slot
-
-
-def found(key: str, width: int, plain: int, bitmap=None):
-    """A ``mapInArrow`` function: rows ``(key columns, h, place, slots)`` for windows that ``bitmap`` lets through.
-
-    Windows appear at every place.
-    """
+class Tokens:
+    """A text's tokens: places in ``words``, slot kinds, codes with slots (``code``) and of the words themselves (``raw``)."""
+
+    def __init__(self, text: str | None):
+        self.words = words = (text or "").split()
+        codes = np.fromiter(map(CODES.__getitem__, words), np.uint64, len(words))
+        kind = (codes & np.uint64(7)).astype(np.int8)
+        opens = np.ones(len(words), bool)
+        opens[1:] = (codes[:-1] & np.uint64(END)) > 0
+        self.at = at = np.flatnonzero(kind != NONE)
+        kind, self.raw, opens = kind[at], codes[at] & ~np.uint64(15), opens[at]
+        self.number = kind == NUM
+        after_number = np.zeros(len(at), bool)
+        after_number[1:] = kind[:-1] == NUM
+        self.slot = np.where((kind == NUM) | ((kind == CAP) & ~opens) | ((kind == UNIT) & after_number), kind, WORD)
+        self.code = np.where(self.slot == WORD, self.raw, self.slot.astype(np.uint64))
+
+    def windows(self, width: int, plain: int, form: str) -> np.ndarray:
+        """Hashes of all windows of ``width`` tokens; 0 where fewer than ``plain`` tokens are words.
+
+        ``long``: the template.  ``short``: the template of a whole item, whose first token is a slot only as a
+        number, whatever stands before it.  ``exact``: the tokens themselves, however many are words.
+        """
+        n = max(len(self.at) - width + 1, 0)
+        h, words_in, is_word = np.zeros(n, np.uint64), np.zeros(n, np.int64), self.slot == WORD
+        for j in range(width):
+            code, word = (self.raw, None) if form == "exact" else (self.code, is_word)
+            if form == "short" and j == 0:
+                code, word = np.where(self.number, self.code, self.raw), ~self.number
+            h += mixed(code[j:j + n] + np.uint64((0x9E3779B97F4A7C15 * (j + 1) + (form == "exact") * 0x632BE59BD9B4E019) % 2**64))
+            words_in += width if word is None else word[j:j + n]
+        h[words_in < min(plain, width)] = 0
+        return h
+
+    def slots(self, p: int, width: int, form: str) -> list[str]:
+        """Kinds and values of the slots (``exact``: numbers) in the window at ``p``."""
+        where = self.number if form == "exact" else self.slot
+        return [SLOT[NUM if form == "exact" else int(self.slot[q])] + self.words[self.at[q]].strip(".,;:!?\"'()[]{}|*").lower()
+                for q in range(p, p + width) if where[q] and (q > p or form != "short" or self.number[q])]
+
+
+def item_form(t: Tokens, width: int, plain: int) -> tuple[int, str]:
+    """Width and form of an item's windows: ``short`` where the item is shorter than ``width``, ``exact`` where no
+    window holds enough words."""
+    w, form = min(width, len(t.at)), "long" if len(t.at) >= width else "short"
+    return w, form if t.windows(w, plain, form).any() else "exact"
+
+
+def found(width: int, plain: int, forms: list[tuple[int, str]] | None = None, bitmap=None):
+    """A ``mapInArrow`` function: rows ``(key columns, h, place, slots, w, form)`` for windows that ``bitmap`` lets
+    through, of the given widths and forms, or of each item's own.  Windows appear at every place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value if bitmap is not None else None
         for b in batches:
-            rows, hs, places, slots = [], [], [], []
-            for r, t in enumerate(b.column("t").to_pylist()):
-                h, at, words, slot = windows(t, width, plain)
-                ok = h != 0
-                if bits is not None and len(h):
-                    i = h >> np.uint64(64 - BITS)
-                    ok &= ((bits[i >> np.uint64(6)] >> (i & np.uint64(63))) & np.uint64(1)).astype(bool)
-                w = min(width, len(at))
-                for p in np.flatnonzero(ok).tolist():
-                    s = [SLOT[int(slot[q])] + words[at[q]].strip(".,;:!?\"'()[]{}|*").lower() for q in range(p, p + w) if slot[q]]
-                    rows.append(r), hs.append(h[p]), places.append(p), slots.append(s)
+            rows, hs, places, slots, ws, fs = [], [], [], [], [], []
+            for r, text in enumerate(b.column("t").to_pylist()):
+                t = Tokens(text)
+                for w, form in [item_form(t, width, plain)] if forms is None else forms:
+                    h = t.windows(w, plain, form)
+                    ok = h != 0
+                    if bits is not None and len(h):
+                        i = h >> np.uint64(64 - BITS)
+                        ok &= ((bits[i >> np.uint64(6)] >> (i & np.uint64(63))) & np.uint64(1)).astype(bool)
+                    for p in np.flatnonzero(ok).tolist() if w else []:
+                        rows.append(r), hs.append(h[p]), places.append(p), slots.append(t.slots(p, w, form)), ws.append(w), fs.append(form)
             keys = [b.column(i).take(pa.array(rows, pa.int64())) for i in range(b.num_columns) if b.schema.names[i] != "t"]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(np.array(hs, np.uint64).view(np.int64), pa.int64()), pa.array(places, pa.int32()),
-                                              pa.array(slots, pa.list_(pa.string()))],
-                                             [*(n for n in b.schema.names if n != "t"), "h", "place", "slots"])
+                                              pa.array(slots, pa.list_(pa.string())), pa.array(ws, pa.int32()), pa.array(fs, pa.string())],
+                                             [*(n for n in b.schema.names if n != "t"), "h", "place", "slots", "w", "form"])
     return run
 
 
@@ -116,11 +135,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, plain: i
     """``(k, th, item, covered, windows)`` per document (key and text hash) and item that contaminates it.
 
     Null and empty texts have no windows; benchmark rows without text match nothing.  Rows equal in key and text
-    are one document.  Items with equal ids are one item.
+    are one document.  Items with equal ids are one item.  An item shorter than ``width`` is one window of its own
+    length; an item without a window of enough words is compared by its exact tokens, without other parameters.  So
+    an item of one or two words is found in every document that holds them.
     """
     kind = dict(benchmark.dtypes)["item_id"], dict(docs.dtypes)[key]
     items = saved(benchmark.select(F.col("item_id").alias("item"), F.col("text").alias("t"))
-                  .mapInArrow(found("item", width, plain), f"item {kind[0]}, h long, place int, slots array<string>"))
+                  .mapInArrow(found(width, plain), f"item {kind[0]}, h long, place int, slots array<string>, w int, form string"))
+    forms = sorted((r["w"], r["form"]) for r in items.select("w", "form").distinct().collect())  # at most 2 x width
     i = F.shiftrightunsigned("h", 64 - BITS)
     cells = (items.select(F.shiftright(i, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))").alias("b"))
              .groupBy("w").agg(F.bit_or("b").alias("b")).collect())  # at most 2^17 rows
@@ -129,17 +151,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, plain: i
         bits[r["w"]] = r["b"] % 2**64
     bitmap = docs.sparkSession.sparkContext.broadcast(bits)
     seen = (docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-            .mapInArrow(found("k", width, plain, bitmap), f"k {kind[1]}, th long, h long, place int, slots array<string>"))
-    n = items.groupBy("item").agg(F.countDistinct("h").alias("windows"), F.greatest(F.lit(2), F.floor((F.max("place") + width) / 2)).cast("int").alias("near"))
-    wanted = (items.groupBy("item", "h", F.col("slots").alias("want")).agg(F.min("place").alias("at")).join(n.select("item", "near"), "item"))
-    pairs = saved(seen.distinct().join(wanted, "h").filter(F.size("slots") == F.size("want")))
+            .mapInArrow(found(width, plain, forms, bitmap), f"k {kind[1]}, th long, h long, place int, slots array<string>, w int, form string"))
+    n = items.groupBy("item").agg(F.countDistinct("h").alias("windows"), F.greatest(F.lit(2), F.floor(F.max(F.col("place") + F.col("w")) / 2)).cast("int").alias("near"))
+    wanted = (items.groupBy("item", "h", "w", "form", F.col("slots").alias("want")).agg(F.min("place").alias("at")).join(n.select("item", "near"), "item"))
+    pairs = saved(seen.distinct().join(wanted, ["h", "w", "form"]).filter(F.size("slots") == F.size("want")))
     hits = ("k", "th", "item", "h")
     same = pairs.filter("slots = want").select(*hits).distinct()
     # groups (kind, number) of windows that may be one occurrence, each with a mapping of its own
     by = F.col("place") - F.col("at")
     group = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), number.cast("long").alias("no")) for kind, number in enumerate(
         (F.lit(0), by, F.floor(by / F.col("near")), F.floor((by + F.floor(F.col("near") / 2)) / F.col("near")))))))
-    other = pairs.filter(F.size("want") > 0).withColumn("g", group).select(*hits, "g", "want", "slots").distinct()
+    other = pairs.filter((F.size("want") > 0) & (F.col("form") != "exact")).withColumn("g", group).select(*hits, "g", "want", "slots").distinct()
     # each benchmark value takes the document value it meets most often
     votes = (other.withColumn("z", F.explode(F.arrays_zip("want", "slots"))).groupBy("k", "th", "item", "g", "z.want", "z.slots").agg(F.count("*").alias("n")))
     best = votes.groupBy("k", "th", "item", "g", "want").agg(F.max(F.struct("n", F.col("slots").alias("v"))).alias("m"))

@@ -128,6 +128,16 @@ def test_variants_of_one_item_in_one_document(spark):
     assert bad_ids(spark, spark.createDataFrame(docs, "doc_id long, text string")) == {(d, 0) for d, _ in docs}
 
 
+def test_short_items_and_items_of_slots(spark):
+    bench = spark.createDataFrame([(0, "What is 12 + 15?"), (1, "What is the capital of France?"), (2, "7 9 11 13 17 19 23 29 31 37"), (3, "--"), (4, "")],
+                                  "item_id long, text string")
+    long = "Some text that goes on for a while stands here. "
+    docs = [(1, long + "What is 12 + 15? " + long), (2, long + "What is 12 + 16? " + long), (3, long + "Q: What is the capital of Spain? " + long),
+            (4, long + "7 9 11 13 17 19 23 29 31 37. " + long), (5, long + "8 9 11 14 17 20 23 29 30 37. " + long), (6, long), (7, "what is 12 15"), (8, None)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r["k"], r["item"]) for r in got} == {(1, 0), (3, 1), (4, 2), (7, 0)}
+
+
 def test_slots_must_be_consistent(spark):
     item = "first 10 then some plain words here again 10 and then more plain words come with 10 at the very end"
     same, mixed_ = item.replace("10", "44"), item.replace("10", "1", 1).replace("again 10", "again 2").replace("with 10", "with 3")
