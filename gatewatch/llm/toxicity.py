@@ -5,8 +5,9 @@
 
 Labels say toxic or not.  Toxic rows are graded by evidence: grade 1 with at most one occurrence of a marker
 word, 2 with two, 3 with more; a marker is a word far likelier in toxic rows.  The model is fitted on at most
-``sample_rows`` labelled rows (those with the smallest MD5 of their key); word counts, candidate words and the
-fit cover that whole sample, scoring covers every whole text.
+``sample_rows`` labelled rows (keys with the smallest MD5, and of their rows those with the smallest hash of key and
+text; rows equal in both count once); word counts, candidate words and the fit cover that whole sample, scoring
+covers every whole text of all rows.
 """
 
 from __future__ import annotations
@@ -83,12 +84,18 @@ def fit_ordinal(rows: list[list[tuple[int, float]]], grade: np.ndarray, n_terms:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int, key: str, text: str) -> DataFrame:
-    """``(y, t)`` of at most ``sample_rows`` labelled keys; a key labelled twice takes the larger label."""
+    """``(k, y, t)`` of at most ``sample_rows`` different rows of as many labelled keys at most.
+
+    A key labelled twice takes the larger label.  Rows equal in key and text count once; of more rows those with the
+    smallest hash of key and text stay.
+    """
     chosen = (labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
               .groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
               .orderBy(F.md5(F.col("k").cast("string")), "k").limit(sample_rows))
-    return saved(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-                 .join(F.broadcast(chosen), "k").select("k", "y", "t"))
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+    light = (rows.join(F.broadcast(chosen), "k").select("k", "y", "th").distinct()
+             .orderBy(F.xxhash64("k", "th"), "k", "th").limit(sample_rows))
+    return saved(rows.join(F.broadcast(saved(light)), ["k", "th"]).select("k", "y", "t").distinct())
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_terms: int = 4096, min_chi2: float = 20.0,

@@ -188,6 +188,14 @@ def test_toxicity_odd_rows(spark, odd, make):
     assert toxicity.reject(odd, model).columns == odd.columns
 
 
+def test_toxicity_sample_is_bounded_in_rows(spark, make):
+    docs, labels = toy_labels(spark, 60)
+    more = [docs[6]] * 200 + [(7, f"w{i} other") for i in range(100)]
+    sample = toxicity.labelled_sample(make(*docs, *more), labels, "toxic", 1000, "doc_id", "text").collect()
+    assert len(sample) == len(set(sample)) == len({*docs, *more})
+    assert toxicity.labelled_sample(make(*docs, *more), labels, "toxic", 80, "doc_id", "text").count() == 80
+
+
 def test_toxicity_on_the_tables(spark):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op4_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("toxic", "label"), "doc_id")
