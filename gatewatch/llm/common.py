@@ -8,8 +8,9 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +64,26 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def running(df: DataFrame, group: str, order: list[str], name: str, value: Column | None = None) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` (default 1, so the rank from 0) over the rows of its ``group``
+    that come before it in ``order``; also ``total_<name>``, the sum over the whole group.
+
+    No group meets in one task: rows are range-sorted, each range sums its own rows, and the sums per (range,
+    group) give each range its opening value.  ``df`` must be a saved table and ``order`` end in something unique.
+    """
+    v = F.lit(1) if value is None else value
+    placed = saved(df.withColumn("v_", v.cast("long")).repartitionByRange(group, *order)
+                   .withColumn("range_", F.spark_partition_id()))
+    sums = placed.groupBy(group, "range_").agg(F.sum("v_").alias("s_"))
+    before = Window.partitionBy(group).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(group).alias("g_"), F.col("range_").alias("r_"), F.coalesce(F.sum("s_").over(before), F.lit(0)).alias("open_"),
+                       F.sum("s_").over(Window.partitionBy(group)).alias(f"total_{name}"))
+    inside = Window.partitionBy(group, "range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumn("in_", F.coalesce(F.sum("v_").over(inside), F.lit(0)))
+    out = out.join(sums, out[group].eqNullSafe(F.col("g_")) & (F.col("range_") == F.col("r_")))
+    return out.withColumn(name, F.col("open_") + F.col("in_")).drop("v_", "range_", "in_", "g_", "r_", "open_")
+
+
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash; forgets all words when it holds ``most`` of them."""
 
