@@ -38,14 +38,16 @@ def assign(docs: DataFrame, weights: list[float], grown: list[float] | None = No
 
     Null texts count as empty in size and checksum; null keys are placed like a key of their own.  Slots come
     from range-sorted rows: counts per (range, shard) give each range its first slot, so no shard is ever
-    ranked in one task and equal keys may spread over ranges.
+    ranked in one task.  Rows that are equal in key and text are told apart by their place in the saved table, so they
+    spread over ranges too; which of them has which slot does not show.
     """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     light = docs.select(F.col(key).alias("k"), (F.octet_length(body) + 1).cast("long").alias("size"),
-                        F.crc32(body).alias("crc"), F.xxhash64(body).alias("salt"))
+                        F.crc32(body).alias("crc"), F.xxhash64(body).alias("salt"),
+                        F.monotonically_increasing_id().alias("u"))
     light = light.withColumns({"shard": rendezvous(F.col("k"), weights),
                                "grown": rendezvous(F.col("k"), grown) if grown else F.lit(None).cast("int")})
-    order = ["k", "crc", "size", "salt"]
+    order = ["k", "crc", "size", "salt", "u"]
     placed = saved(saved(light).repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
     counts = placed.groupBy("range", "shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,7 +60,7 @@ def assign(docs: DataFrame, weights: list[float], grown: list[float] | None = No
 
 
 def shards_after(docs: DataFrame, weights: list[float], key: str = "doc_id") -> DataFrame:
-    """``docs`` with a column ``shard``, for a writer that partitions by it."""
+    """``docs`` with a column ``shard``, for a writer that partitions by it; a column of that name is replaced."""
     return docs.withColumn("shard", rendezvous(F.col(key), weights))
 
 
