@@ -82,26 +82,33 @@ def _emit(blocks: DataFrame, tier: int, above: list[str]) -> DataFrame:
         "g", "n", *above, (F.shiftleft("block", BLOCK_BITS) + F.col("at")).alias("i"), "row.node.*", "row.steps")
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """Rows ``(g, n, i, digest, ...)``, ``i`` counting from 0 to ``n - 1`` in each group ``g`` -> the same rows with
-    ``steps`` up to the group's root and ``top``, its digest.  ``n`` and ``i`` are long.
+def build(nodes: DataFrame) -> list[DataFrame]:
+    """Rows ``(g, n, i, digest, ...)``, ``i`` counting from 0 to ``n - 1`` in each group ``g`` (both long) -> the tiers
+    of blocks; the last has one block, the root, for each group.
 
     The number of tiers follows the largest group; nothing but that number reaches the driver."""
-    largest = nodes.agg(F.max("n")).first()[0] or 0
-    tiers, size = [], largest
+    size, tiers = nodes.agg(F.max("n")).first()[0] or 0, []
     while True:
         blocks = saved(_tier(nodes, len(tiers)))
         tiers.append(blocks)
         size = -(-size // (1 << BLOCK_BITS))
         if size <= 1:
-            break
+            return tiers
         nodes = blocks.select("g", "n", F.col("block").alias("i"), F.col("node.digest").alias("digest"))
-    up = tiers[-1].select("g", "block", F.col("node.digest").alias("top"), F.array().cast(f"array<{STEP}>").alias("up"))
+
+
+def paths(tiers: list[DataFrame], roots: DataFrame) -> DataFrame:
+    """The rows that ``tiers`` were built from, each with ``steps`` up to the group's root and on along the steps of
+    ``roots`` (one row ``(g, up, ...)`` for each group), whose other columns come along.
+
+    What lies above a block is joined to the block, never to its rows."""
+    extra = [c for c in roots.columns if c not in ("g", "up")]
+    above = roots.withColumn("block", F.lit(0).cast("bigint"))
     for tier in range(len(tiers) - 1, -1, -1):
-        rows = tiers[tier].join(up.select(F.col("g").alias("ug"), F.col("block").alias("ub"), "top", "up"),
+        rows = tiers[tier].join(above.select(F.col("g").alias("ug"), F.col("block").alias("ub"), *extra, "up"),
                                 (F.col("g") == F.col("ug")) & (F.col("block") == F.col("ub"))).drop("ug", "ub")
-        rows = _emit(rows, tier, ["top", "up"]).withColumn("steps", F.concat("steps", "up")).drop("up")
-        up = rows.select("g", F.col("i").alias("block"), "top", F.col("steps").alias("up"))
+        rows = _emit(rows, tier, [*extra, "up"]).withColumn("steps", F.concat("steps", "up")).drop("up")
+        above = rows.select("g", F.col("i").alias("block"), *extra, F.col("steps").alias("up"))
     return rows
 
 
@@ -124,15 +131,15 @@ def manifest(rows: DataFrame, key: str, group: str, leaf_digest: Column, **extra
                         # texts of groups compare bytewise; null comes before the empty text
                         F.coalesce(F.concat(F.lit("+"), F.col(group).cast("string")), F.lit("")).alias("g"))
     ranked = running(saved(light), "g", ["k", "digest", "u"], "i").withColumnRenamed("total_i", "n").drop("u", "group")
-    leaves = paths(ranked.withColumn("n", F.col("n").cast("long")).withColumn("i", F.col("i").cast("long")))
-    leaves = saved(leaves)
-    tops = saved(leaves.groupBy("g").agg(F.first("top").alias("digest")).select(F.lit("").alias("all"), "g", "digest"))
-    tops = running(tops, "all", ["g"], "i").select(F.lit("").alias("g"), F.col("total_i").cast("long").alias("n"),
-                                                   F.col("i").cast("long").alias("i"), "digest", F.col("g").alias("group_key"))
-    upper = paths(tops).select("group_key", F.col("top").alias("root"), F.col("steps").alias("group_steps"))
-    out = leaves.join(upper, F.col("g") == F.col("group_key"))
-    return out.select(F.col("k").alias(key), F.col("digest").alias("leaf"), F.col("top").alias("subroot"), "root",
-                      F.concat("steps", "group_steps").alias("steps"), *(F.col(f"x_{n}").alias(n) for n in extra))
+    tiers = build(ranked.withColumn("n", F.col("n").cast("long")).withColumn("i", F.col("i").cast("long")))
+    subroots = tiers[-1].select(F.lit("").alias("all"), "g", F.col("node.digest").alias("digest"))
+    tops = running(subroots, "all", ["g"], "i").select(F.lit("").alias("g"), F.col("total_i").cast("long").alias("n"),
+                                                       F.col("i").cast("long").alias("i"), "digest", F.col("g").alias("group"))
+    top = build(tops)
+    root = top[-1].select("g", F.col("node.digest").alias("root"), F.array().cast(f"array<{STEP}>").alias("up"))
+    groups = paths(top, root).select(F.col("group").alias("g"), F.col("digest").alias("subroot"), "root", F.col("steps").alias("up"))
+    return paths(tiers, groups).select(F.col("k").alias(key), F.col("digest").alias("leaf"), "subroot", "root", "steps",
+                                       *(F.col(f"x_{n}").alias(n) for n in extra))
 
 
 @query("op11_merkle")
