@@ -11,12 +11,12 @@ give every range its first position, so no step sees more than one range's docum
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,21 +25,12 @@ from zlib import crc32
 from .common import query, saved, table
 
 DIMS, DEPTH, BUCKETS = 4, 10, 1024
-_ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85\xa0]|^[ \n]|[ \n]$|[ \n][ \n]|<\|")
-
-
-class Pieces(dict):
-    """Stretch of text -> its ids as bytes; forgets all when it holds ``most`` stretches."""
-
-    def __init__(self, encode, most: int = 400_000):
-        super().__init__()
-        self.encode, self.most = encode, most
-
-    def __missing__(self, stretch: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        v = self[stretch] = np.array(self.encode(stretch), "<u2").tobytes()
-        return v
+#: Texts that are encoded as a whole: white space other than single spaces and line breaks between words, or a
+#: possible special token.  The 0 byte separates words below.
+_ODD = (r"[\t\r\x00\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+        r"|^[ \n]|[ \n]$|[ \n][ \n]|<\|")
+#: Bytes of text that are encoded at once; a longer text makes a slice of its own.
+SLICE_BYTES = 8 << 20
 
 
 def byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
@@ -54,8 +45,9 @@ class Encoder:
     """Ids of the byte-level BPE that ``path`` describes for the tokenizers library, as 16-bit bytes.
 
     tiktoken merges the same vocabulary by the same ranks, several times faster; tests hold its ids against those of
-    tokenizers.  The vocabulary never joins text across a space before a word, so a text with single spaces and line
-    breaks only is encoded word by word, with a cache; any other text is encoded as a whole.
+    tokenizers.  The vocabulary never joins text across a space before a word, so texts with single spaces and line
+    breaks only are cut into words, the distinct words of a slice are encoded in one call and the ids are copied to
+    wherever the word stands; any other text is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -66,16 +58,47 @@ class Encoder:
         self.special = {a.content: i for i, a in t.get_added_tokens_decoder().items()}
         ranks = {k: v for k, v in byte_ranks(t.get_vocab(with_added_tokens=False)).items() if v not in self.special.values()}
         self.bpe = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
-        self.pieces = Pieces(self.bpe.encode_ordinary)
-
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _ODD_SPACE.search(text):
-            return np.array(self.bpe.encode(text, allowed_special="all"), "<u2").tobytes()
-        first, *rest = text.replace("\n", " \n").split(" ")
-        get = self.pieces.__getitem__
-        return get(first) + b"".join([get(w if w[0] == "\n" else " " + w) for w in rest])
+        self.bytes_of = np.zeros(1 << 16, np.int64)
+        self.bytes_of[list(ranks.values())] = [len(t) for t in ranks]
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all the words one after another, and where each word's begin and how many they are."""
+        led = pc.match_substring_regex(words, "^[ \n]").to_numpy(zero_copy_only=False)
+        # words that begin with a space or line break stay apart when joined; token lengths show where each ends
+        one = "".join(words.filter(pa.array(led)).to_pylist())
+        store = np.array(self.bpe.encode_ordinary(one), np.uint16)
+        upto = np.concatenate([[0], np.cumsum(self.bytes_of[store])])
+        wide = pc.binary_length(words).to_numpy().astype(np.int64)
+        size, begin = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        edge = np.concatenate([[0], np.searchsorted(upto, np.cumsum(wide[led]))])
+        begin[led], size[led] = edge[:-1], np.diff(edge)
+        bare = [self.bpe.encode_ordinary(w) for w in words.filter(pa.array(~led)).to_pylist()]
+        size[~led] = [len(x) for x in bare]
+        begin[~led] = len(store) + np.cumsum(size[~led]) - size[~led]
+        return np.concatenate([store, np.array([i for x in bare for i in x], np.uint16)]), begin, size
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, those of null being none."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        cut = pc.replace_substring(pc.replace_substring(texts.filter(pa.array(~odd)), "\n", "\0\n"), " ", "\0 ")
+        words = pc.split_pattern(cut.cast(pa.large_string()), "\0")
+        coded = words.flatten().dictionary_encode()
+        store, begin, size = self.words(coded.dictionary)
+        code = coded.indices.to_numpy()
+        lens = size[code]
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        flat = store[np.arange(ends[-1]) + np.repeat(begin[code] - ends[:-1], lens)]
+        bounds = ends[words.offsets.to_numpy() - words.offsets[0].as_py()] if len(words) else np.zeros(1, np.int64)
+        plain = iter(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+        out = []
+        for i, o in enumerate(odd):
+            if o:
+                out.append(np.array(self.bpe.encode(texts[i].as_py(), allowed_special="all"), "<u2").tobytes())
+            else:
+                a, b = next(plain)
+                out.append(flat[a:b].tobytes())
+        return out
 
 
 @cache
@@ -126,15 +149,24 @@ def hilbert(x: np.ndarray) -> np.ndarray:
     return key
 
 
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with ``t`` of at most ``SLICE_BYTES``, or one row."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(b.column("t")), 0).to_numpy())
+    lo = 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, SLICE_BYTES + (upto[lo - 1] if lo else 0), "right")))
+        yield b.slice(lo, hi - lo)
+        lo = hi
+
+
 def tokenised(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
     """``(k, curve, n, ids)``: the key, curve position with a tie-breaking text hash, token count with the
     closing 0, and 16-bit ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                ids = [enc.ids(t) + b"\0\0" for t in part.column("t").to_pylist()]
+            for part in slices(b):
+                ids = [x + b"\0\0" for x in enc.ids(part.column("t"))]
                 at = hilbert(np.stack([point(np.frombuffer(x, "<u2")[:-1]) for x in ids]))
                 tie = part.column("salt").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(41)
                 curve = (at << 23) | tie.astype(np.int64)
