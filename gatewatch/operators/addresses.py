@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,10 +113,19 @@ def drop_allow_listed(rows: DataFrame, networks: DataFrame, ip: str = "remote_ad
     return network_join(rows, networks, ip, "left_anti")
 
 
+#: Entries of a configured list that are written into the plan, and those that may be sent to all executors (some
+#: 60 bytes each); a longer list is joined by the distinct addresses.
+LITERALS, SENT = 1_000, 200_000
+
+
 def drop_configured(rows: DataFrame, entries: list[str], ip: str = "remote_addr", strict: bool = False,
                     stop_at_bad: bool = False) -> DataFrame:
-    """F08 for a list that lives in the configuration, of any length, for tables and streams: one anti join with a
-    static table per prefix length that occurs (at most 33 for IPv4; hexadecimal digits for IPv6)."""
+    """F08 for a list that lives in the configuration, of any length, for tables and streams.
+
+    The rows are not shuffled: a short list is a filter (one hashed set per prefix length that occurs, at most 33 for
+    IPv4; hexadecimal digits for IPv6), a longer one is broadcast, its size being known.  Only a list of over ``SENT``
+    entries is a join: of the distinct addresses for a table, of the rows for a stream.
+    """
     four: dict[int, set] = {}
     six: dict[int, set] = {}
     for e in entries:
@@ -132,13 +142,20 @@ def drop_configured(rows: DataFrame, entries: list[str], ip: str = "remote_addr"
             base = first >> (128 - 4 * digits)
             for i in range(1 << (4 * digits - net.prefixlen)):
                 six.setdefault(digits, set()).add(f"{base + i:0{digits}x}" if digits else "")
+    keys = [(F.shiftright(v4_number(F.col(ip)), 32 - bits), sorted(k), "bigint") for bits, k in sorted(four.items())]
+    keys += [(F.when(_is_v6(ip), F.left(v6_hex(F.col(ip)), F.lit(digits))), sorted(k), "string") for digits, k in sorted(six.items())]
+    size = sum(len(k) for _, k, _ in keys)
+    if size <= LITERALS:
+        listed = [F.coalesce(e.isin(k), F.lit(False)) for e, k, _ in keys]
+        return rows.where(~reduce(Column.__or__, listed)) if listed else rows
     spark = rows.sparkSession
-    for bits, keys in sorted(four.items()):
-        static = spark.createDataFrame([(k,) for k in sorted(keys)], "_net bigint")
-        rows = rows.join(static, F.shiftright(v4_number(F.col(ip)), 32 - bits) == F.col("_net"), "left_anti")
-    for digits, keys in sorted(six.items()):
-        static = spark.createDataFrame([(k,) for k in sorted(keys)], "_net string")
-        rows = rows.join(static, F.when(_is_v6(ip), F.left(v6_hex(F.col(ip)), F.lit(digits))) == F.col("_net"), "left_anti")
+    if size > SENT and not rows.isStreaming:
+        a = rows.select(ip).distinct()
+        listed = [a.join(spark.createDataFrame([(x,) for x in k], f"_net {t}"), e == F.col("_net"), "left_semi") for e, k, t in keys]
+        return rows.join(reduce(DataFrame.unionByName, listed).distinct(), ip, "left_anti")
+    for e, k, t in keys:
+        static = spark.createDataFrame([(x,) for x in k], f"_net {t}")
+        rows = rows.join(F.broadcast(static) if size <= SENT else static, e == F.col("_net"), "left_anti")
     return rows
 
 

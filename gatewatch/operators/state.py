@@ -53,12 +53,6 @@ def registry_counts(registry: DataFrame) -> DataFrame:
     return registry.agg(F.count(F.lit(1)).alias("registered_nodes"), F.count_if(F.col("online")).alias("connected_nodes"))
 
 
-def flush_plan(rows: DataFrame, batch_size: int = 100) -> DataFrame:
-    """ST11: batches a node needs for its rows when every batch is filled."""
-    return rows.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).select(
-        "node_id", F.ceil(F.col("n") / batch_size).cast("bigint").alias("full_flushes"), "n")
-
-
 def retrain_needed(samples: DataFrame, seconds_since_training: int, threshold: int = 1000,
                    interval_s: int = 86400, minimum: int = 100) -> DataFrame:
     """ST13."""

@@ -206,6 +206,8 @@ ORACLE_VIEWS |= _chain("st01", f"""SELECT concat('attack_', split_part(label, ':
   FROM (SELECT *, {PATTERN_LABEL} AS label FROM access_log) a WHERE label IS NOT NULL""", "key", "60000000", "key, ts_us, event_id")
 ORACLE_VIEWS |= _chain("st02", "SELECT ip, ts_us, event_id, duration_s FROM ban_records", "ip", "s.duration_s * 1000000",
                        "ip, ts_us, event_id, duration_s")
+ORACLE_VIEWS |= _chain("st12", """SELECT remote_addr AS ip, ts_us, event_id FROM decided
+  WHERE attack_label IS NOT NULL OR ban_reason <> '未达到封禁条件'""", "ip", "120000000", "ip, ts_us, event_id")
 ORACLE_VIEWS |= _chain("st04", f"SELECT channel, level, ts_us, event_id FROM notifications JOIN ({_ROUTES}) r USING (level)",
                        "channel, level", "60000000", "channel, level, ts_us, event_id")
 ORACLE_VIEWS |= _chain("st04b", "SELECT level, source, ts_us, event_id FROM notifications", "level, source", "60000000",

@@ -21,7 +21,9 @@ from ..sources import logs as LO
 from ..sources import sinks as SI
 from ..session import shared_folder
 from ..streaming import jobs
-from ..streaming.detect import detection_stream
+from ..operators import windows as W
+from ..functions.ip import geo_struct
+from ..streaming.detect import ban_stream, detection_stream
 from . import fixtures as fx
 from .q_detect import allow_networks, decided, ip_state
 from .q_reports import END, sec_events
@@ -59,14 +61,56 @@ def w13(d):
     return b.where("_on").select("event_id", F.round("_m", 6).alias("mean"), F.round("_sd", 6).alias("deviation"))
 
 
-@query("st12_detection_stream", "SELECT event_id, attack_label AS reason FROM detected WHERE attack_label IS NOT NULL")
+def in_time_order(rows, folder, batches, ts="ts_us"):
+    """``rows`` as a stream of ``batches`` files, the next one holding the next stretch of time."""
+    t0, t1 = rows.agg(F.min(ts), F.max(ts)).first()
+    for i in range(batches):
+        lo, hi = (t0 + (t1 + 1 - t0) * k // batches for k in (i, i + 1)) if t0 is not None else (0, 0)
+        rows.where((c(ts) >= lo) & (c(ts) < hi)).coalesce(1).write.mode("append").parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _new_folder(d, name):
+    return f"{shared_folder(d.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def detection_job(d, batches=3):
+    """The whole path as a stream: store, judge, analyse, decide, record.  Requests and the bans known from elsewhere come as
+    one stream, in ``batches`` micro batches; each writes what it stored, its verdicts and its ban records."""
+    folder = _new_folder(d, "detection")
+    cols = ["remote_addr", "event_id", "ts_us", "request_uri", "status", "http_user_agent", "http_referer", "node_id"]
+    rows = d.access_log.select(*cols, F.lit(False).alias("is_ban"))
+    known = d.ban_records.select(c("ip").alias("remote_addr"), "event_id", "ts_us")
+    source = in_time_order(rows.unionByName(known.withColumn("is_ban", F.lit(True)), allowMissingColumns=True), f"{folder}/in", batches)
+    judged = detection_stream(source.where("not is_ban"), R.DEFAULT_ALLOW_IPS + R.DEFAULT_ALLOW_NETWORKS, bans=source.where("is_ban"),
+                              rules={"risk_threshold": 30}, risk_level=geo_struct(c("remote_addr"))["risk_level"])
+    sinks = jobs.Sinks(folder, {
+        "requests": lambda b: b.select("event_id", "remote_addr", "ts_us", "request_count", "count_404", "risk_score"),
+        "verdicts": lambda b: W.combined_verdict(b).select("event_id", "remote_addr", "ts_us", "reason"),
+        "bans": lambda b: BA.ban_records(W.combined_verdict(b).withColumn("node_id", F.lit(None).cast("string")), 120)})
+    jobs.start(judged, f"{folder}/state", sinks, every=None).awaitTermination()
+    return folder, sinks
+
+
+@query("st12_detection_stream", """
+SELECT event_id, coalesce(attack_label, ban_reason) AS reason FROM decided WHERE attack_label IS NOT NULL OR ban_reason <> '未达到封禁条件'""")
 def st12(d):
-    """The stream itself, drained: checkpoint and result table live in the shared folder."""
-    rows = fx.view(d.spark, d.sf_dir, "access_log", stream=True)
-    folder = f"{shared_folder(d.spark)}/detection-{uuid.uuid4().hex}"
-    out = detection_stream(rows, R.DEFAULT_ALLOW_IPS + R.DEFAULT_ALLOW_NETWORKS)
-    jobs.start(out, f"{folder}/state", jobs.table_sink(f"{folder}/verdicts"), every=None).awaitTermination()
-    return d.spark.read.parquet(f"{folder}/verdicts").select("event_id", "reason")
+    return detection_job(d)[1].read(d.spark, "verdicts").select("event_id", "reason")
+
+
+@query("st12_stored_requests", "SELECT event_id, request_count, count_404, round(risk_score, 6) AS risk_score FROM decided")
+def st12b(d):
+    return detection_job(d)[1].read(d.spark, "requests").select("event_id", "request_count", "count_404", F.round("risk_score", 6).alias("risk_score"))
+
+
+@query("st12_bans", "SELECT ip, ts_us FROM st12_chain")
+def st12c(d):
+    """A second stream follows the ban records that the first one writes: an address is banned once until its ban ends."""
+    folder, sinks = detection_job(d)
+    records = sinks.read(d.spark, "bans").select("ip", "ts_us", "event_id", "duration_s")
+    jobs.start(ban_stream(in_time_order(records, f"{folder}/triggers", 2)), f"{folder}/ban_state",
+               jobs.table_sink(f"{folder}/started"), every=None).awaitTermination()
+    return d.spark.read.parquet(f"{folder}/started").where("action = 'ban'").select("ip", "ts_us")
 
 
 def _sent(d):
@@ -113,9 +157,11 @@ def st10(d):
     return ST.node_registry(d.heartbeats, END, 30).select("node_id", "last_heartbeat_us", "host", "online")
 
 
-@query("st11_micro_batch", "SELECT node_id, CAST(ceil(count(*) / 100.0) AS BIGINT) AS full_flushes, count(*) AS n FROM access_log GROUP BY 1")
+@query("st11_micro_batch", "SELECT 'requests' AS sink, 4 AS flushes, count(*) AS n FROM access_log")
 def st11(d):
-    return ST.flush_plan(d.access_log, 100)
+    """Flushes are micro batches: the ledger of a stream that took the log in four."""
+    ledger = sink_job(d)[1].ledger(d.spark).where("sink = 'requests'")
+    return ledger.groupBy("sink").agg(F.count("*").alias("flushes"), F.sum("rows").alias("n"))
 
 
 @query("st13_retrain_trigger", f"""
@@ -160,10 +206,25 @@ def s04(d):
     return LO.read_entry_list(_entry_list(d)).select("position", "ip_address", "response_status")
 
 
+def _unreachable(b):
+    raise ConnectionError("no such host")
+
+
+def sink_job(d, most=3000):
+    """The log as a stream of four micro batches to four sinks: all requests, errors, a list of the newest, and one that fails."""
+    folder = _new_folder(d, "sinks")
+    source = in_time_order(d.access_log, f"{folder}/in", 4)
+    sinks = jobs.Sinks(folder, {
+        "requests": lambda b: b.select("event_id", "node_id", "status"), "newest": lambda b: b.select("event_id", "ts_us"),
+        "errors": lambda b: b.where("status >= 400").select("event_id", "status"), "lost": _unreachable},
+        ["requests", "errors", "newest", "lost", "unknown"], {"newest": (most, "ts_us", "event_id")})
+    jobs.start(source, f"{folder}/state", sinks, every=None).awaitTermination()
+    return folder, sinks
+
+
 @query("s05_capped_list_sink", "SELECT event_id FROM access_log ORDER BY ts_us DESC, event_id DESC LIMIT 3000")
 def s05(d):
-    a = d.access_log
-    return SI.compact_list(a.where("event_id % 2 = 0"), a.where("event_id % 2 = 1"), 3000, "ts_us", "event_id").select("event_id")
+    return sink_job(d)[1].read(d.spark, "newest").select("event_id")
 
 
 @query("s06_multi_source_union", """
@@ -176,13 +237,22 @@ def s06(d):
     return u.groupBy("source", "request_url").agg(F.count("*").alias("n"))
 
 
-@query("s07_fan_out_sink", "SELECT 'a' AS sink, true AS ok UNION ALL SELECT 'b', false")
+@query("s07_fan_out_sink", """
+SELECT 'requests' AS sink, event_id FROM access_log UNION ALL SELECT 'errors', event_id FROM access_log WHERE status >= 400""")
 def s07(d):
-    # sinks that only count what they would write; real tables in the tests
-    rows = d.access_log
-    res = SI.fan_out(rows, {"a": lambda x: x.agg(F.count("*")).collect(),
-                            "b": lambda x: x.select("no_such_column")}, ["a", "b", "unknown"])
-    return d.spark.createDataFrame(list(res.items()), "sink string, ok boolean")
+    """What the sinks hold afterwards; the failing one is without effect on them."""
+    sinks = sink_job(d)[1]
+    return sinks.read(d.spark, "requests").select(F.lit("requests").alias("sink"), "event_id").unionByName(
+        sinks.read(d.spark, "errors").select(F.lit("errors").alias("sink"), "event_id"))
+
+
+@query("s07_sink_results", """
+SELECT sink, batches, ok, CASE WHEN ok THEN n END AS n FROM (
+ SELECT 'requests' AS sink, 4 AS batches, true AS ok, count(*) AS n FROM access_log UNION ALL
+ SELECT 'errors', 4, true, count(*) FILTER (WHERE status >= 400) FROM access_log UNION ALL SELECT 'lost', 4, false, count(*) FROM access_log) t""")
+def s07b(d):
+    ledger = sink_job(d)[1].ledger(d.spark).where("sink <> 'newest'")
+    return ledger.groupBy("sink").agg(F.count("*").alias("batches"), F.bool_and("ok").alias("ok"), F.sum("rows").alias("n"))
 
 
 @query("s08_access_log_sink", "SELECT event_id, node_id, CAST(strftime(make_timestamp(ts_us), '%Y-%m-%d') AS VARCHAR) AS date FROM access_log")

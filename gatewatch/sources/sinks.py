@@ -56,28 +56,6 @@ def newest(rows: DataFrame, max_entries: int, ts: str, tie: str) -> DataFrame:
     return rows.orderBy(F.desc(ts), F.desc(tie)).limit(max_entries)
 
 
-def compact_list(stored: DataFrame | None, batch: DataFrame, max_entries: int, ts: str, tie: str) -> DataFrame:
-    """Stored entries plus a batch, cut to the cap."""
-    both = batch if stored is None else stored.unionByName(batch)
-    return newest(both, max_entries, ts, tie)
-
-
-def fan_out(rows: DataFrame, writers: dict[str, Callable[[DataFrame], None]],
-            targets: list[str] | None = None) -> dict[str, bool]:
-    """The same rows to several sinks; unknown names are ignored, a failing sink does not stop
-    the others.  The rows should be a table or a checkpointed frame, each sink reads them once."""
-    results = {}
-    for name in targets or list(writers):
-        if name not in writers:
-            continue
-        try:
-            writers[name](rows)
-            results[name] = True
-        except Exception:  # noqa: BLE001 - the result table records it
-            results[name] = False
-    return results
-
-
 def dead_letters(batches: DataFrame, failed_us) -> DataFrame:
     """Failed batches with the time of the failure and a retry count of 0."""
     return batches.withColumn("failed_us", F.lit(failed_us)).withColumn("retry_count", F.lit(0))

@@ -1,18 +1,16 @@
 """The detection job as a stream, and the stateful steps it is made of.
 
-State is kept per address with ``applyInPandasWithState``: the requests of the last window (for
-the rolling rules), the last passed time of a suppression key, the end of a running ban.  Event
-time with a watermark replaces arrival order: a row is judged against the rows of its address that
+Requests are judged by ``address.AddressProcessor`` (``transformWithState``); smaller states (the last passed time
+of a suppression key, the end of a running ban) are kept with ``applyInPandasWithState``.  Event time with a watermark
+replaces arrival order in the rolling rules: a row is judged against the rows of its address that
 are not newer than itself, rows behind the watermark are dropped, idle addresses time out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,99 +18,53 @@ from .. import rules as R
 from ..functions import patterns as P
 from ..functions.ip import pseudonym_sha
 from ..operators.addresses import drop_configured
-from ..operators.prefix import MINUTE, SECOND
-from ..operators.windows import frequency_verdict
-
-HISTORY = "ts array<bigint>, is404 array<boolean>, uri array<bigint>, sensitive array<boolean>"
-COUNTS = ("remote_addr string, event_id bigint, ts_us bigint, request_uri string, status bigint, "
-          "pattern_label string, n404 bigint, n_1min bigint, n_5min bigint, n_uris bigint, n_sensitive bigint")
-
-
-def _distinct_in_windows(codes, sens, lo, hi):
-    """Distinct codes (and sensitive ones) of the windows [lo, hi), both ends moving forward only."""
-    held: dict = {}
-    uris, sensitive = np.empty(len(lo), np.int64), np.empty(len(lo), np.int64)
-    a = b = n_sens = 0
-    for i, (x, y) in enumerate(zip(lo, hi)):
-        for j in range(b, y):
-            c = codes[j]
-            held[c] = held.get(c, 0) + 1
-            n_sens += held[c] == 1 and sens[j]
-        b = max(b, y)
-        for j in range(a, x):
-            c = codes[j]
-            held[c] -= 1
-            if not held[c]:
-                del held[c]
-                n_sens -= sens[j]
-        a = max(a, x)
-        uris[i], sensitive[i] = len(held), n_sens
-    return uris, sensitive
-
-
-def _count_rows(t, codes, f404, sens, new, w404):
-    """Rolling counts of the rows ``new`` inside a time-sorted history, one forward pass."""
-    hi = np.searchsorted(t, t[new], side="right")
-    lo = lambda w: np.searchsorted(t, t[new] - w, side="left")
-    c404 = np.concatenate([[0], np.cumsum(f404)])
-    uris, sensitive = _distinct_in_windows(codes.tolist(), sens.tolist(), lo(10 * MINUTE), hi)
-    return {"n404": c404[hi] - c404[lo(w404)], "n_1min": hi - lo(MINUTE), "n_5min": hi - lo(5 * MINUTE),
-            "n_uris": uris, "n_sensitive": sensitive}
-
-
-def rolling_counts(requests: DataFrame, watermark: str = "1 minute",
-                   window_minutes: int = R.BAN_RULES["time_window_minutes"]) -> DataFrame:
-    """W01-W05 on a stream.  ``requests`` need remote_addr, event_id, ts_us, request_uri, status and
-    pattern_label.  The state of an address is its last window of requests (time, flags and a 64-bit
-    hash of the uri), cut at the watermark; it is dropped when the address falls silent."""
-    w404 = window_minutes * MINUTE
-    keep_us = max(w404, 10 * MINUTE)
-    rows = requests.withColumn("timestamp", F.timestamp_micros("ts_us")).withWatermark("timestamp", watermark)
+from ..operators.prefix import SECOND
+from ..operators.windows import ban_decision, frequency_verdict, risk_score
+from .address import OUTPUT, AddressProcessor
+
+def judged_requests(requests: DataFrame, watermark: str = "1 minute", rules: dict | None = None, bans: DataFrame | None = None,
+                    ttl_s: int | None = 86_400) -> DataFrame:
+    """W01-W06, W08 and J05 on a stream: each request with the counts of its address at that moment.
+
+    ``requests`` need remote_addr, event_id, ts_us, request_uri, status, pattern_label and, for distinct agents,
+    http_user_agent; ``bans`` (remote_addr, ts_us) is a stream too.  Rolling counts follow event time.  Running totals
+    follow arrival: micro batches one after another, in order of time inside each.
+    """
+    rules = {**R.BAN_RULES, **(rules or {})}
     uri = F.coalesce("request_uri", F.lit(""))
-    rows = rows.select("remote_addr", "event_id", "ts_us", "request_uri", "status", "pattern_label", "timestamp",
-                       F.xxhash64(uri).alias("_h"), P.is_sensitive(uri).alias("_s"))
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        new = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
-        mark = state.getCurrentWatermarkMs() * 1000
-        new = new[new["ts_us"] >= mark]
-        if state.exists:
-            t0, f0, u0, s0 = (np.asarray(x) for x in state.get)
-        else:
-            t0, f0, u0, s0 = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, bool)
-        t = np.concatenate([t0, new["ts_us"].to_numpy()]).astype(np.int64)
-        f = np.concatenate([f0, (new["status"] == 404).to_numpy()]).astype(bool)
-        u = np.concatenate([u0, new["_h"].to_numpy()]).astype(np.int64)
-        s = np.concatenate([s0, new["_s"].to_numpy()]).astype(bool)
-        is_new = np.concatenate([np.zeros(len(t0), bool), np.ones(len(new), bool)])
-        order = np.argsort(t, kind="stable")
-        t, f, u, s, is_new = t[order], f[order], u[order], s[order], is_new[order]
-        if len(new):
-            counts = _count_rows(t, u, f, s, np.flatnonzero(is_new), w404)
-            out = new[["remote_addr", "event_id", "ts_us", "request_uri", "status", "pattern_label"]].copy()
-            for n, v in counts.items():
-                out[n] = v.astype(np.int64)
-            yield out
-        # a row at the watermark may still come and looks back one window
-        live = t >= mark - keep_us
-        state.update((t[live].tolist(), f[live].tolist(), u[live].tolist(), s[live].tolist()))
-        last = int(t.max()) if len(t) else mark
-        state.setTimeoutTimestamp(max((last + keep_us) // 1000, state.getCurrentWatermarkMs() + 1))
-
-    return rows.groupBy("remote_addr").applyInPandasWithState(
-        step, COUNTS, HISTORY, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def detection_stream(requests: DataFrame, allow: list[str], attack_rules=None, watermark: str = "1 minute") -> DataFrame:
-    """ST12: allow-list, patterns, rolling rules; rows with a verdict and their reason."""
+    agent = F.coalesce(F.col("http_user_agent") if "http_user_agent" in requests.columns else F.lit(None).cast("string"), F.lit(""))
+    rows = requests.select(
+        "remote_addr", "event_id", "ts_us", F.col("status").cast("double").alias("status"), F.xxhash64(uri).alias("uri"),
+        F.xxhash64(agent).alias("agent"), (uri != "").alias("has_path"), (agent != "").alias("has_agent"),
+        P.is_sensitive(uri).alias("sensitive"), F.lit(False).alias("is_ban"), "pattern_label")
+    if bans is not None:
+        fixed = {"event_id": F.lit(-1).cast("bigint"), "is_ban": F.lit(True), "remote_addr": F.col("remote_addr"), "ts_us": F.col("ts_us")}
+        fixed |= {c: F.lit(0).cast("bigint") for c in ("uri", "agent")} | {c: F.lit(False) for c in ("has_path", "has_agent", "sensitive")}
+        rows = rows.unionByName(bans.select(*(fixed.get(c, F.lit(None).cast(t)).alias(c) for c, t in rows.dtypes)))
+    rows = rows.withColumn("timestamp", F.timestamp_micros("ts_us")).withWatermark("timestamp", watermark)
+    return rows.groupBy("remote_addr").transformWithStateInPandas(
+        AddressProcessor(rules, ttl_s), OUTPUT, "append", "eventTime")
+
+
+def decide(judged: DataFrame, rules: dict | None = None, risk_level: Column | None = None) -> DataFrame:
+    """Verdict, risk score and ban decision of judged requests; ``risk_level`` is that of the address' country."""
+    out = (judged.withColumn("frequency_label", frequency_verdict(rules))
+           .withColumn("attack_label", F.coalesce("pattern_label", "frequency_label"))
+           .withColumn("risk_level", F.lit(None).cast("string") if risk_level is None else risk_level))
+    out = out.withColumn("risk_score", risk_score())
+    for n, e in ban_decision(rules).items():
+        out = out.withColumn(n, e)
+    return out
+
+
+def detection_stream(requests: DataFrame, allow: list[str], attack_rules=None, watermark: str = "1 minute",
+                     bans: DataFrame | None = None, rules: dict | None = None, risk_level: Column | None = None,
+                     ttl_s: int | None = 86_400) -> DataFrame:
+    """ST12: allow-list, patterns, rolling rules, behaviour of the address and ban decision of each request, one shuffle
+    by address in all.  ``combined_verdict`` of the result are the requests that start a ban."""
     rows = drop_configured(requests.where("remote_addr is not null and remote_addr <> ''"), allow)
     rows = rows.withColumn("pattern_label", P.first_attack_match(attack_rules))
-    v = rolling_counts(rows, watermark).withColumn("frequency_label", frequency_verdict())
-    return (v.withColumn("reason", F.coalesce("pattern_label", "frequency_label"))
-            .where("reason is not null").select("remote_addr", "event_id", "ts_us", "reason"))
+    return decide(judged_requests(rows, watermark, rules, bans, ttl_s), rules, risk_level)
 
 
 def suppress_stream(rows: DataFrame, key: str, window_s: int = 300, watermark: str = "1 minute") -> DataFrame:
