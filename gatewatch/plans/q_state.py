@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import glob
+import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from ..operators import tenancy as TE
 from ..sources import logs as LO
 from ..sources import sinks as SI
 from ..session import shared_folder
+from ..sources.tail import read_counts, tail_files
 from ..streaming import jobs
 from ..operators import windows as W
 from ..functions.ip import geo_struct
@@ -171,11 +174,52 @@ def st13(d):
 
 
 # -- sources and sinks -------------------------------------------------------------
-@query("s01_tail_log_stream", "SELECT node AS node, lines, bytes FROM (SELECT 'all' AS node, count(*) AS lines, CAST(sum(strlen(value)) AS BIGINT) AS bytes FROM raw_log) t")
+def _append(lines, folder, sizes):
+    """Each node appends its lines to its own file, as an agent's machine does.  A task that runs again cuts the file back first."""
+    def write(rows):
+        by_node = {}
+        for r in rows:
+            f = by_node.get(r.node)
+            if f is None:
+                path = f"{folder}/{r.node}.log"
+                f = by_node[r.node] = open(path, "r+b" if os.path.exists(path) else "w+b")
+                f.truncate(sizes.get(path, 0))
+                f.seek(0, os.SEEK_END)
+            f.write(r.value.encode() + b"\n")
+        for f in by_node.values():
+            f.close()
+
+    lines.repartition("node").foreachPartition(write)
+    return {p: os.path.getsize(p) for p in glob.glob(f"{folder}/*.log")}
+
+
+def tail_job(d):
+    """Four rounds of lines: there before the start (not read), added, added after all files were rotated, added.  The stream
+    stops after each round and starts again from its checkpoint."""
+    folder = _new_folder(d, "tail")
+    local = folder.removeprefix("file://")
+    os.makedirs(f"{local}/log")
+    lines = d.raw_log.select("value", F.concat(F.lit("node-"), c("event_id") % 4).alias("node"), (c("event_id") % 10).alias("turn"))
+    written = [lines.where("turn < 5"), lines.where("turn = 5 or turn = 6"), lines.where("turn = 7"), lines.where("turn > 7")]
+    sizes = {}
+    for i, part in enumerate(written):
+        if i == 2:  # rotated: the files begin anew
+            sizes = {}
+        sizes = _append(part, f"{local}/log", sizes)
+        stream = tail_files(d.spark, f"{local}/log/*.log", split=1 << 16).where(F.trim("value") != "")
+        jobs.start(stream, f"{folder}/state", jobs.table_sink(f"{folder}/lines"), every=None).awaitTermination()
+    return d.spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/lines")
+
+
+@query("s01_tail_log_stream", """
+SELECT concat('node-', event_id % 4) AS node, count(*) AS lines, CAST(sum(strlen(value)) AS BIGINT) AS bytes FROM raw_log WHERE event_id % 10 >= 5 GROUP BY 1""")
 def s01(d):
-    # batch form of the stream's counters; the stream itself is exercised in tests
-    r = d.raw_log.where(F.trim("value") != "")
-    return r.agg(F.lit("all").alias("node"), F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("value")).alias("bytes"))
+    return read_counts(tail_job(d)).select(F.regexp_extract("file", r"([^/]+)\.log$", 1).alias("node"), "lines", "bytes")
+
+
+@query("s01_tailed_lines", "SELECT value, count(*) AS n FROM raw_log WHERE event_id % 10 >= 5 GROUP BY 1")
+def s01b(d):
+    return tail_job(d).groupBy("value").agg(F.count("*").alias("n"))
 
 
 @query("s02_batch_envelope", "SELECT event_id, node_id, remote_addr, request_uri, status FROM access_log")

@@ -176,6 +176,42 @@ def test_processor_with_little_memory(spark, tmp, monkeypatch):
     assert sorted(tuple(r[i] for i in order) for r in got[40]) == sorted(tuple(r[c] for c in cols) for r in want.collect())
 
 
+def test_tail(spark, tmp):
+    import os
+    from gatewatch.sources.tail import complete_length, tail_files
+    os.makedirs(f"{tmp}/log")
+    a, b = f"{tmp}/log/a.log", f"{tmp}/log/b.log"
+
+    def put(path, data, mode="ab"):
+        with open(path, mode) as f:
+            f.write(data)
+
+    def lines(split=7):
+        out = f"{tmp}/out"
+        jobs.start(tail_files(spark, f"{tmp}/log/*.log", split=split), f"{tmp}/ck", jobs.table_sink(out), every=None).awaitTermination()
+        if not os.path.exists(out):
+            return []
+        df = spark.read.schema("file string, at bigint, bytes bigint, value string").option("recursiveFileLookup", True).parquet(out)
+        return sorted((os.path.basename(r.file), r.at, r.value) for r in df.collect())
+
+    put(a, b"old 1\nold 2\n")
+    assert lines() == []
+    put(a, "ne\u00e4w 3\r\n".encode() + b"bad \xff\xfe4\n" + b"x" * 40 + b"\nhalf")
+    put(b, b"\n")
+    first = [("a.log", 12, "ne\u00e4w 3"), ("a.log", 21, "bad 4"), ("a.log", 29, "x" * 40), ("b.log", 0, "")]
+    assert lines() == first
+    put(a, b" a line\n")
+    assert lines() == sorted([*first, ("a.log", 70, "half a line")])
+    put(a, b"again\n", "wb")  # rotated
+    os.remove(b)
+    assert lines() == sorted([*first, ("a.log", 70, "half a line"), ("a.log", 0, "again")])
+    assert lines() == sorted([*first, ("a.log", 70, "half a line"), ("a.log", 0, "again")])
+    put(a, b"y" * 200_000, "wb")
+    assert complete_length(a) == 0 and complete_length(b) == 0
+    put(a, b"\nz")
+    assert complete_length(a) == 200_001
+
+
 def test_silent_addresses_are_forgotten(spark, tmp):
     row = lambda ip, t, i: (ip, i, T0 + t * S, "/a", 404, None, "ua", None)
     ddl = "remote_addr string, event_id bigint, ts_us bigint, request_uri string, status bigint, pattern_label string, http_user_agent string, http_referer string"
