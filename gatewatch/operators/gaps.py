@@ -182,14 +182,42 @@ def greedy_keep(rows: DataFrame, keys: list[str], ts: str, tie: str, gap_us, max
     return out.select(*keys, F.col("_t").alias(ts), F.col("_o").alias(tie), F.col("_g").alias("gap_us"))
 
 
+def _limited(t: np.ndarray, taken: np.ndarray, most: int, window: int) -> np.ndarray:
+    """Which of the sorted times are allowed, ``taken`` being the last allowed times before.
+
+    The loop runs over changes, not rows: rows are allowed in one stretch up to the first that has ``most`` allowed ones
+    inside its window, then all are refused in one stretch until the oldest of those leaves.
+    """
+    allowed, i, n = np.zeros(len(t), bool), 0, len(t)
+    while i < n:
+        step = 2 * most
+        while i < n:
+            chunk = t[i:i + step]
+            line = np.concatenate([taken, chunk])
+            back = len(taken) + np.arange(len(chunk)) - most
+            full = (back >= 0) & (line[np.maximum(back, 0)] > chunk - window)
+            free = int(full.argmax()) if full.any() else len(chunk)
+            allowed[i:i + free] = True
+            taken = line[:len(taken) + free][-most:]
+            i += free
+            if free < len(chunk):
+                break
+            step *= 2
+        if i < n:
+            i += int(np.searchsorted(t[i:], taken[0] + window, "left"))
+    return allowed
+
+
 def sliding_limit(rows: DataFrame, keys: list[str], ts: str, tie: str, max_requests: int,
                   window_us: int) -> DataFrame:
     """Allow a row while fewer than ``max_requests`` *allowed* rows are younger than the window.
 
-    A key's rows are read in time order as a stream; the state is the last allowed times, never
-    the group.  Idle gaps of a full window reset the state, so a key is cut there into sessions
-    that run in parallel.
+    Idle gaps of a full window reset the state, so a key is cut there into sessions that run in parallel.  A session of
+    at most ``max_requests`` rows allows all; of longer ones, rows are read in time order as a stream whose state is the last
+    allowed times, and whole stretches are allowed or refused at once.
     """
+    if max_requests < 1:
+        raise ValueError("max_requests is at least 1")
     src = rows.select(*keys, F.col(ts).alias("_t"), F.col(tie).alias("_o"))
     src = previous_time(src, keys, "_t", "_o", "_p", slice_us=max(window_us, 60_000_000))
     fresh = F.when(F.col("_p").isNull() | (F.col("_t") - F.col("_p") >= window_us), 1).otherwise(0)
@@ -200,23 +228,34 @@ def sliding_limit(rows: DataFrame, keys: list[str], ts: str, tie: str, max_reque
     part = [*keys, "_session"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ring, pos, used = [0] * max_requests, 0, 0
+        taken = np.empty(0, np.int64)  # of the session that the last batch ended in
         for b in batches:
-            allowed, left = [], []
-            for new, t in zip(b["_first"].tolist(), b["_t"].tolist()):
-                if new:
-                    pos = used = 0
-                # the ring holds allowed times in order, so the oldest ones leave first
-                while used and ring[(pos - used) % max_requests] <= t - window_us:
-                    used -= 1
-                ok = used < max_requests
-                if ok:
-                    ring[pos % max_requests] = t
-                    pos, used = pos + 1, used + 1
-                allowed.append(ok)
-                left.append(max_requests - used)
+            if not len(b):
+                continue
+            t = b["_t"].to_numpy(np.int64)
+            starts = np.flatnonzero(b["_first"].to_numpy())
+            if not len(starts) or starts[0] > 0:
+                starts = np.concatenate([[0], starts])
+                carried = taken
+            else:
+                carried = taken[:0]
+            ends = np.append(starts[1:], len(t))
+            allowed = np.ones(len(t), bool)
+            for s, e in zip(starts.tolist(), ends.tolist()) if (ends - starts).max() + len(carried) > max_requests else ():
+                if e - s + (len(carried) if s == 0 else 0) > max_requests:
+                    allowed[s:e] = _limited(t[s:e], carried if s == 0 else taken[:0], max_requests, window_us)
+            # sessions one behind the other on one axis, a window and more apart
+            length = t[ends - 1] - t[starts] + 2 * window_us
+            length[0] += int(t[0] - carried[0]) if len(carried) else 0
+            shift = np.repeat(np.concatenate([[0], np.cumsum(length[:-1])]) - t[starts], ends - starts)
+            shift += int(t[0] - carried[0]) if len(carried) else 0
+            axis = t + shift
+            line = np.concatenate([carried + shift[0], axis[allowed]])
+            used = len(carried) + np.cumsum(allowed) - np.searchsorted(line, axis - window_us, "right")
+            last = starts[-1]
+            taken = np.concatenate([carried if last == 0 else taken[:0], t[last:][allowed[last:]]])[-max_requests:]
             out = b[[*keys, "_t", "_o"]].copy()
-            out["allowed"], out["remaining"] = allowed, left
+            out["allowed"], out["remaining"] = allowed, max_requests - used
             yield out
 
     w = Window.partitionBy(*part).orderBy("_t", "_o")

@@ -25,10 +25,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 SECOND = 1_000_000
 MINUTE = 60 * SECOND
 HOUR = 3600 * SECOND
 DEFAULT_SLICE = 10 * MINUTE
+#: Rows (a key, a percentile name and three numbers each) that are sent to all executors at most.
+SENT_BRACKETS = 100_000
 _FIRST = -(1 << 62)  # sorts before every row of its time
 
 
@@ -103,13 +107,22 @@ def split_running_totals(changes: DataFrame, keys: list[str], sums: list[str], s
         (F.sum(s).over(w) + F.coalesce(F.col(f"_b_{s}"), F.lit(0))).alias(s) for s in sums])
 
 
+#: A flooded (key, slice) is cut into this many equal stretches of time, and at most so many groups are taken for flooded.
+STRETCHES, FLOODED = 65_536, 10_000
+
+
 def windowed_totals(rows: DataFrame, keys: list[str], ts: str, specs: list,
-                    slice_us: int = 0) -> DataFrame:
+                    slice_us: int = 0, hot_rows: int | None = None) -> DataFrame:
     """``rows`` plus one column per spec, for windows of finite length; rows of one time see each other.
 
     A row is copied to the next slice when it is still inside a window there (without its payload).
     Inside a (key, slice) group a repeated value ends the earlier sighting's turn, so the distinct
     counts are sums of changes like the others, and every sum is one forward pass.
+
+    With ``hot_rows``, groups of more rows are found first (one pass over keys and times) and cut into
+    stretches that are summed on their own: sums per stretch give openings, and the first sighting of each value in
+    a stretch ends its turn in the one before.  A task then sees one key's rows of ``size / STRETCHES``
+    time and, for openings, one row for each stretch.  Should more than ``FLOODED`` groups be as large, the largest are cut.
     """
     width = max(s.window for s in specs)
     size = max(slice_us, width + 1)
@@ -128,45 +141,82 @@ def windowed_totals(rows: DataFrame, keys: list[str], ts: str, specs: list,
                                                        .cast("bigint"), F.lit(0).cast("bigint")))
     own = slice_of(F.col(ts), size)
     payload = [c for c in rows.columns if c not in keys and c != ts]
-    src = (src.withColumn("_own", own)
-           .withColumn("_slice", F.explode(F.when(F.col(ts) + width >= F.col("_own") + size, F.array(
-               F.col("_own"), F.col("_own") + size)).otherwise(F.array("_own"))))
+    both = F.explode(F.when(F.col(ts) + width >= F.col("_own") + size, F.array(F.col("_own"), F.col("_own") + size))
+                     .otherwise(F.array("_own")))
+    part = [*keys, "_slice"]
+    src = (src.withColumn("_own", own).withColumn("_slice", both)
            .select(*keys, F.col(ts).alias("_t"), "_slice", (F.col("_slice") == F.col("_own")).alias("_home"),
                    F.when(F.col("_slice") == F.col("_own"), F.struct(*payload)).alias("_row"),
-                   *[f"_a_{n}" for n in types], *[f"_v_{s.name}" for s in distinct])
-           .repartition(*keys, "_slice"))
-    part = [*keys, "_slice"]
-    for s in distinct:
-        nxt = F.lead("_t").over(Window.partitionBy(*part, f"_v_{s.name}").orderBy("_t"))
-        src = src.withColumn(f"_n_{s.name}", F.least(nxt, F.col("_t") + (s.window + 1)))
-    # leaving times: one per window length for the plain sums, one per distinct count
-    exits = {}
-    for s in plain:
-        exits.setdefault((s.window, s.strict), []).append(s.name)
-    turns = [(F.col("_t") + (w + (0 if strict else 1)), names) for (w, strict), names in exits.items()]
-    turns += [(F.col(f"_n_{s.name}"), [s.name, *s.only]) for s in distinct]
-    k = F.col("_k")
-    when, keep = F.when(k == 0, F.col("_t")), k == 0
-    for i, (t, names) in enumerate(turns, 1):
-        when = when.when(k == i, t)
-        moved = F.lit(False)
-        for n in names:
-            moved = moved | (F.col(f"_a_{n}") != 0)
-        keep = keep | ((k == i) & moved & (t < F.col("_slice") + size))
-    ev = src.withColumn("_k", F.explode(F.array(*[F.lit(i) for i in range(len(turns) + 1)]))).where(keep)
-    change = []
-    for n, dtype in types.items():
-        a = F.col(f"_a_{n}")
-        c = F.when(k == 0, a)
-        for i, (_, names) in enumerate(turns, 1):
-            if n in names:
-                c = c.when(k == i, -a)
-        change.append(F.coalesce(c, F.lit(0).cast(dtype)).alias(n))
-    ev = ev.select(*part, when.alias("_t"), ((k == 0) & F.col("_home")).alias("_home"),
-                   F.when(k == 0, F.col("_row")).alias("_row"), *change)
-    w = Window.partitionBy(*part).orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ev = ev.select(*keys, F.col("_t").alias(ts), "_home", "_row", *[F.sum(n).over(w).alias(n) for n in types])
-    return ev.where("_home").select(*keys, ts, "_row.*", *types)
+                   *[f"_a_{n}" for n in types], *[f"_v_{s.name}" for s in distinct]))
+    flooded = None
+    if hot_rows is not None:
+        counts = rows.withColumn("_own", own).withColumn("_slice", both).groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+        found = counts.where(F.col("_n") > hot_rows).orderBy(F.desc("_n")).limit(FLOODED).select(*part)
+        if keep := found.collect():
+            flooded = F.broadcast(rows.sparkSession.createDataFrame(keep, found.schema)
+                                  .withColumnsRenamed({k: f"_r_{k}" for k in part}))
+
+    def summed(src: DataFrame, stretch: str | None) -> DataFrame:
+        where = [*part, stretch] if stretch else part
+        src = src.repartition(*where)
+        for s in distinct:
+            v = f"_v_{s.name}"
+            nxt = F.lead("_t").over(Window.partitionBy(*where, v).orderBy("_t"))
+            if stretch:
+                # the last sighting of a stretch ends with the first one of the next stretch that has the value
+                later = src.groupBy(*where, v).agg(F.min("_t").alias("_m")).withColumn(
+                    "_m", F.lead("_m").over(Window.partitionBy(*part, v).orderBy(stretch)))
+                src = join_keys(src, later, [*where, v])
+                nxt = F.coalesce(nxt, F.col("_m"))
+            src = src.withColumn(f"_n_{s.name}", F.least(nxt, F.col("_t") + (s.window + 1)))
+            src = src.drop("_m")
+        # leaving times: one per window length for the plain sums, one per distinct count
+        exits = {}
+        for s in plain:
+            exits.setdefault((s.window, s.strict), []).append(s.name)
+        turns = [(F.col("_t") + (w + (0 if strict else 1)), names) for (w, strict), names in exits.items()]
+        turns += [(F.col(f"_n_{s.name}"), [s.name, *s.only]) for s in distinct]
+        k = F.col("_k")
+        when, keep = F.when(k == 0, F.col("_t")), k == 0
+        for i, (t, names) in enumerate(turns, 1):
+            when = when.when(k == i, t)
+            moved = F.lit(False)
+            for n in names:
+                moved = moved | (F.col(f"_a_{n}") != 0)
+            keep = keep | ((k == i) & moved & (t < F.col("_slice") + size))
+        ev = src.withColumn("_k", F.explode(F.array(*[F.lit(i) for i in range(len(turns) + 1)]))).where(keep)
+        change = []
+        for n, dtype in types.items():
+            a = F.col(f"_a_{n}")
+            c = F.when(k == 0, a)
+            for i, (_, names) in enumerate(turns, 1):
+                if n in names:
+                    c = c.when(k == i, -a)
+            change.append(F.coalesce(c, F.lit(0).cast(dtype)).alias(n))
+        ev = ev.select(*part, when.alias("_t"), ((k == 0) & F.col("_home")).alias("_home"),
+                       F.when(k == 0, F.col("_row")).alias("_row"), *change)
+        if stretch:
+            ev = ev.withColumn(stretch, stretch_of(F.col("_t")))
+            before = Window.partitionBy(*part).orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
+            opening = ev.groupBy(*where).agg(*[F.sum(n).alias(n) for n in types]).select(
+                *where, *[F.sum(n).over(before).alias(f"_b_{n}") for n in types])
+            ev = join_keys(ev, opening, where)
+        w = Window.partitionBy(*where).orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        total = [(F.sum(n).over(w) + (F.coalesce(F.col(f"_b_{n}"), F.lit(0)) if stretch else 0)).cast(t).alias(n) for n, t in types.items()]
+        ev = ev.select(*keys, F.col("_t").alias(ts), "_home", "_row", *total)
+        return ev.where("_home").select(*keys, ts, "_row.*", *types)
+
+    def stretch_of(t: Column) -> Column:
+        # a row handed on from the slice before lies in stretch 0
+        return F.floor(F.greatest(t - F.col("_slice"), F.lit(0)) / max(1, -(-size // STRETCHES))).cast("bigint")
+
+    if flooded is None:
+        return summed(src, None)
+    same = F.lit(True)
+    for c in part:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    cut = src.join(flooded, same, "left_semi").withColumn("_stretch", stretch_of(F.col("_t")))
+    return summed(src.join(flooded, same, "left_anti"), None).unionByName(summed(cut, "_stretch"))
 
 
 def rolling_totals(rows: DataFrame, keys: list[str], ts: str, specs: list, tie: str,
@@ -254,11 +304,13 @@ def row_numbers(rows: DataFrame, keys: list[str], ts: str, tie: str, out: str =
 
 
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    accuracy: int = 10_000) -> DataFrame:
+                    accuracy: int = 10_000, most: int = 1_000_000) -> DataFrame:
     """Exact linear-interpolated percentiles per key without holding a key's values in memory.
 
-    A sketch of bounded size brackets every wanted rank; a second pass counts the values below
-    each bracket and ranks only the distinct values inside it.
+    A sketch of bounded size brackets every wanted rank.  While a bracket of several values holds over ``most`` rows, another
+    sketch of what lies inside narrows it, some ``accuracy / 20`` times a round.  A last pass counts the values below each
+    bracket and ranks the distinct values inside, at most ``most`` for a key and percentile.  Brackets (a row per key and
+    percentile) are sent to the executors while they are few, else joined.
     """
     # ranks of a sketch are off by at most n / accuracy; two of those on each side are safe.  Keys
     # with fewer than ``accuracy`` values are bracketed whole.
@@ -270,19 +322,43 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probs: dict[st
     sk = base.groupBy(*ks).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), accuracy).alias("_e"))
-    per, few = [], F.col("_n") <= accuracy
+    per, few = [], F.col("_n") <= min(accuracy, most)
     for i, (name, p) in enumerate(probs.items()):
         lo = F.col("_min") if p - slack <= 0 else F.when(few, F.col("_min")).otherwise(F.col("_e")[2 * i])
         hi = F.col("_max") if p + slack >= 1 else F.when(few, F.col("_max")).otherwise(F.col("_e")[2 * i + 1])
         per.append(F.struct(F.lit(name).alias("_p"), lo.alias("lo"), hi.alias("hi"),
                             (F.lit(p) * (F.col("_n") - 1)).alias("pos")))
-    wanted = sk.select(*ks, F.array(*per).alias("_q"))
-    j = base.join(wanted, ks)
-    # values below a bracket only need counting; inside it equal values collapse to one row
-    q = j.select(*ks, "_v", F.explode("_q").alias("q")).where("_v <= q.hi")
+    # how many rows a bracket may hold if its values are distinct
+    wide = F.when(few, F.col("_n")).otherwise(F.ceil(F.col("_n") * 3 * slack))
+    brackets = cut_lineage(sk.select(*ks, wide.cast("bigint").alias("held"), F.explode(F.array(*per)).alias("q")).select(*ks, "held", "q.*"))
+    sent = brackets.count() <= SENT_BRACKETS
+
+    def of_values(b: DataFrame) -> DataFrame:
+        per_key = b.groupBy(*ks).agg(F.collect_list(F.struct("_p", "lo", "hi", "pos")).alias("_q"))
+        j = join_keys(base, F.broadcast(per_key) if sent else per_key, ks, "inner")
+        return j.select(*ks, "_v", F.explode("_q").alias("q")).where("_v <= q.hi")
+
     inside = F.col("_v") >= F.col("q.lo")
-    g = (q.groupBy(*ks, F.col("q._p").alias("_p"), F.col("q.pos").alias("pos"),
-                   F.when(inside, F.col("_v")).alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    grid = max(4, accuracy // 10)
+    while brackets.where((F.col("held") > most) & (F.col("lo") < F.col("hi"))).limit(1).count():
+        steps = F.percentile_approx(F.when(inside, F.col("_v")), F.array(*[F.lit(i / grid) for i in range(grid + 1)]), accuracy)
+        seen = of_values(brackets.where((F.col("held") > most) & (F.col("lo") < F.col("hi")))).groupBy(*ks, F.col("q._p").alias("_p")).agg(
+            F.count_if(inside).alias("n"), F.count_if(~inside).alias("below"), steps.alias("e"))
+        at = (F.col("pos") - F.col("below")) / F.col("n") * grid
+        first, last = (F.floor(at) - 1).cast("int"), (F.ceil(at) + 2).cast("int")
+        narrow = join_keys(brackets, seen, [*ks, "_p"])
+        narrow = narrow.select(
+            *ks, "_p", "pos", "n", "held", F.col("lo").alias("lo0"), F.col("hi").alias("hi0"),
+            F.when(F.col("n").isNull() | (first <= 0), F.col("lo")).otherwise(F.get("e", first)).alias("lo"),
+            F.when(F.col("n").isNull() | (last >= grid), F.col("hi")).otherwise(F.get("e", last)).alias("hi"))
+        # a bracket that stays as it is has its rows at the ends: few distinct values are left between
+        stays = (F.col("lo") == F.col("lo0")) & (F.col("hi") == F.col("hi0"))
+        narrow = narrow.withColumn("held", F.when(F.col("n").isNull(), F.col("held")).when(stays, 0)
+                                   .otherwise(F.ceil(F.col("n") * 4 / grid).cast("bigint"))).drop("n", "lo0", "hi0")
+        brackets = cut_lineage(narrow)
+    # values below a bracket only need counting; inside it equal values collapse to one row
+    g = (of_values(brackets).groupBy(*ks, F.col("q._p").alias("_p"), F.col("q.pos").alias("pos"),
+                                     F.when(inside, F.col("_v")).alias("v")).agg(F.count(F.lit(1)).alias("c")))
     cum = F.sum("c").over(Window.partitionBy(*ks, "_p").orderBy(F.col("v").asc_nulls_first())
                           .rowsBetween(Window.unboundedPreceding, 0))
     g = g.withColumn("last", cum - 1).withColumn("first", F.col("last") - F.col("c") + 1)

@@ -15,6 +15,7 @@ from . import oracle_views as O
 from .registry import query
 
 c = lambda n: F.col(n)
+HOT_ROWS = 1_000_000  # an address with more requests in one window is spread over tasks
 SLICE = 60_000_000  # the fixture covers 12 minutes; a finer slice exercises the hand-over
 
 
@@ -171,7 +172,7 @@ def j17(d):
 # -- rolling rules --------------------------------------------------------------------
 def _rated(d):
     rows = monitored(d)
-    out = W.rate_counts(rows)
+    out = W.rate_counts(rows, hot_rows=HOT_ROWS)
     for n, e in W.rate_labels().items():
         out = out.withColumn(n, e)
     return out
@@ -247,7 +248,7 @@ _HC = ["behavior_request_rate", "behavior_error_rate", "behavior_unique_paths",
 
 @query("w11_ml_hour_window", f"SELECT event_id, {', '.join(_HC)} FROM ({HOUR_SQL}) t")
 def w11(d):
-    h = W.hour_features(d.access_log)
+    h = W.hour_features(d.access_log, hot_rows=HOT_ROWS)
     return h.select("event_id", *[F.round(x, 6).alias(x) if "time" in x else x for x in _HC])
 
 

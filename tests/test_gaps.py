@@ -53,16 +53,31 @@ def test_limiter_first_five_of_seven(spark):
     assert [g[2] for g in got] == [4, 3, 2, 1, 0, 0, 0]
 
 
-def test_limiter_brute_force(spark, rows):
-    df = spark.createDataFrame(rows, "k string, ts bigint, id bigint, g bigint")
-    got = {r.id: (r.allowed, r.remaining) for r in gaps.sliding_limit(df, ["k"], "ts", "id", 4, 10 * S).collect()}
+@pytest.mark.parametrize("most,window,batch", [(4, 10, 10_000), (1, 10, 10_000), (50, 10, 7), (3, 400, 7), (4, 1, 1)])
+def test_limiter_brute_force(spark, rows, most, window, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame(rows, "k string, ts bigint, id bigint, g bigint")
+        got = {r.id: (r.allowed, r.remaining) for r in gaps.sliding_limit(df, ["k"], "ts", "id", most, window * S).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     kept = {}
     for k, t, i, _ in sorted(rows, key=lambda r: (r[1], r[2])):
-        q = kept[k] = [x for x in kept.get(k, []) if x > t - 10 * S]
-        ok = len(q) < 4
+        q = kept[k] = [x for x in kept.get(k, []) if x > t - window * S]
+        ok = len(q) < most
         if ok:
             q.append(t)
-        assert got[i] == (ok, 4 - len(q))
+        assert got[i] == (ok, most - len(q))
+
+
+def test_limiter_of_a_flood_is_no_loop_over_rows():
+    import time
+    t = np.arange(5_000_000, dtype=np.int64) * 3
+    began = time.perf_counter()
+    ok = gaps._limited(t, np.empty(0, np.int64), 20, 10 * S)
+    assert ok.sum() == 40 and time.perf_counter() - began < 2
+    began = time.perf_counter()
+    assert gaps._limited(t * S, np.empty(0, np.int64), 20, 10 * S).all() and time.perf_counter() - began < 5
 
 
 @pytest.mark.parametrize("block", [50, 120, 50_000])

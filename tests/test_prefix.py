@@ -22,13 +22,14 @@ def rows(spark):
     return out, spark.createDataFrame(out, "k string, ts bigint, id bigint, uri string, status int")
 
 
-@pytest.mark.parametrize("slice_us", [0, 400 * S])
-def test_windowed_totals(rows, slice_us):
+@pytest.mark.parametrize("slice_us,hot", [(0, None), (400 * S, None), (0, 100), (400 * S, 5), (0, 10**6)])
+def test_windowed_totals(rows, slice_us, hot, monkeypatch):
     local, df = rows
+    monkeypatch.setattr(P, "STRETCHES", 50)
     got = P.windowed_totals(df, ["k"], "ts", [
         P.Rolling("n60", F.lit(1), 60 * S), P.Rolling("n404", F.when(F.col("status") == 404, 1), 120 * S),
         P.Rolling("strict", F.lit(1), 60 * S, strict=True),
-        P.RollingDistinct("uris", F.col("uri"), 90 * S, {"odd": F.col("uri").rlike("[13579]$")})], slice_us)
+        P.RollingDistinct("uris", F.col("uri"), 90 * S, {"odd": F.col("uri").rlike("[13579]$")})], slice_us, hot)
     got = {r.id: r for r in got.collect()}
     assert len(got) == len(local)
     for k, t, i, u, s in random.Random(1).sample(local, 400):
@@ -68,18 +69,18 @@ def test_previous_and_numbers(rows):
             assert num[i] == n + 1
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 100])
-def test_exact_quantiles(spark, accuracy):
+@pytest.mark.parametrize("accuracy,most", [(10_000, 10**6), (100, 10**6), (100, 60), (40, 20)])
+def test_exact_quantiles(spark, accuracy, most):
     rng = np.random.default_rng(3)
     data = [("big", float(x)) for x in rng.lognormal(0, 2, 4000)] + [("two", 1.0), ("two", 5.0), ("one", 3.0)]
     data += [("ties", float(x)) for x in rng.integers(0, 4, 900)]
     df = spark.createDataFrame(data, "k string, v double")
-    got = P.exact_quantiles(df, ["k"], "v", {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p0": 0.0, "p100": 1.0}, accuracy)
+    got = P.exact_quantiles(df, ["k"], "v", {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p0": 0.0, "p100": 1.0}, accuracy, most)
     for r in got.collect():
         x = [v for k, v in data if k == r.k]
         want = np.percentile(x, [50, 95, 99, 0, 100])
         assert np.allclose([r.p50, r.p95, r.p99, r.p0, r.p100], want)
-    all_ = P.exact_quantiles(df, [], "v", {"m": 0.5}, accuracy).collect()[0].m
+    all_ = P.exact_quantiles(df, [], "v", {"m": 0.5}, accuracy, most).collect()[0].m
     assert np.isclose(all_, np.percentile([v for _, v in data], 50))
 
 
@@ -90,3 +91,20 @@ def test_no_join_or_second_scan_in_windowed_plan(rows):
     assert "Join" not in plan
     physical = out._jdf.queryExecution().executedPlan().toString()
     assert physical.count("Exchange") == 1
+
+
+def test_a_flooded_minute_runs_in_many_tasks(spark):
+    """Nine rows in ten come from one address within a minute, most of them for one uri."""
+    n = 40_000
+    df = spark.range(n).selectExpr("id", "CASE WHEN id % 10 < 9 THEN 'hot' WHEN id % 20 = 19 THEN NULL ELSE concat('k', id % 700) END AS k",
+                                   f"CAST(CASE WHEN id % 10 < 9 THEN id * 1500 ELSE id * 50000 END AS BIGINT) AS ts",
+                                   "CASE WHEN id % 3 > 0 THEN '/same' ELSE concat('/u', id % 1000) END AS uri")
+    specs = [P.Rolling("n", F.lit(1), 20 * S), P.RollingDistinct("uris", F.col("uri"), 30 * S)]
+    out = P.windowed_totals(df, ["k"], "ts", specs, hot_rows=5_000)
+    whole = P.windowed_totals(df, ["k"], "ts", specs)
+    key = lambda r: (r.id, r.k, r.ts, r.uri, r.n, r.uris)
+    assert sorted(map(key, out.collect()), key=str) == sorted(map(key, whole.collect()), key=str)
+    # largest group that any window or join sorts: rows of one stretch
+    stretch = (30 * S + 1) // P.STRETCHES + 1
+    most = df.where("k = 'hot'").groupBy((F.col("ts") / stretch).cast("bigint")).count().agg(F.max("count")).first()[0]
+    assert most < n / 1000
