@@ -1,12 +1,16 @@
-"""Line dedup: content-defined chunks of lines; chunks seen before, anywhere, are removed.
-
-A chunk ends after a line when the rolling hash over the last two line hashes is 0 modulo ``every``, and before
-and after a long line (``long_words`` words or more), so boundaries depend on nearby lines only and an
-insertion shifts none behind it.  A chunk of at least two lines, or a long line, counts as a passage.  Of equal
-passages the first stays, in order of (document key, text hash, line).
-
-Light rows (hashes and places) find repeated chunks.  Then the texts of the repeated ones alone are fetched and
-compared byte by byte with the first one's before anything is removed.
+"""Line dedup: content-defined chunks of lines; passages seen before, anywhere, are removed.
+
+A boundary lies at each line where the rolling hash over the hashes of that line and the next is 0 modulo ``every``.  A
+chunk reaches from one boundary up to and with the line of the next, so chunks overlap by a line and depend on the lines
+they hold: an insertion shifts none.  ``every=1``, the default, makes each two neighbouring lines a chunk, as a passage of
+two lines has room for one boundary only; larger values make fewer, longer chunks that miss short passages.  A line of
+``long_words`` words or more is a chunk of its own, too.  Of equal chunks the first stays, in order of (document key, text
+hash, line).
+
+Light rows (hashes and places) find repeated chunks.  Repeated chunks of a document whose first copies also follow each
+other make one run, extended line by line as far as it goes.  The texts of runs and of their first copies
+alone are fetched and compared byte by byte.  Equal runs that touch make a passage, and a passage of at least
+``least_words`` words is removed.  Every line that is removed has an equal one left at its first place.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, query, saved, table
+from .common import query, saved, table
 
 BASE, PRIME = 1_000_003, 2_147_483_647
 
@@ -28,80 +32,117 @@ def _words(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def chunks(docs: DataFrame, key: str, text: str, every: int, long_words: int) -> DataFrame:
-    """``(k, th, start, n, h)`` of every passage chunk: its first line, lines and 128-bit hash."""
-    lines = docs.filter(F.length(text) > 0).select(
-        F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.split(text, "\n").alias("lines"))
-    marked = lines.withColumn("m", F.transform("lines", lambda x: F.struct(
-        line_hash(x).alias("h"), (_words(x) >= long_words).alias("long"))))
-    starts = marked.withColumn("starts", F.filter(
-        F.sequence(F.lit(0), F.size("m") - 1),
-        lambda i: (i == 0) | F.get("m", i)["long"] | F.get("m", i - 1)["long"]
-        | ((F.get("m", i - 1)["h"] + F.lit(BASE) * F.coalesce(F.get("m", i - 2)["h"], F.lit(0))) % PRIME % every == 0)))
-    places = starts.withColumn("places", F.transform("starts", lambda s, j: F.struct(
-        s.alias("start"), (F.coalesce(F.get("starts", j + 1), F.size("m")) - s).alias("n"))))
-    kept = places.select("k", "th", F.explode(F.transform(
-        F.filter("places", lambda p: (p["n"] >= 2) | F.get("m", p["start"])["long"]),
-        lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"),
-                           F.md5(F.array_join(F.slice("lines", p["start"] + 1, p["n"]), "\n")).alias("h")))).alias("c"))
-    return kept.select("k", "th", "c.start", "c.n", F.unhex("c.h").alias("h"))
-
-
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = 3, long_words: int = 50) -> DataFrame:
-    """``docs`` with repeated passages cut out of ``text``, and columns ``removed_chunks`` and ``removed_lines``.
+def _part(lines: Column, start: Column, n: Column) -> Column:
+    return F.array_join(F.slice(lines, start + 1, n), "\n")
+
+
+def chunks(docs: DataFrame, every: int, long_words: int) -> DataFrame:
+    """``(k, t)`` -> ``(k, th, start, n, h)`` of every chunk that is not blank: its first line, lines and 128-bit hash."""
+    lines = docs.filter(F.length("t") > 0).select("k", F.xxhash64("t").alias("th"), F.split("t", "\n").alias("lines"))
+    size = F.size("lines")
+    if every == 1:
+        pairs = F.transform(F.slice("lines", F.lit(1), size - 1), lambda x, i: F.struct(i.alias("start"), F.lit(2).alias("n")))
+    else:
+        lines = lines.withColumn("m", F.transform("lines", line_hash))
+        lines = lines.withColumn("b", F.filter(F.sequence(F.lit(0), size - 1), lambda i: (
+            (F.get("m", i) + F.lit(BASE) * F.get("m", i + 1)) % PRIME % every == 0)))
+        pairs = F.filter(F.transform("b", lambda s, j: F.struct(s.alias("start"), (F.coalesce(F.get("b", j + 1), size - 1) - s + 1).alias("n"))),
+                         lambda p: p["n"] >= 2)
+    long = F.filter(F.transform("lines", lambda x, i: F.when(_words(x) >= long_words, F.struct(i.alias("start"), F.lit(1).alias("n")))),
+                    lambda p: p.isNotNull())
+    out = lines.select("k", "th", "lines", F.explode(F.concat(pairs, long)).alias("p"))
+    out = out.select("k", "th", "p.start", "p.n", _part(F.col("lines"), F.col("p.start"), F.col("p.n")).alias("x"))
+    return out.filter(F.trim(F.translate("x", "\n", " ")) != "").select("k", "th", "start", "n", F.unhex(F.md5("x")).alias("h"))
+
+
+def _runs(found: Column) -> Column:
+    """Sorted ``(start, n, first)`` -> ``(start, n, first)`` of the runs that go on in step with their first copies."""
+    at = lambda j: F.get(found, j)
+    goes_on = lambda j: (
+        (at(j)["start"] <= at(j - 1)["start"] + at(j - 1)["n"]) & at(j)["first"]["k"].eqNullSafe(at(j - 1)["first"]["k"])
+        & (at(j)["first"]["th"] == at(j - 1)["first"]["th"])
+        & (at(j)["first"]["start"] - at(j - 1)["first"]["start"] == at(j)["start"] - at(j - 1)["start"]))
+    begins = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda j: (j == 0) | ~goes_on(j))
+    return F.transform(F.array(begins), lambda b: F.transform(b, lambda j, i: F.struct(
+        at(j)["start"].alias("start"),
+        (at(F.coalesce(F.get(b, i + 1), F.size(found)) - 1)["start"] + at(F.coalesce(F.get(b, i + 1), F.size(found)) - 1)["n"]
+         - at(j)["start"]).alias("n"), at(j)["first"].alias("first"))))[0]
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = 1, long_words: int = 50,
+          least_words: int = 20) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text``, and columns ``removed_chunks`` (passages) and
+    ``removed_lines``, which replace columns of these names.
 
     Null and empty texts stay as they are.  Rows with the same key and text count as one row and are treated
     alike; a null key sorts first.  A text may become empty; its row stays.
     """
-    found = saved(chunks(docs, key, text, every, long_words))
+    slim = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    found = saved(chunks(slim, every, long_words))
     place = F.struct("k", "th", "start")
     groups = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    marks = (found.join(groups.select("h", "first"), "h")
-             .withColumn("is_first", place == F.col("first")).distinct())
-    by_doc = marks.groupBy("k", "th").agg(F.collect_list(F.struct("start", "n", "h", "is_first")).alias("marks"))
-    th, k_, rh, drop_, gone_ = (free_name(docs, x) for x in ("th_", "k_", "rh_", "drop_", "gone_"))
-    rows = docs.withColumn(th, F.xxhash64(text))
-
-    def beside(right: DataFrame, how: str) -> DataFrame:
-        r = right.withColumnsRenamed({"k": k_, "th": rh})
-        return rows.join(r, F.col(key).eqNullSafe(F.col(k_)) & (F.col(th) == F.col(rh)), how)
-
-    texts = (beside(by_doc, "inner").select(k_, rh, F.split(text, "\n").alias("lines"), F.explode("marks").alias("m"))
-             .select(F.col(k_).alias("k"), F.col(rh).alias("th"), "m.*",
-                     F.array_join(F.slice("lines", F.col("m.start") + 1, F.col("m.n")), "\n").alias("chunk")))
-    texts = saved(texts)
-    first = texts.filter("is_first").select("h", F.col("chunk").alias("first_chunk")).distinct()
-    equal = texts.filter("not is_first").join(first, "h").filter("chunk = first_chunk")
-    drop = equal.select("k", "th", "start", "n").distinct().groupBy("k", "th").agg(
-        F.array_sort(F.collect_list(F.struct("start", "n"))).alias(drop_))
-    out = beside(drop, "left")
-    gone = F.flatten(F.transform(drop_, lambda p: F.sequence(p["start"], p["start"] + p["n"] - 1)))
-    left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col(gone_), i))
-    out = out.withColumn(gone_, gone).withColumns({
-        text: F.when(F.col(gone_).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")),
-        "removed_chunks": F.coalesce(F.size(drop_), F.lit(0)).cast("long"),
-        "removed_lines": F.coalesce(F.size(gone_), F.lit(0)).cast("long")})
-    return out.select(*docs.columns, "removed_chunks", "removed_lines")
-
-
-def _sql(every: int = 3, long_words: int = 50) -> str:
+    again = found.join(groups.select("h", "first"), "h").filter(place != F.col("first"))
+    listed = F.array_sort(F.collect_set(F.struct("start", "n", "first")))
+    runs = saved(again.groupBy("k", "th").agg(listed.alias("found")).select("k", "th", _runs(F.col("found")).alias("runs")))
+
+    def lines_of(wanted: DataFrame) -> DataFrame:
+        """``wanted`` (k, th, ...) with the lines of that text, once for each key and text."""
+        w = wanted.withColumnsRenamed({"k": "wk", "th": "wth"})
+        rows = slim.filter("t is not null").withColumn("th", F.xxhash64("t"))
+        rows = rows.join(w, F.col("k").eqNullSafe(F.col("wk")) & (F.col("th") == F.col("wth"))).drop("wk", "wth")
+        rest = [c for c in wanted.columns if c not in ("k", "th")]
+        return rows.groupBy("k", "th").agg(F.first("t").alias("t"), *(F.first(c).alias(c) for c in rest)).withColumn("lines", F.split("t", "\n"))
+
+    each = runs.select("k", "th", F.explode("runs").alias("r"))
+    sources = each.select("r.first.*", "r.n").groupBy("k", "th").agg(F.collect_set(F.struct("start", "n")).alias("s"))
+    first = lines_of(sources).select("k", "th", "lines", F.explode("s").alias("s")).select(
+        F.col("k").alias("fk"), F.col("th").alias("fth"), F.col("s.start").alias("fs"), F.col("s.n").alias("fn"),
+        _part(F.col("lines"), F.col("s.start"), F.col("s.n")).alias("first_text"))
+    mine = lines_of(runs).select("k", "th", "lines", F.explode("runs").alias("r")).select(
+        "k", "th", "r.start", "r.n", F.col("r.first.k").alias("k1"), F.col("r.first.th").alias("th1"), F.col("r.first.start").alias("s1"),
+        _part(F.col("lines"), F.col("r.start"), F.col("r.n")).alias("x"))
+    equal = mine.join(first, F.col("k1").eqNullSafe(F.col("fk")) & (F.col("th1") == F.col("fth")) & (F.col("s1") == F.col("fs"))
+                      & (F.col("n") == F.col("fn")) & (F.col("x") == F.col("first_text")))
+    # runs in order; those that overlap or touch make a passage (a run never ends before the one it begins behind)
+    ends = equal.groupBy("k", "th").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("r"))
+    ends = ends.withColumn("b", F.filter(F.sequence(F.lit(0), F.size("r") - 1), lambda j: (j == 0) | (
+        F.get("r", j)["start"] > F.get("r", j - 1)["end"])))
+    passages = F.transform("b", lambda j, i: F.struct(
+        F.get("r", j)["start"].alias("start"), F.greatest(
+            F.get("r", F.coalesce(F.get("b", i + 1), F.size("r")) - 1)["end"],
+            F.coalesce(F.get("r", F.coalesce(F.get("b", i + 1), F.size("r")) - 2)["end"], F.lit(0))).alias("end")))
+    drop = saved(ends.select(F.col("k").alias("dk"), F.col("th").alias("dth"), passages.alias("p")))
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("d"), F.col(key).alias("k"), F.xxhash64(text).alias("th"))
+    out = rows.join(drop, F.col("k").eqNullSafe(F.col("dk")) & (F.col("th") == F.col("dth")), "left")
+    out = out.withColumn("lines", F.when(F.col("p").isNotNull(), F.split(F.col("d")[text], "\n")))
+    long = lambda x: _words(F.array_join(F.slice("lines", x["start"] + 1, x["end"] - x["start"]), " ")) >= least_words
+    out = out.withColumn("p", F.filter("p", long))
+    # what lies before, between and behind the passages
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("p")), lambda i: F.slice(
+        "lines", F.coalesce(F.get("p", i - 1)["end"], F.lit(0)) + 1,
+        F.coalesce(F.get("p", i)["start"], F.size("lines")) - F.coalesce(F.get("p", i - 1)["end"], F.lit(0)))))
+    hit = F.coalesce(F.size("p"), F.lit(0)) > 0
+    out = out.withColumn("new", F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("d")[text])).withColumn(
+        "gone", F.when(hit, F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])).otherwise(0))
+    names = [c for c in docs.columns if c.lower() not in ("removed_chunks", "removed_lines")]
+    return out.select(*(F.col("new").alias(c) if c == text else F.col("d")[c].alias(c) for c in names),
+                      F.when(hit, F.size("p")).otherwise(0).cast("long").alias("removed_chunks"), F.col("gone").alias("removed_lines"))
+
+
+def _sql(long_words: int = 50, least_words: int = 20) -> str:
     return f"""
 WITH lines AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
   FROM documents WHERE length(text) > 0),
-hashed AS (SELECT *, ('0x' || substr(md5(x), 1, 7))::BIGINT AS h,
-                  length(x) - length(replace(x, ' ', '')) + 1 >= {long_words} AS long FROM lines),
-cut AS (SELECT *, i = 0 OR long OR lag(long) OVER w
-               OR (lag(h) OVER w + {BASE} * coalesce(lag(h, 2) OVER w, 0)) % {PRIME} % {every} = 0 AS starts
-        FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-numbered AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM cut),
-chunk AS (SELECT doc_id, c, min(i) AS start, count(*) AS n, bool_or(long) AS long, string_agg(x, chr(10) ORDER BY i) AS body
-          FROM numbered GROUP BY 1, 2),
-ranked AS (SELECT *, (n >= 2 OR long) AND row_number() OVER (PARTITION BY body, (n >= 2 OR long) ORDER BY doc_id, start) > 1 AS gone
-           FROM chunk),
-kept AS (SELECT doc_id, string_agg(body, chr(10) ORDER BY start) FILTER (WHERE NOT gone) AS text,
-                count(*) FILTER (WHERE gone) AS removed_chunks, coalesce(sum(n) FILTER (WHERE gone), 0) AS removed_lines
-         FROM ranked GROUP BY 1)
+paired AS (SELECT *, length(x) - length(replace(x, ' ', '')) + 1 AS words, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM lines),
+chunk AS (SELECT doc_id, i, 2 AS n, x || chr(10) || y AS body FROM paired WHERE y IS NOT NULL AND trim(x || y) <> ''
+          UNION ALL SELECT doc_id, i, 1, x FROM paired WHERE words >= {long_words}),
+again AS (SELECT * FROM chunk QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, i) > 1),
+line AS (SELECT doc_id, i FROM again UNION SELECT doc_id, i + 1 FROM again WHERE n = 2),
+island AS (SELECT l.doc_id, l.i, p.words, l.i - row_number() OVER (PARTITION BY l.doc_id ORDER BY l.i) AS g FROM line l JOIN paired p USING (doc_id, i)),
+gone AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, g) AS total FROM island QUALIFY total >= {least_words}),
+kept AS (SELECT p.doc_id, string_agg(p.x, chr(10) ORDER BY p.i) FILTER (WHERE g.i IS NULL) AS text, count(DISTINCT g.g) AS removed_chunks, count(g.i) AS removed_lines
+         FROM paired p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY 1)
 SELECT d.doc_id, CASE WHEN length(d.text) > 0 THEN coalesce(k.text, '') ELSE d.text END AS text,
        coalesce(k.removed_chunks, 0)::BIGINT AS removed_chunks, coalesce(k.removed_lines, 0)::BIGINT AS removed_lines
 FROM documents d LEFT JOIN kept k USING (doc_id)"""

@@ -44,31 +44,73 @@ def test_license_odd_rows(spark, odd):
 
 # line dedup
 
-def plain_dedup(docs, every=3, long_words=50):
-    """The same chunks, line by line in Python."""
-    import hashlib
-    seen, out = {}, {}
+def plain_dedup(docs, long_words=50, least_words=20):
+    """The same rule line by line in Python: a line goes if it lies in a chunk that occurred before."""
+    seen, out = set(), {}
+    words = lambda x: x.count(" ") + 1
     for d, t in sorted((x for x in docs if x[1]), key=lambda x: x[0]):
         lines = t.split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-        long = [x.count(" ") + 1 >= long_words for x in lines]
-        chunks = []
+        gone = set()
         for i, x in enumerate(lines):
-            cut = i == 0 or long[i] or long[i - 1] or (h[i - 1] + line_dedup.BASE * (h[i - 2] if i > 1 else 0)) % line_dedup.PRIME % every == 0
-            if cut:
-                chunks.append(([], long[i]))
-            chunks[-1][0].append(x)
-        kept = []
-        for ls, is_long in chunks:
-            body = "\n".join(ls)
-            if (len(ls) >= 2 or is_long) and body in seen:
-                continue
-            seen[body] = True
-            kept += ls
+            for n in ([1] if words(x) >= long_words else []) + ([2] if i + 1 < len(lines) else []):
+                body = "\n".join(lines[i:i + n])
+                if body.strip():
+                    gone |= set(range(i, i + n)) if (n, body) in seen else set()
+                    seen.add((n, body))
+        kept, at = [], 0
+        while at < len(lines):
+            end = at
+            while end in gone:
+                end += 1
+            if end > at and words(" ".join(lines[at:end])) < least_words:
+                kept += lines[at:end]
+            at = max(end, at)
+            if at < len(lines):
+                kept.append(lines[at])
+            at += 1
         out[d] = "\n".join(kept)
     return out
 
 
+def test_line_dedup_removes_planted_passages(make):
+    """Passages of 2 to 8 lines, each in two documents among other lines."""
+    rng = np.random.default_rng(8)
+    line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    docs, planted = [], {}
+    for n in range(1, 9):
+        for c in range(20):
+            passage = [line(max(12, -(-60 // n))) for _ in range(n)]
+            for copy in range(2):
+                d = len(docs)
+                a, b = ([line(9) for _ in range(rng.integers(0, 4))] for _ in range(2))
+                docs.append((d, "\n".join(a + passage + b)))
+                if copy:
+                    planted[d] = (passage, "\n".join(a + b))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(make(*docs)).collect()}
+    assert sum(got[d] == rest for d, (_, rest) in planted.items()) >= 0.95 * len(planted)
+    assert all(got[d] == t for d, t in docs if d not in planted)
+    fewer = {r["doc_id"]: r["text"] for r in line_dedup.dedup(make(*docs), every=3).collect()}
+    assert all(fewer[d] == t for d, t in docs if d not in planted) and any(fewer[d] != t for d, t in docs)
+
+
+def test_line_dedup_of_very_long_texts(make):
+    import time
+    text = "\n".join(f"line number {i} of a long text" for i in range(100_000))
+    began = time.perf_counter()
+    got = {r["doc_id"]: (r["text"], r["removed_lines"]) for r in line_dedup.dedup(make((1, text), (2, "new\n" + text + "\nend"))).collect()}
+    assert got == {1: (text, 0), 2: ("new\nend", 100_000)} and time.perf_counter() - began < 40
+
+
+def test_line_dedup_with_its_own_column_names(spark):
+    names = ["doc_id", "text", "marks", "removed_chunks", "lines", "p", "d", "new", "gone", "h", "start", "found", "runs", "k", "th", "r"]
+    x = "\n".join("some words that are in a line %d of it" % i for i in range(9))
+    df = spark.createDataFrame([(1, x, *"abcdefghijklmn"), (2, x, *"abcdefghijklmn")], names)
+    out = line_dedup.dedup(df)
+    assert out.columns == [*(c for c in names if c != "removed_chunks"), "removed_chunks", "removed_lines"]
+    assert {(r["doc_id"], r["text"], r["marks"], r["removed_chunks"], r["removed_lines"]) for r in out.collect()} == {
+        (1, x, "a", 0, 0), (2, "", "a", 1, 9)}
+
+
 def test_line_dedup_matches_plain_loop(make):
     rng = np.random.default_rng(3)
     pool = [" ".join(rng.choice(list("abcdefgh"), rng.integers(1, 9))) for _ in range(400)]
