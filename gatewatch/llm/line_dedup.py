@@ -85,24 +85,29 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int =
     listed = F.array_sort(F.collect_set(F.struct("start", "n", "first")))
     runs = saved(again.groupBy("k", "th").agg(listed.alias("found")).select("k", "th", _runs(F.col("found")).alias("runs")))
 
-    def lines_of(wanted: DataFrame) -> DataFrame:
-        """``wanted`` (k, th, ...) with the lines of that text, once for each key and text."""
-        w = wanted.withColumnsRenamed({"k": "wk", "th": "wth"})
-        rows = slim.filter("t is not null").withColumn("th", F.xxhash64("t"))
-        rows = rows.join(w, F.col("k").eqNullSafe(F.col("wk")) & (F.col("th") == F.col("wth"))).drop("wk", "wth")
-        rest = [c for c in wanted.columns if c not in ("k", "th")]
-        return rows.groupBy("k", "th").agg(F.first("t").alias("t"), *(F.first(c).alias(c) for c in rest)).withColumn("lines", F.split("t", "\n"))
-
     each = runs.select("k", "th", F.explode("runs").alias("r"))
-    sources = each.select("r.first.*", "r.n").groupBy("k", "th").agg(F.collect_set(F.struct("start", "n")).alias("s"))
-    first = lines_of(sources).select("k", "th", "lines", F.explode("s").alias("s")).select(
-        F.col("k").alias("fk"), F.col("th").alias("fth"), F.col("s.start").alias("fs"), F.col("s.n").alias("fn"),
-        _part(F.col("lines"), F.col("s.start"), F.col("s.n")).alias("first_text"))
-    mine = lines_of(runs).select("k", "th", "lines", F.explode("runs").alias("r")).select(
-        "k", "th", "r.start", "r.n", F.col("r.first.k").alias("k1"), F.col("r.first.th").alias("th1"), F.col("r.first.start").alias("s1"),
-        _part(F.col("lines"), F.col("r.start"), F.col("r.n")).alias("x"))
-    equal = mine.join(first, F.col("k1").eqNullSafe(F.col("fk")) & (F.col("th1") == F.col("fth")) & (F.col("s1") == F.col("fs"))
-                      & (F.col("n") == F.col("fn")) & (F.col("x") == F.col("first_text")))
+    sources = each.select("r.first.*", "r.n").groupBy("k", "th").agg(F.collect_set(F.struct("start", "n")).alias("sources"))
+    wanted = sources.select(F.col("k").alias("sk"), F.col("th").alias("sth"), "sources").join(
+        runs, F.col("k").eqNullSafe(F.col("sk")) & (F.col("th") == F.col("sth")), "full")
+    wanted = wanted.select(F.when(F.col("th").isNull(), F.col("sk")).otherwise(F.col("k")).alias("wk"),
+                           F.coalesce("th", "sth").alias("wth"), "runs", "sources")
+    # both sides of this join grow with the input, so neither is ever sent to all executors
+    texts = slim.filter("t is not null").withColumn("th", F.xxhash64("t")).join(
+        wanted.hint("merge"), F.col("k").eqNullSafe(F.col("wk")) & (F.col("th") == F.col("wth")))
+    texts = texts.groupBy("k", "th").agg(*(F.first(c).alias(c) for c in ("t", "runs", "sources"))).withColumn("lines", F.split("t", "\n"))
+    none = F.array().cast(dict(runs.dtypes)["runs"])
+    pieces = F.concat(
+        F.transform(F.coalesce("runs", none), lambda r: F.struct(F.lit(False).alias("is_first"), r["start"].alias("start"), r["n"].alias("n"),
+                                                                 r["first"].alias("first"))),
+        F.transform(F.coalesce("sources", F.array().cast(dict(sources.dtypes)["sources"])), lambda x: F.struct(
+            F.lit(True).alias("is_first"), x["start"].alias("start"), x["n"].alias("n"), F.struct("k", "th", x["start"].alias("start")).alias("first"))))
+    texts = saved(texts.select("k", "th", "lines", F.explode(pieces).alias("r")).select(
+        "k", "th", "r.*", _part(F.col("lines"), F.col("r.start"), F.col("r.n")).alias("x")))
+    first = texts.filter("is_first").select(F.col("k").alias("fk"), F.col("th").alias("fth"), F.col("start").alias("fs"), F.col("n").alias("fn"),
+                                            F.col("x").alias("fx"))
+    equal = texts.filter("not is_first").join(
+        first.hint("merge"), F.col("first.k").eqNullSafe(F.col("fk")) & (F.col("first.th") == F.col("fth"))
+        & (F.col("first.start") == F.col("fs")) & (F.col("n") == F.col("fn")) & (F.col("x") == F.col("fx")))
     # runs in order; those that overlap or touch make a passage (a run never ends before the one it begins behind)
     ends = equal.groupBy("k", "th").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("r"))
     ends = ends.withColumn("b", F.filter(F.sequence(F.lit(0), F.size("r") - 1), lambda j: (j == 0) | (
@@ -113,7 +118,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int =
             F.coalesce(F.get("r", F.coalesce(F.get("b", i + 1), F.size("r")) - 2)["end"], F.lit(0))).alias("end")))
     drop = saved(ends.select(F.col("k").alias("dk"), F.col("th").alias("dth"), passages.alias("p")))
     rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("d"), F.col(key).alias("k"), F.xxhash64(text).alias("th"))
-    out = rows.join(drop, F.col("k").eqNullSafe(F.col("dk")) & (F.col("th") == F.col("dth")), "left")
+    out = rows.join(drop.hint("merge"), F.col("k").eqNullSafe(F.col("dk")) & (F.col("th") == F.col("dth")), "left")
     out = out.withColumn("lines", F.when(F.col("p").isNotNull(), F.split(F.col("d")[text], "\n")))
     long = lambda x: _words(F.array_join(F.slice("lines", x["start"] + 1, x["end"] - x["start"]), " ")) >= least_words
     out = out.withColumn("p", F.filter("p", long))
