@@ -89,23 +89,39 @@ def listed_addresses(rows: DataFrame, networks: DataFrame, ip: str) -> DataFrame
     n4 = _blocks(networks.select("family", "lo", "hi")).select("_lev", "_blk")
     four = _at_levels(a.withColumn("_n", v4_number(F.col(ip))).where("_n is not null"), n4)
     hit4 = four.join(n4, ["_lev", "_blk"], "left_semi").select(ip)
-    six = a.where(_is_v6(ip)).withColumn("_h", v6_hex(F.col(ip))).where("_h is not null")
-    n6 = _v6_networks(networks)
-    # the prefix lengths a v6 list may use are few, so each address is offered at each length
-    lens = six.withColumn("_len", F.explode(F.sequence(F.lit(0), F.lit(32))))
-    lens = lens.withColumn("_pre", F.expr("left(_h, _len)"))
-    hit6 = lens.join(n6, (lens["_len"] == n6["_nlen"]) & (lens["_pre"] == n6["_npre"])
-                     & lens["_h"].between(n6["lo"], n6["hi"]), "left_semi").select(ip)
+    n6 = _v6_blocks(networks.select("family", "lo", "hi")).select("_pre")
+    hit6 = _at_lengths(a, ip, n6).join(n6, "_pre", "left_semi").select(ip)
     return hit4.unionByName(hit6).distinct()
 
 
-def _v6_networks(networks: DataFrame) -> DataFrame:
-    """Whole hex digits shared by both ends: the equi key of a v6 network."""
-    six = networks.where("family = 6").select("lo", "hi")
-    same = F.filter(F.sequence(F.lit(0), F.lit(32)),
-                    lambda i: F.expr("lo").substr(F.lit(1), i) == F.expr("hi").substr(F.lit(1), i))
-    n = F.array_max(same)
-    return six.withColumn("_nlen", n).withColumn("_npre", F.expr("left(lo, _nlen)"))
+def _v6_blocks(ranges: DataFrame) -> DataFrame:
+    """The blocks of addresses with common leading hex digits (``_pre``) that make up each IPv6 range, any range of two
+    32-digit texts.  Where the ends part, the digits between them are whole blocks; below, the digits behind those of ``lo`` and
+    before those of ``hi``."""
+    digit = lambda x, d: F.instr(F.lit("0123456789abcdef"), F.substring(x, d, 1)) - 1
+    blocks = lambda head, lo, hi: F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda x: F.concat(
+        head, F.lower(F.hex(x))))).otherwise(F.array().cast("array<string>"))
+    six = ranges.where("family = 6")
+    common = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(32)), lambda i: F.expr("left(lo, 0)").isNotNull()
+                                  & (F.col("lo").substr(F.lit(1), i) == F.col("hi").substr(F.lit(1), i))))
+    six = six.withColumns({"_c": common, "_a": F.length(F.rtrim(F.translate("lo", "0", " "))), "_b": F.length(F.rtrim(F.translate("hi", "f", " ")))})
+    lo, hi, c, part = F.col("lo"), F.col("hi"), F.col("_c"), lambda x, n: F.substring(x, F.lit(1), n)
+    spine = lambda end, one: F.when(end >= c + 2, F.flatten(F.transform(F.sequence(c + 2, end), one))).otherwise(
+        F.array().cast("array<string>"))
+    both = F.concat(
+        F.array(part(lo, F.greatest(F.col("_a"), c + 1)), part(hi, F.greatest(F.col("_b"), c + 1))),
+        blocks(part(lo, c), digit(lo, c + 1) + 1, digit(hi, c + 1) - 1),
+        spine(F.col("_a"), lambda d: blocks(part(lo, d - 1), digit(lo, d) + 1, F.lit(15))),
+        spine(F.col("_b"), lambda d: blocks(part(hi, d - 1), F.lit(0), digit(hi, d) - 1)))
+    whole = (F.col("_a") <= c) & (F.col("_b") <= c)
+    return six.withColumn("_pre", F.explode(F.when(whole, F.array(part(lo, c))).otherwise(both))).drop("_a", "_b", "_c")
+
+
+def _at_lengths(addresses: DataFrame, ip: str, blocks: DataFrame) -> DataFrame:
+    """IPv6 addresses once per block length that occurs, as ``_pre``."""
+    lengths = blocks.agg(F.collect_set(F.length("_pre")).alias("_lens"))  # one row of at most 33 numbers
+    six = addresses.where(_is_v6(ip)).withColumn("_h", v6_hex(F.col(ip))).where("_h is not null")
+    return attach_row(six, lengths).withColumn("_len", F.explode("_lens")).withColumn("_pre", F.expr("left(_h, _len)")).drop("_lens", "_len", "_h")
 
 
 def drop_allow_listed(rows: DataFrame, networks: DataFrame, ip: str = "remote_addr") -> DataFrame:
@@ -160,10 +176,27 @@ def drop_configured(rows: DataFrame, entries: list[str], ip: str = "remote_addr"
 
 
 def range_lookup(rows: DataFrame, ranges: DataFrame, ip: str, cols: list[str]) -> DataFrame:
-    """Columns of the range an address falls in (ranges do not overlap), NULL when in none."""
-    r = _blocks(ranges)
-    a = rows.select(ip).distinct().withColumn("_n", v4_number(F.col(ip))).where("_n is not null")
-    found = _at_levels(a, r).join(r, ["_lev", "_blk"]).select(ip, *cols)
+    """Columns of the range an address falls in, NULL when in none; IPv4 and IPv6.
+
+    Ranges may overlap: the one that begins last counts, of those the one that ends first, of equal ones the smallest
+    ``cols``.  For nested ranges that is the innermost (the longest prefix).  ``lo`` and ``hi`` as columns are the
+    numbers of an IPv4 range, NULL for IPv6.
+    """
+    four = F.col("family") == 4
+    number = lambda c: F.when(four, F.col(c).cast("bigint")) if c in ("lo", "hi") else F.col(c)
+    kept = F.struct(*(number(c).alias(f"c{i}") for i, c in enumerate(cols)))
+    # the order of ends as texts of one length, IPv4 numbers being brought to ten digits
+    end = lambda c: F.when(four, F.lpad(F.col(c).cast("string"), 10, "0")).otherwise(F.col(c).cast("string"))
+    r = ranges.select("family", F.col("lo").cast("string").alias("lo"), F.col("hi").cast("string").alias("hi"), kept.alias("_cols"), end("lo").alias("_lo"),
+                      F.translate(end("hi"), "0123456789abcdef", "fedcba9876543210").alias("_hi"))
+    a = rows.select(ip).distinct()
+    b4, b6 = _blocks(r), _v6_blocks(r)
+    at4 = _at_levels(a.withColumn("_n", v4_number(F.col(ip))).where("_n is not null"), b4)
+    at6 = _at_lengths(a, ip, b6)
+    hits = [at.join(b, on).select(ip, "_lo", "_hi", "_cols") for at, b, on in ((at4, b4, ["_lev", "_blk"]), (at6, b6, ["_pre"]))]
+    best = F.max_by("_cols", F.struct("_lo", "_hi"))
+    found = hits[0].unionByName(hits[1]).groupBy(ip, "_lo", "_hi").agg(F.min("_cols").alias("_cols")).groupBy(ip).agg(best.alias("_cols"))
+    found = found.select(ip, *(F.col(f"_cols.c{i}").alias(c) for i, c in enumerate(cols)))
     return rows.join(found, ip, "left")
 
 

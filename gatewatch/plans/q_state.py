@@ -277,7 +277,8 @@ SELECT source, request_url, count(*) AS n FROM (
 def s06(d):
     u, _ = LO.read_all_sources({"web": lambda: PA.parse_combined_entry(d.clf_log, "web"),
                                 "api": lambda: PA.parse_json_entry(d.json_log, "api"),
-                                "lost": lambda: d.spark.read.text(d.sf_dir + "/no-such-file")})
+                                "lost": lambda: d.spark.read.text(d.sf_dir + "/no-such-file"),
+                                "broken": lambda: d.clf_log.select(F.raise_error(F.lit("unreadable")).cast("string").alias("value"))}, _new_folder(d, "sources"))
     return u.groupBy("source", "request_url").agg(F.count("*").alias("n"))
 
 

@@ -71,11 +71,12 @@ def parse_entries(lines: DataFrame, fmt: str, source: str, custom_pattern: str |
 
 def read_log_file(spark: SparkSession, path: str, fmt: str, source: str, since: Column | None = None,
                   limit: int | None = None, custom_pattern: str | None = None) -> DataFrame:
-    """A limit counts lines, in order of file and place, and is applied before ``since``."""
+    """A limit counts lines, in order of file and place (first byte of the split, then line), and is applied before
+    ``since``."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     if limit is not None:
-        lines = (lines.withColumn("_f", F.col("_metadata.file_path")).withColumn("_at", F.monotonically_increasing_id())
-                 .orderBy("_f", "_at").limit(limit).drop("_f", "_at"))
+        lines = (lines.withColumn("_f", F.col("_metadata.file_path")).withColumn("_b", F.col("_metadata.file_block_start"))
+                 .withColumn("_at", F.monotonically_increasing_id()).orderBy("_f", "_b", "_at").limit(limit).drop("_f", "_b", "_at"))
     return parse_entries(lines, fmt, source, custom_pattern, since)
 
 
@@ -97,12 +98,18 @@ def union_sources(sources: list[DataFrame]) -> DataFrame:
     return out.orderBy("timestamp")
 
 
-def read_all_sources(readers: dict) -> tuple[DataFrame | None, dict[str, str]]:
-    """Union of the sources that can be opened, and the error text of the others."""
+def read_all_sources(readers: dict, folder: str) -> tuple[DataFrame | None, dict[str, str]]:
+    """Union of the sources that can be opened *and read*, and the error text of the others.
+
+    Each source is staged as a table of its own under ``folder`` first, so one that breaks while it is read (a cut-off
+    archive, a lost server) leaves the others whole and adds nothing half."""
     frames, errors = [], {}
-    for name, reader in readers.items():
+    for i, (name, reader) in enumerate(readers.items()):
+        path = f"{folder.rstrip('/')}/source={i}"
         try:
-            frames.append(reader())
+            df = reader()
+            df.write.mode("overwrite").parquet(path)
+            frames.append(df.sparkSession.read.schema(df.schema).parquet(path))
         except Exception as e:  # noqa: BLE001 - a failing source is counted and skipped
             errors[name] = str(e)
     return (union_sources(frames) if frames else None), errors

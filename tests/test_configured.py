@@ -86,3 +86,50 @@ def test_rows_without_an_address_are_kept(spark):
     df = df.withColumns({"status": F.lit(404), "http_user_agent": F.lit("u"), "request_uri": F.lit("/x")})
     out = windows.running_behaviour(df, F.lit(None).cast("string"), F.lit("low"))
     assert {(r["event_id"], r["request_count"]) for r in out.collect()} == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_ranges_of_both_families_nested_and_overlapping(spark):
+    import ipaddress
+    import random
+    rnd = random.Random(9)
+    ranges = []
+    for i in range(60):
+        if i % 2:
+            a = rnd.randrange(0, 2**10) << rnd.choice([0, 4, 20])
+            b = a + rnd.choice([0, 1, 15, 255, 1000, 2**rnd.randrange(21) - 1])
+            ranges.append((4, str(a), str(b), f"r{i}"))
+        else:
+            base = 0x2001 << 112
+            a = base + (rnd.randrange(0, 2**8) << rnd.choice([0, 4, 60, 100]))
+            b = a + rnd.choice([0, 1, 15, 0x123456, 2**rnd.randrange(110) - 1])
+            ranges.append((6, f"{a:032x}", f"{b:032x}", f"r{i}"))
+    ranges += [(6, "0" * 32, "f" * 32, "all6"), (4, "5", "5", "same b"), (4, "5", "5", "same a")]
+    df = spark.createDataFrame(ranges, "family int, lo string, hi string, name string")
+    ips = {str(ipaddress.ip_address(int(x, 16 if f == 6 else 10) + d)) if f == 6 or int(x) + d < 2**32 else None
+           for f, lo, hi, _ in ranges for x in (lo, hi) for d in (-1, 0, 1) if 0 <= int(x, 16 if f == 6 else 10) + d < 2 ** (128 if f == 6 else 32)}
+    ips |= {"no address", None, "::1", "2001::", "200.1.1.1"}
+    got = {r.ip: r.name for r in addresses.range_lookup(spark.createDataFrame([(x,) for x in ips], "ip string"), df, "ip", ["name"]).collect()}
+
+    def plain(x):
+        try:
+            a = ipaddress.ip_address(x)
+        except ValueError:
+            return None
+        hits = [(-int(lo, b), int(hi, b), n) for f, lo, hi, n in ranges for b in [16 if f == 6 else 10]
+                if f == a.version and int(lo, b) <= int(a) <= int(hi, b)]
+        return min(hits)[2] if hits else None
+
+    assert got == {x: plain(x) for x in ips} and len({*got.values()}) > 25
+
+
+def test_a_source_that_breaks_while_read_is_left_out(spark, tmp_path):
+    import gzip
+    from gatewatch.sources.logs import read_all_sources
+    lines = "\n".join(f"line {i} {i * 7919}" for i in range(20_000)).encode()
+    whole = gzip.compress(lines)
+    (tmp_path / "a.gz").write_bytes(whole)
+    (tmp_path / "b.gz").write_bytes(whole[:len(whole) // 2])
+    (tmp_path / "c.txt").write_bytes(b"one\ntwo\n")
+    read = lambda n: lambda: spark.read.text(f"{tmp_path}/{n}").selectExpr("value", "timestamp_micros(0) AS timestamp")
+    rows, errors = read_all_sources({n: read(n) for n in ("a.gz", "b.gz", "c.txt", "none")}, f"{tmp_path}/stage")
+    assert rows.count() == 20_002 and set(errors) == {"b.gz", "none"}
