@@ -115,7 +115,12 @@ def found(width: int, plain: int, forms: list[tuple[int, str]] | None = None, bi
             rows, hs, places, slots, ws, fs = [], [], [], [], [], []
             for r, text in enumerate(b.column("t").to_pylist()):
                 t = Tokens(text)
-                for w, form in [item_form(t, width, plain)] if forms is None else forms:
+                own = [(t, *item_form(t, width, plain))] if forms is None else [(t, w, form) for w, form in forms if w >= plain]
+                if forms is not None and len(own) < len(forms):
+                    # items of fewer tokens count where they are a whole line
+                    lines = [Tokens(x) for x in (text or "").split("\n")]
+                    own += [(x, w, form) for w, form in forms if w < plain for x in lines if len(x.at) == w]
+                for t, w, form in own:
                     h = t.windows(w, plain, form)
                     ok = h != 0
                     if bits is not None and len(h):
@@ -136,8 +141,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, plain: i
 
     Null and empty texts have no windows; benchmark rows without text match nothing.  Rows equal in key and text
     are one document.  Items with equal ids are one item.  An item shorter than ``width`` is one window of its own
-    length; an item without a window of enough words is compared by its exact tokens, without other parameters.  So
-    an item of one or two words is found in every document that holds them.
+    length; an item without a window of enough words is compared by its exact tokens, without other parameters.  An
+    item of fewer than ``plain`` tokens (``What is it?``) is found only where it makes up a whole line.
     """
     kind = dict(benchmark.dtypes)["item_id"], dict(docs.dtypes)[key]
     items = saved(benchmark.select(F.col("item_id").alias("item"), F.col("text").alias("t"))

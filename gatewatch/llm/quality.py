@@ -169,12 +169,13 @@ def fold(key: Column, n: int) -> Column:
 def fit(rows: DataFrame, labels: DataFrame, train: Column, sample_rows: int = 50_000, label: str = "quality") -> AdditiveModel:
     """Fit on ``rows`` (``k``, ``x``) whose key is labelled and passes ``train``.
 
-    A key labelled twice takes the larger label; at most ``sample_rows`` keys are used.
+    A key labelled twice takes the larger label; at most ``sample_rows`` keys are used.  Rows equal in key and features
+    count once; of more rows those with the smallest hash of both stay, so one key cannot fill the sample.
     """
     chosen = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).filter(train)
               .groupBy(F.col("doc_id").alias("k")).agg(F.max(label).cast("int").alias("y"))
               .orderBy(F.md5(F.col("k").cast("string")), "k").limit(sample_rows))
-    got = rows.join(F.broadcast(chosen), "k").select("k", "y", "x").orderBy(F.md5(F.col("k").cast("string")), "k", "x").limit(sample_rows).collect()
+    got = rows.join(F.broadcast(chosen), "k").select("k", "y", "x").distinct().orderBy(F.xxhash64("k", "x"), "k", "x").limit(sample_rows).collect()
     x = np.array([r["x"] for r in got], float).reshape(len(got), len(FEATURES))
     return fit_additive(x, np.array([float(r["y"] > 0) for r in got]))
 

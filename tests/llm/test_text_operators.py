@@ -180,6 +180,13 @@ def test_short_items_and_items_of_slots(spark):
     assert {(r["k"], r["item"]) for r in got} == {(1, 0), (3, 1), (4, 2), (7, 0)}
 
 
+def test_items_of_few_words_need_a_whole_line(spark):
+    bench = spark.createDataFrame([(0, "the"), (1, "What is it?"), (2, "12 + 15")], "item_id long, text string")
+    docs = [(1, "the end of the text. What is it? I said 12 + 15 there."), (2, "A line\nthe\nmore"), (3, "Q\n  what is it\n"), (4, "so\n12 + 15"), (5, None), (6, "")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r["k"], r["item"]) for r in got} == {(2, 0), (3, 1), (4, 2)}
+
+
 def test_slots_must_be_consistent(spark):
     item = "first 10 then some plain words here again 10 and then more plain words come with 10 at the very end"
     same, mixed_ = item.replace("10", "44"), item.replace("10", "1", 1).replace("again 10", "again 2").replace("with 10", "with 3")
@@ -272,3 +279,13 @@ def test_quality_held_out(spark):
     got = QUERIES["op7_quality"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
     assert sum(r["predicted"] == r["quality"] for r in got) >= 0.95 * len(got)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+
+
+def test_one_busy_key_does_not_fill_the_quality_sample(spark):
+    """A labelled key with very many rows, equal and different ones, leaves room for the others."""
+    same = [(1, [1.0] * len(quality.FEATURES))] * 3000
+    other = [(1, [float(i)] * len(quality.FEATURES)) for i in range(300)] + [(d, [d % 2 * 10.0] * len(quality.FEATURES)) for d in range(2, 302)]
+    rows = spark.createDataFrame(same + other, "k long, x array<double>")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(1, 302)], "doc_id long, quality int")
+    model = quality.fit(rows, labels, F.lit(True), sample_rows=400)
+    assert model.score(np.full((1, len(quality.FEATURES)), 10.0))[0] > 0.5 > model.score(np.zeros((1, len(quality.FEATURES))))[0]
