@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
@@ -197,7 +198,9 @@ def tail_job(d):
     """Four rounds of lines: there before the start (not read), added, added after all files were rotated, added.  The stream
     stops after each round and starts again from its checkpoint."""
     folder = _new_folder(d, "tail")
-    local = folder.removeprefix("file://")
+    if urlparse(folder).scheme not in ("", "file"):
+        raise ValueError("log files are followed by path: spark.checkpoint.dir must be a mounted folder here")
+    local = urlparse(folder).path
     os.makedirs(f"{local}/log")
     lines = d.raw_log.select("value", F.concat(F.lit("node-"), c("event_id") % 4).alias("node"), (c("event_id") % 10).alias("turn"))
     written = [lines.where("turn < 5"), lines.where("turn = 5 or turn = 6"), lines.where("turn = 7"), lines.where("turn > 7")]
