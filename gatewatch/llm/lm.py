@@ -6,8 +6,12 @@ with less than it.  Pair probabilities are smoothed towards word probabilities:
 ``P(w | h) = (c(h, w) + mu * P(w)) / (c(h) + mu)`` with ``P(w) = (c(w) + 1) / (N + V + 1)``, all counts read from
 the filter but the totals ``N`` and ``V``.
 
-The filter has ``2**log_bits`` bits: enough for ``bits_per_item``, at most ``2**max_log_bits`` (64 MB), so what is
-broadcast is bounded.  Where that is too small for all n-grams, counts are quantised more coarsely.  Its bits are built by segment in Spark from counts over all training text.
+The filter grows with the n-grams, so no worker can be sent all of it.  It is cut into segments by n-gram hash, as
+many as the tokens ask for, and probes go to the segment instead: a chunk of texts sends each segment the distinct
+n-grams of the chunk that lie there, with their counts in training text, and gets back one level for each.  The task
+of a segment sums the counts, builds the segment's filter and answers from it.  A segment sees an n-gram at most once
+a chunk, however often it occurs, and works on one segment at a time.
+
 The base score uses exact counts: the ``common`` most frequent words are broadcast, all others are joined.
 """
 
@@ -26,10 +30,8 @@ from .common import WORDS, mixed, query, saved, table
 from .quality import fold
 
 END, START = b" ", b"\n"  # no word holds white space
-SEGMENTS = 1024
 CHUNK = 8_000_000
-PROBES = 3
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 #: Lowest count of each level, growing by an eighth.
 EDGES = [1]
@@ -65,121 +67,147 @@ def pair_hashes(h: np.ndarray) -> np.ndarray:
     return mixed(h[:-1] * np.uint64(0x9FB21C651E98DF25) + h[1:] + np.uint64(1))
 
 
-def _bits(h: np.ndarray, level: np.ndarray, log_bits: int) -> list[np.ndarray]:
-    """Bit numbers of ``(h, level)``: all in the segment that the hash's low bits name."""
-    inside = log_bits - 10
-    base = (h & np.uint64(SEGMENTS - 1)) << np.uint64(inside)
-    g = mixed(h + level.astype(np.uint64) * _STEP)
-    mask = np.uint64((1 << inside) - 1)
-    return [base | ((g >> np.uint64(s)) & mask) for s in (0, 21, 42)][:PROBES]
-
-
 class LogFrequencyFilter:
-    def __init__(self, words: np.ndarray, log_bits: int):
-        self.words, self.log_bits = words, log_bits
+    """Levels of n-gram hashes in ``bits_per_item`` bits for each n-gram and level."""
+
+    def __init__(self, h: np.ndarray, count: np.ndarray, bits_per_item: int):
+        level = np.searchsorted(EDGES, count, "right")
+        self.bits = max(64, int(level.sum()) * bits_per_item)
+        on = np.zeros(self.bits, bool)
+        for n in range(1, int(level.max(initial=0)) + 1):
+            h, level = h[level >= n], level[level >= n]
+            for b in self.places(h, n):
+                on[b] = True
+        self.map = np.packbits(on, bitorder="little")
+
+    def places(self, h: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        """Three bit numbers for each ``(h, level)``."""
+        low = np.uint64(0xFFFFFFFF)
+        g = mixed(h + np.array([level], np.uint64) * STEP)
+        for i in range(3):
+            yield (((g + np.uint64(i) * (g >> np.uint64(32))) & low) * np.uint64(self.bits)) >> np.uint64(32)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The level of each n-gram hash, by probes for rising levels while all bits are set."""
-        out = np.zeros(len(h), np.int64)
+        out = np.zeros(len(h), np.uint8)
         alive = np.arange(len(h))
-        for level in range(1, 4):
-            alive = alive[self._has(h[alive], level)]
+        for level in range(1, len(EDGES) + 1):
+            hit = np.ones(len(alive), bool)
+            for b in self.places(h[alive], level):
+                hit &= (self.map[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            alive = alive[hit]
+            if not len(alive):
+                break
             out[alive] = level
-        # what is left is frequent: each different n-gram once from here on
-        keys, which = np.unique(h[alive], return_inverse=True)
-        top = np.full(len(keys), 3)
-        left = np.arange(len(keys))
-        while len(left) and level < len(EDGES):
-            level += 1
-            left = left[self._has(keys[left], level)]
-            top[left] = level
-        out[alive] = top[which]
         return out
 
-    def _has(self, h: np.ndarray, level: int) -> np.ndarray:
-        hit = np.ones(len(h), bool)
-        for b in _bits(h, np.array([level]), self.log_bits):
-            hit &= ((self.words[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1)).astype(bool)
-        return hit
+
+def ngrams(at: np.ndarray, size: np.ndarray, hashes: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's distinct n-gram hashes by segment, how many lie in each segment, and the place among them of each
+    distinct word and then of each pair.  No pair spans two texts."""
+    pairs = np.delete(pair_hashes(hashes[at]), size.cumsum()[:-1] - 1)
+    h, place = np.unique(np.concatenate([hashes, pairs]), return_inverse=True)
+    segment = (h % np.uint64(segments)).astype(np.int64)
+    order = np.argsort(segment, kind="stable")
+    rank = np.empty(len(h), np.int64)
+    rank[order] = np.arange(len(h))
+    return h[order], np.bincount(segment, minlength=segments), rank[place]
 
 
-def ngram_counts(train: DataFrame, text: str) -> DataFrame:
-    """``(seg, h, c)``: counts of all words and pairs, summed per batch first."""
+def binaries(data: np.ndarray, lens: np.ndarray) -> pa.Array:
+    """Consecutive stretches of ``data`` as binary values; ``lens`` counts its rows."""
+    offsets = np.concatenate([[0], lens.cumsum()]) * data[:1].nbytes if len(data) else np.zeros(len(lens) + 1)
+    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def sent_ngrams(chunks: DataFrame, segments: int) -> DataFrame:
+    """``(segment, chunk, h, c)``: for each segment and chunk the upper 48 bits of the hashes of the chunk's distinct
+    n-grams and their 32-bit counts in its training texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = []
-            for _, at, size, words in tokens(b.column("t")):
-                h = WORDS.of(words.to_pylist())[at]
-                parts += [h, np.delete(pair_hashes(h), size.cumsum()[:-1] - 1)]  # no pair spans two texts
-            if parts:
-                h, c = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((h & np.uint64(SEGMENTS - 1)).astype(np.int32)), pa.array(h.view(np.int64)),
-                                                  pa.array(c.astype(np.int64))], ["seg", "h", "c"])
+            for r in b.to_pylist():
+                at, size, hashes, learns = unpacked(r)
+                h, lens, place = ngrams(at, size, hashes, segments)
+                taken = np.repeat(learns, size)
+                within = np.ones(len(at), bool)
+                within[size.cumsum() - 1] = False  # a pair belongs to its first token, and the last has none
+                c = (np.bincount(place[:len(hashes)], np.bincount(at[taken], minlength=len(hashes)), len(h))
+                     + np.bincount(place[len(hashes):][taken[within]], minlength=len(h))).astype(np.uint32)
+                some = np.flatnonzero(lens)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), r["chunk"])),
+                     binaries(h.view(np.uint8).reshape(-1, 8)[:, 2:], lens[some]), binaries(c, lens[some])], ["segment", "chunk", "h", "c"])
 
-    rows = train.select(F.col(text).alias("t")).mapInArrow(run, "seg int, h long, c long")
-    return rows.repartition("seg").groupBy("seg", "h").agg(F.sum("c").alias("c"))
+    return chunks.select("chunk", "at", "size", "hashes", "learns").mapInArrow(run, "segment int, chunk long, h binary, c binary")
 
 
-def build_filter(counts: DataFrame, max_log_bits: int, bits_per_item: int, least_bits: int = 6) -> tuple[np.ndarray, int, int]:
-    """The filter's 64-bit words, the logarithm of its size, and the count that its first level stands for.
+def unpacked(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return (np.frombuffer(r["at"], np.uint32).astype(np.int64), np.frombuffer(r["size"], np.int64), np.frombuffer(r["hashes"], np.uint64),
+            np.frombuffer(r["learns"], bool))
 
-    The filter grows with the n-grams up to ``2**max_log_bits`` bits, which is all that reaches the driver.  Beyond
-    that, counts are quantised more coarsely, in units of 2, 4, 8, ..., so that every item still has ``least_bits``.
-    """
-    units = 2 ** np.arange(40)
 
-    def level_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(units), np.int64)
-        for b in batches:
-            c = b.column("c").to_numpy()
-            for i, u in enumerate(units):
-                c = c[c >= u]
-                if not len(c):
-                    break
-                n[i] += np.searchsorted(EDGES, c // u, "right").sum()
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(units)), pa.int32()), pa.array(n)], ["i", "n"])
-
-    items = dict(counts.select("c").mapInArrow(level_sum, "i int, n long").groupBy("i").agg(F.sum("n")).collect())
-    fits = [i for i in range(len(units)) if items.get(i, 0) * least_bits <= 2**max_log_bits]
-    unit = int(units[fits[0]])
-    log_bits = int(min(max_log_bits, max(20, np.ceil(np.log2(max(items.get(fits[0], 0), 1) * bits_per_item)))))
-    inside = log_bits - 10
+def answered(sent: DataFrame, segments: int, bits_per_item: int) -> DataFrame:
+    """``(chunk, segment, levels)``: a byte for each n-gram that a chunk sent, from the segment's filter."""
+    def answers(segment: int, rows: list[tuple]) -> pa.RecordBatch:
+        lens = np.array([len(c) // 4 for _, _, c in rows])
+        wide = np.zeros((lens.sum(), 8), np.uint8)
+        wide[:, 2:] = np.frombuffer(b"".join(h for _, h, _ in rows), np.uint8).reshape(-1, 6)
+        h, place = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
+        count = np.bincount(place, np.frombuffer(b"".join(c for _, _, c in rows), np.uint32), len(h)).astype(np.int64)
+        seen = count > 0
+        levels = LogFrequencyFilter(h[seen], count[seen], bits_per_item).levels(h)[place]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int64()), pa.array([segment] * len(rows), pa.int32()),
+                                           binaries(levels, lens)], ["chunk", "segment", "levels"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segs: dict[int, np.ndarray] = {}
-        for b in batches:
-            h = b.column("h").to_numpy().view(np.uint64)
-            level = np.searchsorted(EDGES, b.column("c").to_numpy() // unit, "right")
-            for lo in range(0, len(h), 20_000):
-                hs, ls = h[lo:lo + 20_000], level[lo:lo + 20_000]
-                each = np.repeat(hs, ls)
-                nth = np.arange(len(each)) - np.repeat(ls.cumsum() - ls, ls) + 1
-                bits = np.concatenate(_bits(each, nth, log_bits))
-                seg = (bits >> np.uint64(inside)).astype(np.int64)
-                own = bits & np.uint64((1 << inside) - 1)
-                for s in np.flatnonzero(np.bincount(seg)).tolist():
-                    if s not in segs:
-                        segs[s] = np.zeros(1 << inside, bool)
-                    segs[s][own[seg == s]] = True
-        for s, on in segs.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())],
-                                             ["s", "w"])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segs: dict[int, np.ndarray] = {}
+        now, rows = None, []
         for b in batches:
-            for s, w in zip(b.column("s").to_pylist(), b.column("w").to_pylist()):
-                segs[s] = np.frombuffer(w, np.uint8) | segs.get(s, np.uint8(0))
-        for s, w in segs.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([w.tobytes()], pa.binary())], ["s", "w"])
+            for r in b.to_pylist():
+                if r["segment"] != now and rows:
+                    yield answers(now, rows)
+                    rows = []
+                now = r["segment"]
+                rows.append((r["chunk"], r["h"], r["c"]))
+        if rows:
+            yield answers(now, rows)
+
+    return (sent.repartition(segments, "segment").sortWithinPartitions("segment")
+            .mapInArrow(run, "chunk long, segment int, levels binary"))
+
+
+def model_scores(chunks: DataFrame, n: int, v: int, mu: float, segments: int, bits_per_item: int) -> DataFrame:
+    """``(r, score)``: log10 probability of each text of the chunks."""
+    def scores(r: dict, levels: bytes) -> pa.RecordBatch:
+        at, size, hashes, _ = unpacked(r)
+        place = ngrams(at, size, hashes, segments)[2]
+        read = VALUES[np.frombuffer(levels, np.uint8)[place]]
+        c1, c2 = read[:len(hashes)], read[len(hashes):]
+        starts = size.cumsum() - size
+        here = np.delete(at, starts)
+        before = np.delete(at, size.cumsum() - 1)
+        p1 = (c1 + 1) / (n + v + 1)
+        p = (np.minimum(c2, np.minimum(c1[here], c1[before])) + mu * p1[here]) / (c1[before] + mu)
+        logs = np.log10(np.minimum(p, 1.0))
+        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["rows"], np.int64)), pa.array(np.add.reduceat(logs, starts - np.arange(len(size))))],
+                                          ["r", "score"])
 
-    out = np.zeros(1 << log_bits >> 6, np.uint64)
-    size = 1 << inside >> 6
-    # the tables' files hold a few segments each: parts of bitmaps move, not n-grams
-    parts = counts.mapInArrow(run, "s int, w binary")
-    for r in parts.repartition("s").mapInArrow(merged, "s int, w binary").collect():
-        out[r["s"] * size:(r["s"] + 1) * size] = np.frombuffer(r["w"], np.uint64)
-    return out, log_bits, unit
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, got = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["levels"] is not None:
+                    got.append(r["levels"])
+                    continue
+                if now is not None:
+                    yield scores(now, b"".join(got))
+                now, got = r, []
+        if now is not None:
+            yield scores(now, b"".join(got))
+
+    levels = answered(sent_ngrams(chunks, segments), segments, bits_per_item)
+    texts = chunks.select("chunk", F.lit(-1).alias("segment"), "rows", "at", "size", "hashes", "learns")
+    return (texts.unionByName(levels, allowMissingColumns=True).repartition(segments, "chunk").sortWithinPartitions("chunk", "segment")
+            .mapInArrow(run, "r long, score double"))
 
 
 def word_counts(train: DataFrame, text: str) -> DataFrame:
@@ -195,31 +223,28 @@ def word_counts(train: DataFrame, text: str) -> DataFrame:
     return train.select(F.col(text).alias("t")).mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def score(docs: DataFrame, train: Column, mu: float = 2000.0, common: int = 2**17, max_log_bits: int = 29,
+def score(docs: DataFrame, train: Column, mu: float = 2000.0, common: int = 2**17, segment_tokens: int = 2**21,
           bits_per_item: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``key, n_tokens, n_known, train_tokens, base_score, score`` (log10).
 
     The model learns from rows that pass ``train``.  Null texts count as empty: one end token.  Repeated rows are
-    scored, and learned from, each.  With nothing to learn from, counts are 0.
+    scored, and learned from, each.  With nothing to learn from, counts are 0.  The filter has a segment for every
+    ``segment_tokens`` tokens; their number does not change what is counted.
     """
     sc = docs.sparkSession.sparkContext
-    learn = docs.filter(train)
-    counts = saved(word_counts(learn, text))
+    counts = saved(word_counts(docs.filter(train), text))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"], total["v"]
     most = {bytes(r["w"]): r["c"] for r in counts.orderBy(F.desc("c"), "w").limit(common).collect()}
     top = sc.broadcast({START: 0, **most})
-    grams = saved(ngram_counts(learn, text))
-    words, log_bits, unit = build_filter(grams, max_log_bits, bits_per_item)
-    values = VALUES * unit
-    bits = sc.broadcast(words)
+    kind = dict(docs.dtypes)[key]
+    of_row = f"r long, k {kind}, n_tokens long, known long, logs double, rest array<binary>, times array<long>"
+    of_chunk = "chunk long, rows binary, size binary, learns binary, at binary, hashes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lfbf = LogFrequencyFilter(bits.value, log_bits)
         number = {w: i for i, w in enumerate(top.value)}
-        # of the common words, and last for all others: hash, count read from the filter, exact count
+        # of the common words, and last for all others: hash, exact count
         hashes = np.append(WORDS.of(list(number)), np.uint64(0))
-        read = values[lfbf.levels(hashes)]
         exact = np.append(np.fromiter(top.value.values(), np.float64, len(number)), 0.0)
         for b in batches:
             done = 0
@@ -229,38 +254,37 @@ def score(docs: DataFrame, train: Column, mu: float = 2000.0, common: int = 2**1
                 # once for each distinct word
                 spelt = words.to_pylist()
                 place = np.fromiter(map(number.get, spelt, repeat(-1)), np.int64, len(spelt))
-                h, c1, c = hashes[place], read[place], exact[place]
+                h, c = hashes[place], exact[place]
                 rare = np.flatnonzero(place < 0)
                 h[rare] = WORDS.of([spelt[i] for i in rare])
-                c1[rare] = values[lfbf.levels(h[rare])]
                 # and for each token
-                ends = size.cumsum()
-                starts = ends - size
-                c2 = values[lfbf.levels(pair_hashes(h[at]))]
-                p1, before, here = (c1 + 1) / (n + v + 1), c1[at[:-1]], at[1:]
-                p = np.minimum((np.minimum(c2, np.minimum(c1[here], before)) + mu * p1[here]) / (before + mu), 1.0)
-                logs = np.append(0.0, np.log10(p))
-                logs[starts] = 0.0  # START follows nothing
+                starts = size.cumsum() - size
                 base, known = np.log10(c + 1)[at], (c > 0).astype(np.int64)[at]
                 lacks = np.flatnonzero(place[at] < 0)
                 owner = np.repeat(np.arange(texts), size)[lacks]
                 pairs, times = np.unique(owner * len(words) + at[lacks], return_counts=True)
                 offsets = pa.array(np.searchsorted(pairs, np.arange(texts + 1) * len(words)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("r"), rows.column("k"), pa.array(size - 1, pa.int64()), pa.array(np.add.reduceat(known, starts), pa.int64()),
-                     pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts)),
-                     pa.ListArray.from_arrays(offsets, words.take(pa.array(pairs % len(words)))),
-                     pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))],
-                    ["r", "k", "n_tokens", "known", "logs", "score", "rest", "times"])
-
-    kind = dict(docs.dtypes)[key]
-    rows = saved(docs.select(F.monotonically_increasing_id().alias("r"), F.col(key).alias("k"), F.col(text).alias("t"))
-                 .mapInArrow(run, f"r long, k {kind}, n_tokens long, known long, logs double, score double, rest array<binary>, times array<long>"))
+                ids = rows.column("r").to_numpy()
+                per_row = [rows.column("r"), rows.column("k"), pa.array(size - 1, pa.int64()), pa.array(np.add.reduceat(known, starts), pa.int64()),
+                           pa.array(np.add.reduceat(base, starts)), pa.ListArray.from_arrays(offsets, words.take(pa.array(pairs % len(words)))),
+                           pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))]
+                learns = rows.column("l").to_numpy(zero_copy_only=False).astype(bool)
+                per_chunk = [pa.array([ids[0]], pa.int64()),
+                             *(pa.array([x.tobytes()], pa.binary()) for x in (ids, size, learns, at.astype(np.uint32), h))]
+                yield pa.RecordBatch.from_arrays(per_row + [pa.nulls(texts, x.type) for x in per_chunk], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, x.type) for x in per_row] + per_chunk, names)
+
+    names = [x.split()[0] for x in f"{of_row}, {of_chunk}".split(", ")]
+    read = saved(docs.select(F.monotonically_increasing_id().alias("r"), F.col(key).alias("k"), F.col(text).alias("t"),
+                             F.coalesce(train, F.lit(False)).alias("l")).mapInArrow(run, f"{of_row}, {of_chunk}"))
+    rows, chunks = read.filter("chunk is null").select(names[:7]), read.filter("chunk is not null").select(names[7:])
+    size = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    scores = model_scores(chunks, n, v, mu, size // segment_tokens + 1, bits_per_item)
     rare = rows.select("r", F.explode(F.arrays_zip("rest", "times")).alias("z")).select("r", F.col("z.rest").alias("w"), F.col("z.times").alias("t"))
     # words without a row in counts add log10(0 + 1) = 0
     sums = rare.join(counts, "w").groupBy("r").agg(F.sum("t").alias("t"), F.sum(F.col("t") * F.log10(F.col("c") + 1)).alias("l"))
     zero = F.lit(0)
-    return (rows.drop("rest", "times").join(sums, "r", "left")
+    return (rows.drop("rest", "times").join(scores, "r").join(sums, "r", "left")
             .select(F.col("k").alias(key), "n_tokens", (F.col("known") + F.coalesce("t", zero)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
                     (F.col("logs") + F.coalesce("l", zero) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score"))
 

@@ -238,14 +238,56 @@ def test_rare_words_are_joined(spark, make):
 
 def test_filter_never_reads_less():
     rng = np.random.default_rng(0)
-    h = rng.integers(0, 2**63, 500).astype(np.uint64)
-    words = np.zeros(1 << 14, np.uint64)
-    level = rng.integers(1, 12, 500)
-    for n in range(1, 12):
-        for b in lm._bits(h[level >= n], np.full((level >= n).sum(), n), 20):
-            np.bitwise_or.at(words, (b >> np.uint64(6)).astype(int), np.uint64(1) << (b & np.uint64(63)))
-    read = lm.LogFrequencyFilter(words, 20).levels(h)
+    h = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    count = rng.integers(1, 3000, 5000)
+    level = np.searchsorted(lm.EDGES, count, "right")
+    read = lm.LogFrequencyFilter(h, count, 10).levels(h)
     assert (read >= level).all() and (read == level).mean() > 0.95
+    other = rng.integers(2**63, 2**64, 5000, dtype=np.uint64)
+    assert (lm.LogFrequencyFilter(h, count, 10).levels(other) > 0).mean() < 0.05
+    assert not lm.LogFrequencyFilter(h[:0], count[:0], 10).levels(h).any()
+
+
+def plain_scores(docs, learns, mu):
+    """Scores by dictionaries: counts of words and pairs, read by level."""
+    def spelt(t):
+        return [lm.START, *(t or "").encode().lower().split(), lm.END]
+
+    words, pairs = Counter(), Counter()
+    for (_, t), yes in zip(docs, learns):
+        if yes:
+            words.update(spelt(t))
+            pairs.update(zip(spelt(t), spelt(t)[1:]))
+    n, v = sum(c for w, c in words.items() if w != lm.START), len(words) - (lm.START in words)
+
+    def read(c):
+        return float(lm.VALUES[np.searchsorted(lm.EDGES, c, "right")])
+
+    def p(h, w):
+        p1 = (read(words[w]) + 1) / (n + v + 1)
+        return min(1.0, (min(read(pairs[h, w]), read(words[w]), read(words[h])) + mu * p1) / (read(words[h]) + mu))
+
+    return [sum(math.log10(p(h, w)) for h, w in zip(spelt(t), spelt(t)[1:])) for _, t in docs]
+
+
+@pytest.mark.parametrize("segment_tokens", [2**21, 3000, 200])
+def test_lm_scores_match_plain_counts_however_many_segments(spark, sf, make, segment_tokens):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    docs += [(1000, None), (1001, ""), (1002, "of the " * 3000)] + [(i, "one two") for i in range(1003, 1040)]
+    learns = [d % 3 != 1 for d, _ in docs]
+    rows = {r["doc_id"]: r["score"] for r in
+            lm.score(make(*docs), F.col("doc_id") % 3 != 1, mu=50.0, common=40, segment_tokens=segment_tokens, bits_per_item=200).collect()}
+    assert len(rows) == len(docs)
+    for (d, _), s in zip(docs, plain_scores(docs, learns, 50.0)):
+        assert math.isclose(rows[d], s, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_lm_beats_the_base_score_at_every_segment_size(spark, sf):
+    docs, held_out = spark.read.parquet(f"{sf}/documents.parquet"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    for segment_tokens in (2**21, 2000):
+        r = (lm.score(docs, ~held_out, segment_tokens=segment_tokens).filter(held_out)
+             .agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first())
+        assert r["s"] > r["b"]
 
 
 def test_lm_odd_rows(odd):
