@@ -23,6 +23,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,9 +121,20 @@ def binaries(data: np.ndarray, lens: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """``x`` compressed, the lowest bytes of all numbers first, then the next."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+
+
+def restored(data: bytes, kind: type) -> np.ndarray:
+    """What ``squeezed`` was given."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def sent_ngrams(chunks: DataFrame, segments: int) -> DataFrame:
-    """``(segment, chunk, h, c)``: for each segment and chunk the upper 48 bits of the hashes of the chunk's distinct
-    n-grams and their 32-bit counts in its training texts."""
+    """``(segment, chunk, h, c)``: for each segment and chunk the upper 40 bits of the hashes of the chunk's distinct
+    n-grams and their counts in its training texts.  In one segment of some million n-grams 40 bits tell them apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
@@ -136,28 +148,30 @@ def sent_ngrams(chunks: DataFrame, segments: int) -> DataFrame:
                 some = np.flatnonzero(lens)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), r["chunk"])),
-                     binaries(h.view(np.uint8).reshape(-1, 8)[:, 2:], lens[some]), binaries(c, lens[some])], ["segment", "chunk", "h", "c"])
+                     binaries(h.view(np.uint8).reshape(-1, 8)[:, 3:], lens[some]),
+                     pa.array(list(map(squeezed, np.split(c, lens[some].cumsum()[:-1]))), pa.binary())], ["segment", "chunk", "h", "c"])
 
     return chunks.select("chunk", "at", "size", "hashes", "learns").mapInArrow(run, "segment int, chunk long, h binary, c binary")
 
 
 def unpacked(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return (np.frombuffer(r["at"], np.uint32).astype(np.int64), np.frombuffer(r["size"], np.int64), np.frombuffer(r["hashes"], np.uint64),
+    return (restored(r["at"], np.uint32).astype(np.int64), np.frombuffer(r["size"], np.int64), np.frombuffer(r["hashes"], np.uint64),
             np.frombuffer(r["learns"], bool))
 
 
 def answered(sent: DataFrame, segments: int, bits_per_item: int) -> DataFrame:
-    """``(chunk, segment, levels)``: a byte for each n-gram that a chunk sent, from the segment's filter."""
+    """``(chunk, segment, levels)``: the level of each n-gram that a chunk sent, from the segment's filter."""
     def answers(segment: int, rows: list[tuple]) -> pa.RecordBatch:
-        lens = np.array([len(c) // 4 for _, _, c in rows])
+        lens = np.array([len(h) // 5 for _, h, _ in rows])
         wide = np.zeros((lens.sum(), 8), np.uint8)
-        wide[:, 2:] = np.frombuffer(b"".join(h for _, h, _ in rows), np.uint8).reshape(-1, 6)
+        wide[:, 3:] = np.frombuffer(b"".join(h for _, h, _ in rows), np.uint8).reshape(-1, 5)
         h, place = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
-        count = np.bincount(place, np.frombuffer(b"".join(c for _, _, c in rows), np.uint32), len(h)).astype(np.int64)
+        count = np.bincount(place, np.concatenate([restored(c, np.uint32) for _, _, c in rows]), len(h)).astype(np.int64)
         seen = count > 0
         levels = LogFrequencyFilter(h[seen], count[seen], bits_per_item).levels(h)[place]
         return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int64()), pa.array([segment] * len(rows), pa.int32()),
-                                           binaries(levels, lens)], ["chunk", "segment", "levels"])
+                                           pa.array(list(map(squeezed, np.split(levels, lens.cumsum()[:-1]))), pa.binary())],
+                                          ["chunk", "segment", "levels"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -177,10 +191,10 @@ def answered(sent: DataFrame, segments: int, bits_per_item: int) -> DataFrame:
 
 def model_scores(chunks: DataFrame, n: int, v: int, mu: float, segments: int, bits_per_item: int) -> DataFrame:
     """``(r, score)``: log10 probability of each text of the chunks."""
-    def scores(r: dict, levels: bytes) -> pa.RecordBatch:
+    def scores(r: dict, levels: list[bytes]) -> pa.RecordBatch:
         at, size, hashes, _ = unpacked(r)
         place = ngrams(at, size, hashes, segments)[2]
-        read = VALUES[np.frombuffer(levels, np.uint8)[place]]
+        read = VALUES[np.concatenate([restored(x, np.uint8) for x in levels])[place]]
         c1, c2 = read[:len(hashes)], read[len(hashes):]
         starts = size.cumsum() - size
         here = np.delete(at, starts)
@@ -199,10 +213,10 @@ def model_scores(chunks: DataFrame, n: int, v: int, mu: float, segments: int, bi
                     got.append(r["levels"])
                     continue
                 if now is not None:
-                    yield scores(now, b"".join(got))
+                    yield scores(now, got)
                 now, got = r, []
         if now is not None:
-            yield scores(now, b"".join(got))
+            yield scores(now, got)
 
     levels = answered(sent_ngrams(chunks, segments), segments, bits_per_item)
     texts = chunks.select("chunk", F.lit(-1).alias("segment"), "rows", "at", "size", "hashes", "learns")
@@ -270,7 +284,8 @@ def score(docs: DataFrame, train: Column, mu: float = 2000.0, common: int = 2**1
                            pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))]
                 learns = rows.column("l").to_numpy(zero_copy_only=False).astype(bool)
                 per_chunk = [pa.array([ids[0]], pa.int64()),
-                             *(pa.array([x.tobytes()], pa.binary()) for x in (ids, size, learns, at.astype(np.uint32), h))]
+                             *(pa.array([x.tobytes()], pa.binary()) for x in (ids, size, learns)),
+                             pa.array([squeezed(at.astype(np.uint32))], pa.binary()), pa.array([h.tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(per_row + [pa.nulls(texts, x.type) for x in per_chunk], names)
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, x.type) for x in per_row] + per_chunk, names)
 
