@@ -32,6 +32,8 @@ from .quality import fold
 
 END, START = b" ", b"\n"  # no word holds white space
 CHUNK = 8_000_000
+#: Low bits of a hash that only choose the segment.
+DROPPED = np.uint64(24)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 #: Lowest count of each level, growing by an eighth.
@@ -115,12 +117,6 @@ def ngrams(at: np.ndarray, size: np.ndarray, hashes: np.ndarray, segments: int)
     return h[order], np.bincount(segment, minlength=segments), rank[place]
 
 
-def binaries(data: np.ndarray, lens: np.ndarray) -> pa.Array:
-    """Consecutive stretches of ``data`` as binary values; ``lens`` counts its rows."""
-    offsets = np.concatenate([[0], lens.cumsum()]) * data[:1].nbytes if len(data) else np.zeros(len(lens) + 1)
-    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-
-
 def squeezed(x: np.ndarray) -> bytes:
     """``x`` compressed, the lowest bytes of all numbers first, then the next."""
     return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
@@ -134,7 +130,7 @@ def restored(data: bytes, kind: type) -> np.ndarray:
 
 def sent_ngrams(chunks: DataFrame, segments: int) -> DataFrame:
     """``(segment, chunk, h, c)``: for each segment and chunk the upper 40 bits of the hashes of the chunk's distinct
-    n-grams and their counts in its training texts.  In one segment of some million n-grams 40 bits tell them apart."""
+    n-grams, as ascending differences, and their counts in its training texts.  In one segment of some million n-grams 40 bits tell them apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
@@ -146,10 +142,11 @@ def sent_ngrams(chunks: DataFrame, segments: int) -> DataFrame:
                 c = (np.bincount(place[:len(hashes)], np.bincount(at[taken], minlength=len(hashes)), len(h))
                      + np.bincount(place[len(hashes):][taken[within]], minlength=len(h))).astype(np.uint32)
                 some = np.flatnonzero(lens)
+                cuts = lens[some].cumsum()[:-1]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), r["chunk"])),
-                     binaries(h.view(np.uint8).reshape(-1, 8)[:, 3:], lens[some]),
-                     pa.array(list(map(squeezed, np.split(c, lens[some].cumsum()[:-1]))), pa.binary())], ["segment", "chunk", "h", "c"])
+                     pa.array([squeezed(np.diff(x, prepend=x[:1] * 0)) for x in np.split(h >> DROPPED, cuts)], pa.binary()),
+                     pa.array(list(map(squeezed, np.split(c, cuts))), pa.binary())], ["segment", "chunk", "h", "c"])
 
     return chunks.select("chunk", "at", "size", "hashes", "learns").mapInArrow(run, "segment int, chunk long, h binary, c binary")
 
@@ -162,10 +159,9 @@ def unpacked(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 def answered(sent: DataFrame, segments: int, bits_per_item: int) -> DataFrame:
     """``(chunk, segment, levels)``: the level of each n-gram that a chunk sent, from the segment's filter."""
     def answers(segment: int, rows: list[tuple]) -> pa.RecordBatch:
-        lens = np.array([len(h) // 5 for _, h, _ in rows])
-        wide = np.zeros((lens.sum(), 8), np.uint8)
-        wide[:, 3:] = np.frombuffer(b"".join(h for _, h, _ in rows), np.uint8).reshape(-1, 5)
-        h, place = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
+        sent = [np.cumsum(restored(h, np.uint64)) for _, h, _ in rows]
+        lens = np.array([len(h) for h in sent])
+        h, place = np.unique(np.concatenate(sent) << DROPPED, return_inverse=True)
         count = np.bincount(place, np.concatenate([restored(c, np.uint32) for _, _, c in rows]), len(h)).astype(np.int64)
         seen = count > 0
         levels = LogFrequencyFilter(h[seen], count[seen], bits_per_item).levels(h)[place]
