@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from .factors import factors, first_rule
 from .regex import any_word, can_combine, count_chars, is_valid, java_pattern, let, search
 
 _FIELDS = [("URI", "request_uri"), ("User-Agent", "http_user_agent"), ("Referer", "http_referer")]
+#: Rule sets up to this length are tried rule by rule behind one combined match.
+FEW_RULES = 40
 _HIT = "array<struct<attack_type:string,field:string,pattern:string>>"
 
 
@@ -66,13 +71,38 @@ def first_attack_match(attack_rules=None) -> Column:
     """
     rules = [(k, p) for k, on, ps in (attack_rules or R.DEFAULT_ATTACK_RULES) if on
              for p in ps if is_valid(p)]
-    whens = [F.when(search(_text("request_uri"), p, True) | search(_text("http_user_agent"), p, True)
-                    | search(_text("http_referer"), p, True), F.lit(f"{k}:{p}")) for k, p in rules]
-    if not whens:
+    if not rules:
         return F.lit(None).cast("string")
-    if not all(can_combine(p) for _, p in rules):
-        return F.coalesce(*whens)
-    return F.when(_maybe([p for _, p in rules]), F.coalesce(*whens))
+    if len(rules) > FEW_RULES or not all(can_combine(p) for _, p in rules):
+        return _first_of_many(rules)
+    return F.when(_maybe([p for _, p in rules]), F.coalesce(*[F.when(_any_field(p), F.lit(f"{k}:{p}")) for k, p in rules]))
+
+
+def _any_field(pattern: str) -> Column:
+    return (search(_text("request_uri"), pattern, True) | search(_text("http_user_agent"), pattern, True)
+            | search(_text("http_referer"), pattern, True))
+
+
+def _first_of_many(rules: list[tuple[str, str]]) -> Column:
+    """Rules with factors are tried where a factor occurs.  Of the rest, those that combine are tried where their
+    combined match succeeds, and rules with back-references always."""
+    patterns = {i: p for i, (_, p) in enumerate(rules)}
+    needs = {i: f for i, p in patterns.items() if (f := factors(p))}
+    rest = [i for i in patterns if i not in needs]
+    plain = [i for i in rest if can_combine(patterns[i])]
+
+    def number(of: list[int]) -> Column:
+        return F.coalesce(*[F.when(_any_field(patterns[i]), F.lit(i)) for i in of])
+
+    found = []
+    if needs:
+        found.append(first_rule([_text(col) for _, col in _FIELDS], {i: patterns[i] for i in needs}, needs))
+    if plain:
+        found.append(F.when(_maybe([patterns[i] for i in plain]), number(plain)))
+    if len(plain) < len(rest):
+        found.append(number([i for i in rest if i not in plain]))
+    labels = F.from_json(F.lit(json.dumps([f"{k}:{p}" for k, p in rules])), "array<string>")
+    return F.get(labels, F.least(*found) if len(found) > 1 else found[0])
 
 
 def ua_analysis(ua: Column) -> dict[str, Column]:

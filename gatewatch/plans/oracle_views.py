@@ -28,9 +28,15 @@ def lookup(col: str, table: dict, default: str) -> str:
 
 
 REFERER = "coalesce(http_referer, '')"
-PATTERN_LABEL = case([
-    (f"{matches('request_uri', p)} OR {matches('http_user_agent', p)} OR {matches(REFERER, p)}",
-     lit(f"{k}:{p}")) for k, on, ps in R.DEFAULT_ATTACK_RULES if on for p in ps if is_valid(p)])
+
+
+def first_label(rules) -> str:
+    return case([
+        (f"{matches('request_uri', p)} OR {matches('http_user_agent', p)} OR {matches(REFERER, p)}",
+         lit(f"{k}:{p}")) for k, on, ps in rules if on for p in ps if is_valid(p)])
+
+
+PATTERN_LABEL = first_label(R.DEFAULT_ATTACK_RULES)
 SENSITIVE = contains_any("lower(request_uri)", R.SENSITIVE_PATHS)
 _W = "OVER (PARTITION BY remote_addr ORDER BY ts_us RANGE BETWEEN {} PRECEDING AND CURRENT ROW)"
 M10, M5, M1 = _W.format(600000000), _W.format(300000000), _W.format(60000000)

@@ -66,6 +66,16 @@ def f03(d):
     return d.access_log.select("event_id", PT.first_attack_match().alias("label"))
 
 
+# 506 rules: numbered items, of which many begin like others, the default rules, and a few without a literal
+MANY_RULES = [("item", True, [f"/p/{i}$" for i in range(997, 1, -2)]), *R.DEFAULT_ATTACK_RULES, ("digits", True, [r"^.p.\d\d?$"]),
+              ("agent", True, [r"x11; v[0-2]\)"])]
+
+
+@query("f03_many_rules", f"SELECT event_id, {O.first_label(MANY_RULES)} AS label FROM access_log")
+def f03_many(d):
+    return d.access_log.select("event_id", PT.first_attack_match(MANY_RULES).alias("label"))
+
+
 @query("f04_frequency_verdict", "SELECT event_id, frequency_label, attack_label FROM detected")
 def f04(d):
     return detected(d).select("event_id", "frequency_label", "attack_label")

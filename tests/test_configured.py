@@ -1,11 +1,13 @@
 """Configured rules, lists and bounds that the default queries do not reach."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from gatewatch.functions import patterns as P
+from gatewatch.functions.factors import factors
 from gatewatch.functions.parse import parse_access
 from gatewatch.operators import addresses, audit, bans, perf, windows
 
@@ -32,6 +34,34 @@ def test_rules_match_like_python(spark):
         assert got == {i: python(f) for i, *f in rows}
 
 
+def test_factors_are_in_every_match():
+    want = {"union.*select": {"select"}, "<script": {"<script"}, r"\.\./": {"../"}, "(foo|barista)x": {"foo", "barista"}, "(a|bcd)": None, "ab+c": {"ab"},
+            r"\bcat\b": {"cat"}, "(?:ab)+c": {"ab"}, "(?:ab)?": None, "x{3}": None, "(?i)UPPER": {"upper"}, "foo(?!bar)baz": {"foobaz"}, "[ab]cd": {"cd"},
+            "straße": {"stra"}, "(?P<a>bc)(?P=a)": {"bc"}, "a" * 30: {"a" * 16}, "": None, r"end\Z": {"end"}, "ab|": None}
+    assert {p: factors(p) for p in want} == {p: w and frozenset(w) for p, w in want.items()}
+
+
+def test_hundreds_of_rules_match_like_python(spark):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abks.") for _ in range(rnd.randrange(3, 6))) for _ in range(250)]
+    rules = list(dict.fromkeys([re.escape(w) + rnd.choice(["", "$", "[0-9]", ".*" + re.escape(rnd.choice(words)), "(?:x|yy)"]) for w in words]
+                               + ["^" + re.escape(w) for w in words] + RULES + [r"(\d)k\1", "ks|sk9", "(?s)b.a\na", "İx", "[k]9"]))
+    rnd.shuffle(rules)
+    text = lambda: None if rnd.random() < .1 else "".join(rnd.choice("abks.ABKSſKıİ9\nxy") for _ in range(rnd.randrange(0, 15)))
+    rows = [(i, text(), text(), text()) for i in range(1500)] + [(1500 + i, f, None, "") for i, f in enumerate(FIELDS)]
+    df = spark.createDataFrame(rows, "id int, request_uri string, http_user_agent string, http_referer string")
+
+    usable = []
+    for p in rules:
+        try:
+            usable.append((p, re.compile(p, re.I)))
+        except re.error:
+            continue
+    plain = {i: next((f"t:{p}" for p, c in usable if any(c.search(f or "") for f in fs)), None) for i, *fs in rows}
+    got = {r["id"]: r["l"] for r in df.select("id", P.first_attack_match([("t", True, rules)]).alias("l")).collect()}
+    assert got == plain and len({*got.values()}) > 60
+
+
 def test_formats_with_alternation_match_at_the_start_only(spark):
     df = spark.createDataFrame([("zzz 10.0.0.1 B",), ("10.0.0.2 B",), ("10.0.0.3 A",)], "value string")
     got = parse_access(df, r"(?P<remote_addr>\S+) A|(?P<remote_user>\S+) B").collect()
