@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as FE
 from .prefix import attach_row, exact_quantiles
-from .windows import hour_features
+from .windows import HOT_ROWS, hour_features
 
 BEHAVIOUR = ["behavior_request_rate", "behavior_error_rate", "behavior_unique_paths",
              "behavior_unique_user_agents", "behavior_avg_response_time",
@@ -43,9 +43,9 @@ def attack_features(rows: DataFrame, keep=("event_id",), body: str | None = None
     return t.select(*keep, *[v.alias(k) for k, v in FE.attack_features(F.col("_text")).items()])
 
 
-def all_features(rows: DataFrame, keep=("event_id",)) -> DataFrame:
+def all_features(rows: DataFrame, keep=("event_id",), hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """M01 + M02 + M03 in one row; addresses without history get zeros."""
-    h = hour_features(rows)
+    h = hour_features(rows, hot_rows=hot_rows)
     c = F.col
     basic = FE.basic_features(c("request_uri"), F.lit(""), c("request_method"), c("http_user_agent"),
                               F.timestamp_micros("ts_us"), c("status"), c("body_bytes_sent"), c("request_time"))

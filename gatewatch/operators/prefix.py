@@ -109,6 +109,8 @@ def split_running_totals(changes: DataFrame, keys: list[str], sums: list[str], s
 
 #: A flooded (key, slice) is cut into this many equal stretches of time, and at most so many groups are taken for flooded.
 STRETCHES, FLOODED = 65_536, 10_000
+#: Rows that a task sorts where the number of rows is known: many groups, or one.
+TASK_ROWS = 50_000
 
 
 def windowed_totals(rows: DataFrame, keys: list[str], ts: str, specs: list,
@@ -123,6 +125,8 @@ def windowed_totals(rows: DataFrame, keys: list[str], ts: str, specs: list,
     stretches that are summed on their own: sums per stretch give openings, and the first sighting of each value in
     a stretch ends its turn in the one before.  A task then sees one key's rows of ``size / STRETCHES``
     time and, for openings, one row for each stretch.  Should more than ``FLOODED`` groups be as large, the largest are cut.
+    The same pass gives the number of rows, and the groups are dealt to one task for every ``TASK_ROWS``, so that what a
+    task sorts does not grow with the input.
     """
     width = max(s.window for s in specs)
     size = max(slice_us, width + 1)
@@ -148,9 +152,12 @@ def windowed_totals(rows: DataFrame, keys: list[str], ts: str, specs: list,
            .select(*keys, F.col(ts).alias("_t"), "_slice", (F.col("_slice") == F.col("_own")).alias("_home"),
                    F.when(F.col("_slice") == F.col("_own"), F.struct(*payload)).alias("_row"),
                    *[f"_a_{n}" for n in types], *[f"_v_{s.name}" for s in distinct]))
-    flooded = None
+    flooded, tasks = None, []
     if hot_rows is not None:
         counts = rows.withColumn("_own", own).withColumn("_slice", both).groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+        counts = cut_lineage(counts)
+        n = counts.agg(F.sum("_n")).first()[0] or 0
+        tasks = [max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS))]
         found = counts.where(F.col("_n") > hot_rows).orderBy(F.desc("_n")).limit(FLOODED).select(*part)
         if keep := found.collect():
             flooded = F.broadcast(rows.sparkSession.createDataFrame(keep, found.schema)
@@ -158,7 +165,7 @@ def windowed_totals(rows: DataFrame, keys: list[str], ts: str, specs: list,
 
     def summed(src: DataFrame, stretch: str | None) -> DataFrame:
         where = [*part, stretch] if stretch else part
-        src = src.repartition(*where)
+        src = src.repartition(*tasks, *where)
         for s in distinct:
             v = f"_v_{s.name}"
             nxt = F.lead("_t").over(Window.partitionBy(*where, v).orderBy("_t"))

@@ -17,6 +17,8 @@ from .prefix import (HOUR, MINUTE, SECOND, Rolling, RollingDistinct, join_keys,
                      windowed_totals)
 
 IP, TS, TIE = "remote_addr", "ts_us", "event_id"
+#: An address with more requests in one window is spread over tasks.
+HOT_ROWS = 200_000
 
 
 def rate_counts(rows: DataFrame, window_minutes: int | None = None, **kw) -> DataFrame:

@@ -15,7 +15,7 @@ from . import oracle_views as O
 from .registry import query
 
 c = lambda n: F.col(n)
-HOT_ROWS = 1_000_000  # an address with more requests in one window is spread over tasks
+HOT_ROWS = W.HOT_ROWS
 SLICE = 60_000_000  # the fixture covers 12 minutes; a finer slice exercises the hand-over
 
 
