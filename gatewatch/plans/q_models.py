@@ -10,6 +10,7 @@ from ..functions import features as FE
 from ..functions import patterns as PT
 from ..operators import behaviour as BE
 from ..operators import models as M
+from ..session import stored
 from . import oracle_views as O
 from .q_detect import _HC, HOUR_SQL
 from .registry import query
@@ -108,7 +109,7 @@ def m05(d):
 
 def _labelled(d):
     rows = d.access_log.withColumn("label", F.coalesce(F.substring_index(PT.first_attack_match(), ":", 1), F.lit("normal")))
-    f = M.all_features(rows, ("event_id", "label"))
+    f = stored(M.all_features(rows, ("event_id", "label")))  # scaling, fits, scores and predictions each read it
     return f, [x for x in f.columns if x not in ("event_id", "label")]
 
 
