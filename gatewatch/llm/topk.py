@@ -1,10 +1,11 @@
 """Exact top-k inner products from an impact-ordered, score-at-a-time index.
 
-Every dimension of a block of vectors has its postings sorted by value and cut into segments of equal quantised
-impact.  A query reads segments of all dimensions by descending impact ``|q_d| * level`` and keeps, per vector, a
-lower and an upper bound of its score; what is unread in a dimension counts at most the next impact.  Reading
-stops only when few vectors can still be members: those whose upper bound reaches the k-th lower bound.  All of
-these, however many, are rescored exactly.
+Every dimension of a block of vectors has its postings quantised by value and cut into segments of equal impact range.  A
+query reads segments of all dimensions by descending impact ``|q_d| * level`` and keeps, per vector, a lower and an upper
+bound of its score; what is unread in a dimension counts at most the level reached there.  Reading stops only when few
+vectors can still be members: those whose upper bound reaches the k-th lower bound.  All of these, however many, are
+rescored exactly.  The queries of a group read together: a segment's postings are a column of a matrix, and what each
+query reads of it is its weight, or nothing.
 
 Vectors lie in blocks of bounded size by hashed id, queries likewise; each pair of blocks is one task group.
 """
@@ -19,9 +20,10 @@ from pyspark.sql.window import Window
 
 from .common import query, saved, table
 
-LEVELS = 16
+#: Levels of a dimension, and segments that they are read in.
+LEVELS, SEGMENTS = 256, 4
 #: Shares of all postings after which the bounds are looked at.
-ROUNDS = (0.5, 0.65, 0.8, 0.9, 1.0)
+ROUNDS = (0.5, 1.0)
 
 
 class Index:
@@ -31,66 +33,74 @@ class Index:
         self.v = v
         if not v.shape[1]:
             return  # vectors without components: all scores are 0
-        self.low, self.high = v.min(0), v.max(0)
-        self.step = (self.high - self.low + 1) / LEVELS
-        rise = np.argsort(v, 0, kind="stable").T.copy()
-        self.order = {1: rise[:, ::-1].copy(), -1: rise}
-        self.ends = {}
+        low, high = v.min(0), v.max(0)
+        self.step = (high - low + 1) / LEVELS
+        self.postings, self.size = {}, {}
         for sign in (1, -1):
-            up = (v - self.low) if sign > 0 else (self.high - v)
+            up = (v - low) if sign > 0 else (high - v)
             level = np.minimum((up / self.step).astype(np.int64), LEVELS - 1)
-            counts = np.stack([np.bincount(level[:, j], minlength=LEVELS) for j in range(v.shape[1])])
-            # ends[d, l]: postings of dimension d with level >= l
-            self.ends[sign] = np.concatenate([counts[:, ::-1].cumsum(1)[:, ::-1], np.zeros((v.shape[1], 1), np.int64)], 1)
+            segment = SEGMENTS - 1 - level // (LEVELS // SEGMENTS)  # 0 has the highest impact
+            inside = [segment == s for s in range(SEGMENTS)]
+            self.size[sign] = np.stack([x.sum(0) for x in inside], 1)
+            self.postings[sign] = [(np.where(x, level, 0).astype(np.float32).T.copy(), x.astype(np.float32).T.copy()) for x in inside]
 
     def possible(self, q: np.ndarray, k: int, self_at: int, enough: int) -> np.ndarray:
-        """Rows that may be among the ``k`` best; proven for all others that they are not."""
+        """Rows that may be among the ``k`` best of one query."""
+        return self.possible_each(q[None], k, np.array([self_at]), enough)[0]
+
+    def possible_each(self, q: np.ndarray, k: int, self_at: np.ndarray, enough: int) -> list[np.ndarray]:
+        """For each query (a row of ``q``) the rows that may be among its ``k`` best; proven for all others that they are not."""
         n, d = self.v.shape
         if n <= enough or not d:
-            return np.arange(n)
-        w = np.abs(q).astype(float)
-        signs = np.where(q >= 0, 1, -1)
-        impact = (w * self.step)[:, None] * np.arange(1, LEVELS + 1)  # the most that a posting of level l adds
-        size = np.stack([self.ends[s][j, :-1] - self.ends[s][j, 1:] for j, s in enumerate(signs)])
-        by = np.argsort(-impact, None, kind="stable")
-        mass = size.ravel()[by].cumsum()
-        low, count = np.zeros(n), np.zeros(n, np.int64)
-        extra = np.zeros(n)  # how far the read levels' upper edges lie above their lower ones
-        done = np.full(d, LEVELS)
+            return [np.arange(n)] * len(q)
+        weight = np.abs(q) * self.step  # what a level adds
+        sign = np.where(q >= 0, 1, -1)
+        impact = weight[:, :, None] * np.arange(SEGMENTS, 0, -1)
+        size = np.where((sign > 0)[:, :, None], self.size[1], self.size[-1]).reshape(len(q), -1)
+        by = np.argsort(-impact.reshape(len(q), -1), 1, kind="stable")
+        mass = np.empty(size.shape)
+        np.put_along_axis(mass, by, np.cumsum(np.take_along_axis(size, by, 1), 1) - np.take_along_axis(size, by, 1), 1)
+        mass = (mass / (n * d)).reshape(impact.shape)  # share of the postings read before this segment
+        # sums of d products in single precision are off by less than this
+        slack = (d + 8) * 2e-7 * LEVELS * weight.sum(1)
+        out, open_, low = [None] * len(q), np.arange(len(q)), np.zeros((len(q), n), np.float32)
+        before = 0.0
         for share in ROUNDS:
-            at = int(np.searchsorted(mass, share * mass[-1]))
-            bound = impact.ravel()[by[min(at, len(by) - 1)]] if share < 1 else 0.0
-            for j in range(d):
-                s = int(signs[j])
-                until = int(np.searchsorted(impact[j], bound, "right")) if share < 1 else 0  # levels below stay unread
-                if w[j] == 0 or until >= done[j]:
-                    continue
-                a, b = self.ends[s][j, done[j]], self.ends[s][j, until]
-                rows = self.order[s][j, a:b]
-                lens = (self.ends[s][j, until:done[j]] - self.ends[s][j, until + 1:done[j] + 1])[::-1]
-                low[rows] += np.repeat(w[j] * self.step[j] * np.arange(done[j] - 1, until - 1, -1), lens)
-                extra[rows] += w[j] * self.step[j]
-                count[rows] += 1
-                done[j] = until
-            rest = (w * self.step * done)[w > 0]
-            high = low + extra + np.minimum(rest.sum(), rest.max(initial=0.0) * ((w > 0).sum() - count))
-            mine = low.copy()
-            if self_at >= 0:
-                mine[self_at] = -np.inf
-            kth = np.partition(mine, n - k)[n - k]
-            able = np.flatnonzero(high >= kth - 1e-6 * (1 + abs(kth)))
-            if len(able) <= enough:
+            w, m = weight[open_], mass[open_]
+            read, fresh = m < share, (m < share) & (m >= before)
+            done = LEVELS - (LEVELS // SEGMENTS) * read.sum(2)  # the level reached in each dimension
+            spread = np.zeros((len(open_), n), np.float32) + (w * np.maximum(done, 1)).sum(1)[:, None].astype(np.float32)
+            for s in range(SEGMENTS):
+                for side, (levels, inside) in ((x, self.postings[x][s]) for x in (1, -1)):
+                    mine = sign[open_] == side
+                    low += np.where(mine & fresh[:, :, s], w, 0).astype(np.float32) @ levels
+                    if done.any():
+                        spread -= np.where(mine & read[:, :, s], w * (np.maximum(done, 1) - 1), 0).astype(np.float32) @ inside
+            left = []
+            for i, x in enumerate(open_):
+                mine = low[i].copy()
+                if self_at[x] >= 0:
+                    mine[self_at[x]] = -np.inf
+                kth = np.partition(mine, n - k)[n - k]
+                out[x] = np.flatnonzero(low[i] + spread[i] >= kth - 3 * slack[x])
+                if len(out[x]) > enough:
+                    left.append(i)
+            open_, low, before = open_[left], low[left], share
+            if not left:
                 break
-        return able
+        return out
 
-    def top(self, q: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the ``k`` best rows other than ``own``, ties to the smaller id."""
-        at = np.flatnonzero(ids == own)
-        able = self.possible(q, min(k + len(at), len(ids)), int(at[0]) if len(at) else -1, 32 * k)
-        able = able[ids[able] != own]
-        s = self.v[able] @ q
-        best = np.lexsort((ids[able], -s))[:k]
-        return ids[able][best], s[best]
+    def top(self, q: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query ids and exact scores of the ``k`` best rows other than its ``own``, ties to the smaller id.  ``ids`` ascend."""
+        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        at = np.where(ids[at] == own, at, -1)
+        out = []
+        for x, able in enumerate(self.possible_each(q, min(k, len(ids)), at, 32 * k)):
+            able = able[able != at[x]]
+            s = self.v[able] @ q[x]
+            best = np.lexsort((ids[able], -s))[:k]
+            out.append((ids[able][best], s[best]))
+        return out
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 8192, query_rows: int = 512) -> DataFrame:
@@ -113,9 +123,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int
         if len(rows) and len(asked):
             rows = rows.sort_values("id")
             index, ids = Index(np.stack(rows["v"].to_numpy()).astype(np.int64).reshape(len(rows), -1)), rows["id"].to_numpy()
-            for own, q in zip(asked["id"], asked["v"]):
-                found, s = index.top(np.asarray(q, np.int64), ids, own, k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": found, "score": s}))
+            for a in range(0, len(asked), 128):  # bounds of 128 queries at a time
+                own = asked["id"].to_numpy()[a:a + 128]
+                qs = np.stack(asked["v"].to_numpy()[a:a + 128]).astype(np.int64).reshape(len(own), -1)
+                for x, (found, s) in zip(own, index.top(qs, ids, own, k)):
+                    out.append(pd.DataFrame({"query_id": x, "vec_id": found, "score": s}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     keys = ["d", "b", "q"]
