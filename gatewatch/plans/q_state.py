@@ -66,11 +66,12 @@ def w13(d):
 
 
 def in_time_order(rows, folder, batches, ts="ts_us"):
-    """``rows`` as a stream of ``batches`` files, the next one holding the next stretch of time."""
+    """``rows`` as a stream of ``batches`` files, the next one holding the next stretch of time.  Files are written by one
+    task each, whose rows many derive; small row groups let many tasks read one."""
     t0, t1 = rows.agg(F.min(ts), F.max(ts)).first()
     for i in range(batches):
         lo, hi = (t0 + (t1 + 1 - t0) * k // batches for k in (i, i + 1)) if t0 is not None else (0, 0)
-        rows.where((c(ts) >= lo) & (c(ts) < hi)).coalesce(1).write.mode("append").parquet(folder)
+        rows.where((c(ts) >= lo) & (c(ts) < hi)).repartition(1).write.mode("append").option("parquet.block.size", 8 << 20).parquet(folder)
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 

@@ -22,6 +22,14 @@ from ..operators.prefix import SECOND
 from ..operators.windows import ban_decision, frequency_verdict, risk_score
 from .address import OUTPUT, AddressProcessor
 
+#: Addresses share state in this many groups, so the calls to the state store do not grow with the addresses.
+GROUPS = 512
+
+
+def in_groups(rows: DataFrame, key: str):
+    return rows.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(GROUPS))).groupBy("_group")
+
+
 def judged_requests(requests: DataFrame, watermark: str = "1 minute", rules: dict | None = None, bans: DataFrame | None = None,
                     ttl_s: int | None = 86_400) -> DataFrame:
     """W01-W06, W08 and J05 on a stream: each request with the counts of its address at that moment.
@@ -42,7 +50,7 @@ def judged_requests(requests: DataFrame, watermark: str = "1 minute", rules: dic
         fixed |= {c: F.lit(0).cast("bigint") for c in ("uri", "agent")} | {c: F.lit(False) for c in ("has_path", "has_agent", "sensitive")}
         rows = rows.unionByName(bans.select(*(fixed.get(c, F.lit(None).cast(t)).alias(c) for c, t in rows.dtypes)))
     rows = rows.withColumn("timestamp", F.timestamp_micros("ts_us")).withWatermark("timestamp", watermark)
-    return rows.groupBy("remote_addr").transformWithStateInPandas(
+    return in_groups(rows, "remote_addr").transformWithStateInPandas(
         AddressProcessor(rules, ttl_s), OUTPUT, "append", "eventTime")
 
 
@@ -127,31 +135,34 @@ def threshold_stream(samples: DataFrame, start: dict[str, float], fallback: floa
 
 def ban_stream(triggers: DataFrame, watermark: str = "1 minute") -> DataFrame:
     """ST02 / ST07 on a stream of (ip, ts_us, event_id, duration_s): a 'ban' row when a ban starts, an
-    'unban' row when event time passes its end."""
+    'unban' row when event time passes its end.  The state are the ends of the bans that run in a group of addresses."""
     src = triggers.withColumn("timestamp", F.timestamp_micros("ts_us")).withWatermark("timestamp", watermark)
 
     def step(k, batches, state: GroupState):
-        ip, out = k[0], []
-        if state.hasTimedOut:
-            out.append((ip, "unban", state.get[0]))
-            state.remove()
-        else:
-            new = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
-            end = state.get[0] if state.exists else None
-            for t, d in zip(new["ts_us"], new["duration_s"]):
-                if end is not None and t < end:
-                    continue
-                if end is not None:
-                    out.append((ip, "unban", end))
-                end = int(t) + int(d) * SECOND
-                out.append((ip, "ban", int(t)))
+        ends, out, now = dict(zip(*state.get)) if state.exists else {}, [], state.getCurrentWatermarkMs()
+        new = pd.DataFrame({"ip": []}) if state.hasTimedOut else pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
+        present = {None if pd.isna(x) else x for x in new["ip"].unique()}
+        for ip in [x for x, end in ends.items() if x not in present and end // 1000 < now]:
+            out.append((ip, "unban", ends.pop(ip)))
+        for ip, t, d in zip(new["ip"], new["ts_us"], new["duration_s"]) if present else ():
+            ip = None if pd.isna(ip) else ip
+            end = ends.get(ip)
+            if end is not None and t < end:
+                continue
             if end is not None:
-                state.update((end,))
-                state.setTimeoutTimestamp(max(end // 1000, state.getCurrentWatermarkMs() + 1))
+                out.append((ip, "unban", end))
+            ends[ip] = int(t) + int(d) * SECOND
+            out.append((ip, "ban", int(t)))
+        if ends:
+            state.update((list(ends), list(ends.values())))
+            state.setTimeoutTimestamp(max(min(ends.values()) // 1000, now + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["ip", "action", "ts_us"])
 
-    return src.groupBy("ip").applyInPandasWithState(
-        step, "ip string, action string, ts_us bigint", "end_us bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return in_groups(src, "ip").applyInPandasWithState(
+        step, "ip string, action string, ts_us bigint", "ips array<string>, ends array<bigint>", "append",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def counters_stream(requests: DataFrame, ttl: str = "24 hours", salt: str = "", watermark: str = "1 minute") -> DataFrame:
