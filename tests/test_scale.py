@@ -166,3 +166,10 @@ def test_a_forgotten_address_begins_anew_and_keeps_its_bans():
 def test_many_addresses_make_few_state_keys(spark):
     keys = detect.in_groups(spark.range(5_000).selectExpr("concat('10.0.', id % 250, '.', id % 199) AS ip"), "ip").count().count()
     assert keys <= detect.GROUPS
+
+
+def test_topk_bounds_leave_few_vectors_to_rescore():
+    from gatewatch.llm import topk
+    v = (np.random.default_rng(4).standard_normal((6000, 64)) * 128).astype(np.int64)
+    able = topk.Index(v).possible(v[0], 10, 0, 320)
+    assert set(np.argsort(-(v @ v[0]))[1:11]) <= set(able.tolist()) and len(able) < 600
