@@ -146,7 +146,11 @@ def classify(model, rows: DataFrame, cols: list[str], classes: list[str], name:
 
 
 def train_perceptron(rows: DataFrame, cols: list[str], label: str, hidden=(256, 128, 64), iterations: int = 50):
-    """Dense network over standardised inputs; (model, classes)."""
+    """Dense network over standardised inputs; (model, classes).
+
+    Layers and iterations are those of the reference.  MLlib's units are sigmoid, without dropout, and an iteration (L-BFGS)
+    takes all rows; it may end earlier, once the loss settles.
+    """
     a = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(rows)
     a, classes = encode_labels(a, label)
     m = MultilayerPerceptronClassifier(labelCol="label_index", featuresCol="features", seed=42, maxIter=iterations,

@@ -137,7 +137,7 @@ def m08(d):
     s = M.standardise(f, cols)
     wide = s.select("event_id", "label", *[c("scaled")[i].alias(f"x{i}") for i in range(len(cols))])
     xs = [f"x{i}" for i in range(len(cols))]
-    model, classes = M.train_perceptron(wide, xs, "label", hidden=(16,), iterations=5)
+    model, classes = M.train_perceptron(wide, xs, "label")
     return M.classify(model, wide, xs, classes, "DenseNetwork").groupBy("label", "attack_type").agg(F.count("*").alias("n"))
 
 

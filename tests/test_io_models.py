@@ -80,3 +80,25 @@ def test_random_forest_separates(spark):
     p = M.classify(model, df, ["f"], got["classes"], "RandomForest")
     assert p.where("is_attack and attack_type = 'attack'").count() > 150
     assert M.default_prediction(df).where("confidence = 0.5 and not is_attack").count() == 400
+
+
+def test_dense_network_is_trained_whole(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from gatewatch.plans.q_models import m08
+    fits = []
+
+    class Watched(M.MultilayerPerceptronClassifier):
+        def fit(self, rows, *args):
+            fits.append((self.getLayers()[1:-1], self.getMaxIter(), rows.count()))
+            return super().fit(rows, *args)
+
+    monkeypatch.setattr(M, "MultilayerPerceptronClassifier", Watched)
+    log = spark.range(2_000).selectExpr(
+        "id AS event_id", "1704067200000000 + id * 1000 AS ts_us", "concat('10.0.0.', id % 50) AS remote_addr",
+        """CASE WHEN id % 40 = 0 THEN concat('/f?p=../../etc/passwd', id) WHEN id % 20 = 1 THEN '/s?q=1 union select a from b'
+           ELSE concat('/p/', id % 13) END AS request_uri""", "'GET' AS request_method", "'Mozilla/5.0' AS http_user_agent",
+        "CAST(NULL AS string) AS http_referer", "200L AS status", "5L AS body_bytes_sent", "id / 1000 AS request_time")
+    got = {(r.label, r.attack_type): r.n for r in m08(SimpleNamespace(access_log=log)).collect()}
+    assert fits == [([256, 128, 64], 50, 2_000)]
+    assert got == {("path_traversal", "path_traversal"): 50, ("sql_injection", "sql_injection"): 100, ("normal", None): 1_850}
