@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import parse as P
+from ..session import shared_folder, stored
 
 LOG_STRUCT = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("remote_addr", T.StringType()),
@@ -98,16 +99,22 @@ def union_sources(sources: list[DataFrame]) -> DataFrame:
     return out.orderBy("timestamp")
 
 
-def read_all_sources(readers: dict, folder: str) -> tuple[DataFrame | None, dict[str, str]]:
+def read_all_sources(readers: dict, folder: str | None = None) -> tuple[DataFrame | None, dict[str, str]]:
     """Union of the sources that can be opened *and read*, and the error text of the others.
 
     Each source is staged as a table of its own under ``folder`` first, so one that breaks while it is read (a cut-off
-    archive, a lost server) leaves the others whole and adds nothing half."""
+    archive, a lost server) leaves the others whole and adds nothing half.  Without a folder, tables go to the shared one
+    and last as long as the session's JVM."""
     frames, errors = [], {}
+    if folder is None:
+        shared_folder(SparkSession.active())  # where it cannot be had, no source is to blame
     for i, (name, reader) in enumerate(readers.items()):
-        path = f"{folder.rstrip('/')}/source={i}"
         try:
             df = reader()
+            if folder is None:
+                frames.append(stored(df))
+                continue
+            path = f"{folder.rstrip('/')}/source={i}"
             df.write.mode("overwrite").parquet(path)
             frames.append(df.sparkSession.read.schema(df.schema).parquet(path))
         except Exception as e:  # noqa: BLE001 - a failing source is counted and skipped

@@ -163,3 +163,11 @@ def test_a_source_that_breaks_while_read_is_left_out(spark, tmp_path):
     read = lambda n: lambda: spark.read.text(f"{tmp_path}/{n}").selectExpr("value", "timestamp_micros(0) AS timestamp")
     rows, errors = read_all_sources({n: read(n) for n in ("a.gz", "b.gz", "c.txt", "none")}, f"{tmp_path}/stage")
     assert rows.count() == 20_002 and set(errors) == {"b.gz", "none"}
+
+
+def test_sources_need_no_folder(spark, tmp_path):
+    from gatewatch.sources.logs import read_all_sources
+    (tmp_path / "c.txt").write_bytes(b"one\ntwo\n")
+    read = lambda n: lambda: spark.read.text(f"{tmp_path}/{n}").selectExpr("value", "timestamp_micros(0) AS timestamp")
+    rows, errors = read_all_sources({n: read(n) for n in ("c.txt", "none")})
+    assert {r.value for r in rows.collect()} == {"one", "two"} and set(errors) == {"none"}
